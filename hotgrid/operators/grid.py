@@ -96,68 +96,69 @@ def cells_within(cells: DataFrame, radius_km: float, group: Sequence[str] = (),
     return candidates.join(present, [*group, "nbr_id"])
 
 
-KNN_TILES = (8, 64, 1024)
+KNN_SIZES = (3, 6, 12, 24, 48, 96, 192, 384)
 
 
 def nearest_cells(
-    cells: DataFrame, k: int, group: Sequence[str] = (), carry: Sequence[str] = (), tiles: Sequence[int] = KNN_TILES
+    cells: DataFrame, k: int, group: Sequence[str] = (), carry: Sequence[str] = (), sizes: Sequence[int] = KNN_SIZES
 ) -> DataFrame:
     """The ``min(k, n-1)`` nearest other listed cells of each cell, by (distance in degrees, cell id).
 
-    Cells look for neighbours in the 3x3 tiles around their own. A cell is settled when its k-th
-    neighbour is nearer than anything outside those tiles can be; the rest try again with larger tiles.
-    The last tile spans the whole lattice, so the result is complete.
+    Each cell first picks the smallest square tile around it that holds more than ``k`` listed cells:
+    its k-th neighbour is then no farther than the tile's diagonal. It searches the 3x3 block of tiles
+    just wide enough to contain everything that near, so one equi-join on (size, tile) finds all
+    candidates and the result is exact. Cells no tile satisfies search the whole lattice.
     """
     group = list(group)
     key = [*group, "cell_id"]
-    base = cells.select(*key, *carry).withColumn("i", spatial.cell_row(F.col("cell_id"))).withColumn(
-        "j", spatial.cell_col(F.col("cell_id"))
+    lat_step, lon_step = S.NODES_PER_DEG_LON, S.NODES_PER_DEG_LAT  # degree distance scaled by 111 * 107
+    diagonal = math.hypot(lat_step, lon_step)
+    whole = max(S.N_LAT, S.N_LON)
+    levels = [(b, math.ceil(diagonal * (b - 1) / min(lat_step, lon_step))) for b in sizes] + [(whole, whole)]
+    level_list = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(t).alias("t")) for b, t in levels])
+
+    base = cells.select(
+        *key,
+        *carry,
+        spatial.cell_row(F.col("cell_id")).alias("i"),
+        spatial.cell_col(F.col("cell_id")).alias("j"),
+    )
+    tile = [F.floor(F.col("i") / F.col("l.b")).alias("bi"), F.floor(F.col("j") / F.col("l.b")).alias("bj")]
+    spread = base.select("*", F.explode(level_list).alias("l")).select("*", *tile)
+    in_tile = Window.partitionBy(*group, "l", "bi", "bj")
+    fits = (F.count(F.lit(1)).over(in_tile) > k) | (F.col("l.b") == whole)
+    seekers = (
+        spread.withColumn("fits", fits)
+        .where("fits")
+        .groupBy(*key)
+        .agg(F.min("l").alias("l"), *[F.first(c).alias(c) for c in ("i", "j", *carry)])
     )
-    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("group_n"))
-    pending = base.select(*key, "i", "j")
-    pending = pending.join(sizes, group) if group else pending.withColumn("group_n", sizes.scalar())
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    by_cell = Window.partitionBy(*key)
-    settled = []
-    for step, tile in enumerate(tiles):
-        seekers = (
-            pending.select("*", F.explode(around).alias("o"))
-            .withColumn("ti", F.floor(F.col("i") / tile) + F.col("o.a"))
-            .withColumn("tj", F.floor(F.col("j") / tile) + F.col("o.b"))
-            .drop("o")
-        )
-        holders = base.select(
-            *group,
-            F.floor(F.col("i") / tile).alias("ti"),
-            F.floor(F.col("j") / tile).alias("tj"),
-            F.col("cell_id").alias("nbr_id"),
-            F.col("i").alias("ni"),
-            F.col("j").alias("nj"),
-            *[F.col(c).alias(f"nbr_{c}") for c in carry],
-        )
-        d2 = F.pow((F.col("i") - F.col("ni")) * S.NODES_PER_DEG_LON, 2) + F.pow(
-            (F.col("j") - F.col("nj")) * S.NODES_PER_DEG_LAT, 2
-        )
-        found = (
-            seekers.join(holders, [*group, "ti", "tj"])
-            .where(F.col("cell_id") != F.col("nbr_id"))
-            .withColumn("d2", d2.cast("bigint"))
-            .withColumn("nbr_rank", F.row_number().over(by_cell.orderBy("d2", "nbr_id")))
-            .where(F.col("nbr_rank") <= k)
-            .withColumn("got", F.count(F.lit(1)).over(by_cell))
-            .withColumn("far", F.max("d2").over(by_cell))
-        )
-        last = step == len(tiles) - 1
-        if not last:
-            outside = ((tile + 1) * min(S.NODES_PER_DEG_LAT, S.NODES_PER_DEG_LON)) ** 2
-            enough = F.col("got") == F.least(F.lit(k), F.col("group_n") - 1)
-            found = found.where(enough & (F.col("far") < outside))
-        settled.append(
-            found.select(*key, "nbr_id", "d2", "nbr_rank", *[f"nbr_{c}" for c in carry])
-        )
-        if not last:
-            pending = pending.join(found.select(*key).distinct(), key, "left_anti")
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out
+    seekers = seekers.select("*", F.col("l.t").alias("t"), F.explode(around).alias("o")).select(
+        *key,
+        *carry,
+        "i",
+        "j",
+        "t",
+        (F.floor(F.col("i") / F.col("t")) + F.col("o.a")).alias("ti"),
+        (F.floor(F.col("j") / F.col("t")) + F.col("o.b")).alias("tj"),
+    )
+    holders = base.select("*", F.explode(F.array(*[F.lit(t) for _, t in levels])).alias("t")).select(
+        *group,
+        "t",
+        F.floor(F.col("i") / F.col("t")).alias("ti"),
+        F.floor(F.col("j") / F.col("t")).alias("tj"),
+        F.col("cell_id").alias("nbr_id"),
+        F.col("i").alias("ni"),
+        F.col("j").alias("nj"),
+        *[F.col(c).alias(f"nbr_{c}") for c in carry],
+    )
+    d2 = F.pow((F.col("i") - F.col("ni")) * lat_step, 2) + F.pow((F.col("j") - F.col("nj")) * lon_step, 2)
+    return (
+        seekers.join(holders, [*group, "t", "ti", "tj"])
+        .where(F.col("cell_id") != F.col("nbr_id"))
+        .withColumn("d2", d2.cast("bigint"))
+        .withColumn("nbr_rank", F.row_number().over(Window.partitionBy(*key).orderBy("d2", "nbr_id")))
+        .where(F.col("nbr_rank") <= k)
+        .select(*key, *carry, "nbr_id", "d2", "nbr_rank", *[f"nbr_{c}" for c in carry])
+    )

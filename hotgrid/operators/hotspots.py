@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid import settings as S
@@ -27,16 +27,18 @@ def filter_incidents(
 def layer_counts(incidents: DataFrame, per_region: bool = False, min_cases: int = S.MIN_CASES_PER_CELL) -> DataFrame:
     """Incidents per (layer[, region], cell) over the active grid; layers are 'overall' and every category.
 
-    Counts per category are made first; the layer copy then only touches that small table.
+    Counts per (cell, category) are made first; the activity test and the layer copy only touch those.
     """
     keys = ["region_name"] if per_region else []
-    base = incidents.where(F.col("region_name").isNotNull()) if per_region else incidents
-    by_cat = base.groupBy(*keys, "cell_id", "category_name").agg(F.count(F.lit(1)).alias("n"))
-    layered = by_cat.select(
+    by_cat = incidents.groupBy("cell_id", *keys, "category_name").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("cell_id"))
+    active = by_cat.withColumn("total", total).where(F.col("total") >= min_cases)
+    if per_region:
+        active = active.where(F.col("region_name").isNotNull())
+    layered = active.select(
         *keys, "cell_id", "n", F.explode(F.array(F.lit("overall"), F.col("category_name"))).alias("layer")
     ).where(F.col("layer").isNotNull())
-    counts = layered.groupBy("layer", *keys, "cell_id").agg(F.sum("n").alias("case_count"))
-    return counts.join(grid.active_cells(incidents, min_cases).select("cell_id"), "cell_id", "left_semi")
+    return layered.groupBy("layer", *keys, "cell_id").agg(F.sum("n").alias("case_count"))
 
 
 def drop_small_regions(
@@ -48,25 +50,31 @@ def drop_small_regions(
     return counts.join(keep.select("layer", "region_name"), ["layer", "region_name"], "left_semi")
 
 
+def _with_group_stats(cells: DataFrame, counts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Attach n, mean and sum of squares of the group; there are only as many groups as layers x regions."""
+    stats = counts.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("case_count").alias("mean"),
+        F.sum(F.col("case_count") * F.col("case_count")).alias("sum_sq"),
+    )
+    if group:
+        return cells.join(stats, list(group))
+    one = stats.select(F.struct("n", "mean", "sum_sq")).scalar()
+    return cells.withColumn("_s", one).select(*cells.columns, "_s.n", "_s.mean", "_s.sum_sq")
+
+
 def gi_star(counts: DataFrame, group: Sequence[str] = (), k: int = 8) -> DataFrame:
     """Getis-Ord Gi* per cell with row-standardised weights over the k nearest cells and the cell itself.
 
     ``counts`` has one row per (group, cell_id) with ``case_count``. Groups below three cells are left out.
     """
-    group = list(group)
     key = [*group, "cell_id"]
     near = (
         grid.nearest_cells(counts, k, group, carry=["case_count"])
-        .groupBy(*key)
+        .groupBy(*key, "case_count")
         .agg(F.sum("nbr_case_count").alias("nbr_sum"), F.count(F.lit(1)).alias("n_nbr"))
     )
-    stats = counts.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("case_count").alias("mean"),
-        F.sum(F.col("case_count") * F.col("case_count")).alias("sum_sq"),
-    )
-    joined = counts.join(near, key)
-    joined = joined.join(stats, group) if group else joined.join(F.broadcast(stats))
+    joined = _with_group_stats(near, counts, group)
     local = (F.col("nbr_sum") + F.col("case_count")) / (F.col("n_nbr") + 1)
     spread = F.sqrt(F.greatest(F.col("sum_sq") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     scale = spread * F.sqrt((F.col("n") / (F.col("n_nbr") + 1) - 1) / (F.col("n") - 1))
@@ -93,20 +101,13 @@ def label_summary(cells: DataFrame, by: Sequence[str] = ("layer",)) -> DataFrame
 
 def local_moran(counts: DataFrame, group: Sequence[str] = (), k: int = 8) -> DataFrame:
     """Local Moran's I with the quadrant of (cell, neighbours) relative to the group mean."""
-    group = list(group)
     key = [*group, "cell_id"]
     near = (
         grid.nearest_cells(counts, k, group, carry=["case_count"])
-        .groupBy(*key)
+        .groupBy(*key, "case_count")
         .agg(F.avg("nbr_case_count").alias("nbr_mean"))
     )
-    stats = counts.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("case_count").alias("mean"),
-        F.sum(F.col("case_count") * F.col("case_count")).alias("sum_sq"),
-    )
-    joined = counts.join(near, key)
-    joined = joined.join(stats, group) if group else joined.join(F.broadcast(stats))
+    joined = _with_group_stats(near, counts, group)
     own, lag = F.col("case_count") - F.col("mean"), F.col("nbr_mean") - F.col("mean")
     total_sq = F.col("sum_sq") - F.col("n") * F.col("mean") * F.col("mean")
     quadrant = (
@@ -128,8 +129,8 @@ def permutation_p(counts: DataFrame, group: Sequence[str] = (), k: int = 8, tria
     """Gi* with a pseudo p-value: share of seeded redraws of the neighbours that are at least as extreme.
 
     Each trial of a cell draws ``k`` distinct other cells of its group: the group is numbered in hash
-    order, cut into k strata, and one cell is taken per stratum after a random turn. Drawing and lookup
-    are a join on (group, position), so no task needs the whole group.
+    order (at most the lattice's nodes), cut into k strata, and one cell is taken per stratum after a
+    random turn. Drawing and lookup are a join on (group, position).
     """
     group = list(group)
     key = [*group, "cell_id"]
@@ -138,8 +139,6 @@ def permutation_p(counts: DataFrame, group: Sequence[str] = (), k: int = 8, tria
         .groupBy(*key)
         .agg(F.sum("nbr_case_count").alias("nbr_sum"), F.count(F.lit(1)).alias("n_nbr"))
     )
-    from pyspark.sql import Window
-
     shuffled = Window.partitionBy(*group).orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id")
     numbered = counts.withColumn("slot", F.row_number().over(shuffled) - 1).withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy(*group))

@@ -63,12 +63,12 @@ def lattice_occupancy(spark, d):
     "inc",
     """SELECT cell_id, count(*) AS total_cases, count(*) FILTER (severity_id = 1) AS severe_cases,
   count(*) FILTER (severity_id = 2) AS standard_cases, count(*) FILTER (severity_id = 3) AS minor_cases,
-  count(DISTINCT category_id) AS n_types, round(avg(latitude), 6) AS mean_lat, round(avg(longitude), 6) AS mean_lon
+  count(DISTINCT category_id) AS n_types, round(avg(latitude), 10) AS mean_lat, round(avg(longitude), 10) AS mean_lon
 FROM inc GROUP BY cell_id""",
 )
 def cell_profile(spark, d):
     prof = grid.cell_profile(tables.order_incidents(spark, d))
-    return prof.withColumn("mean_lat", F.round("mean_lat", 6)).withColumn("mean_lon", F.round("mean_lon", 6))
+    return prof.withColumn("mean_lat", F.round("mean_lat", 10)).withColumn("mean_lon", F.round("mean_lon", 10))
 
 
 BOX = (12.5, 17.0, 74.0, 77.5)
