@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hotgrid.session import cut_lineage
+
 HEAVY_SHARE = 0.001
 HEAVY_MIN_ROWS = 100_000
 SALTS = 32
@@ -54,41 +56,43 @@ def skew_safe_join(
     return spread.drop("_hot").join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def _bounds(df: DataFrame, col: str, buckets: int) -> Column:
-    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return df.agg(F.array_distinct(F.percentile_approx(col, cuts, F.lit(10_000)))).scalar()
-
-
 def _order_buckets(df: DataFrame, value: str, tie: str | None, buckets: int) -> DataFrame:
     """Tag rows with (_pos, _eq, _sub) so that the tags sort like (value, tie).
 
     Values that are themselves a cut point get a bucket of their own, which is cut again by ``tie``;
     a value shared by many rows is therefore never sorted in one task.
     """
-    out = df.withColumn("_b", _bounds(df, value, buckets)).withColumn(
-        "_pos", F.size(F.filter("_b", lambda b: b < F.col(value)))
-    )
+    cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    bounds = [F.array_distinct(F.percentile_approx(c, cuts, F.lit(10_000))).alias(f"b{i}") for i, c in enumerate([value, tie or value])]
+    out = df.withColumn("_b", df.agg(F.struct(*bounds)).scalar())
+    below = lambda arr, col: F.size(F.filter(arr, lambda b: b < F.col(col)))
+    out = out.withColumn("_pos", below(F.col("_b.b0"), value))
     if tie is None:
         return out.drop("_b").withColumn("_eq", F.lit(0)).withColumn("_sub", F.lit(0))
-    out = out.withColumn("_eq", F.array_contains("_b", F.col(value)).cast("int")).withColumn(
-        "_t", _bounds(df, tie, buckets)
-    )
-    sub = F.when(F.col("_eq") == 1, F.size(F.filter("_t", lambda b: b < F.col(tie)))).otherwise(F.lit(0))
-    return out.withColumn("_sub", sub).drop("_b", "_t")
+    out = out.withColumn("_eq", F.array_contains("_b.b0", F.col(value)).cast("int"))
+    sub = F.when(F.col("_eq") == 1, below(F.col("_b.b1"), tie)).otherwise(F.lit(0))
+    return out.withColumn("_sub", sub).drop("_b")
 
 
 _TAGS = ["_pos", "_eq", "_sub"]
 
 
 def running_totals(
-    df: DataFrame, value: str, sums: Sequence[str], tie: str | None = None, buckets: int = ORDER_BUCKETS
+    df: DataFrame,
+    value: str,
+    sums: Sequence[str],
+    tie: str | None = None,
+    buckets: int = ORDER_BUCKETS,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``before_<s>`` (sum of ``s`` over rows ordered strictly earlier) for each column in ``sums``.
 
     Rows are range-bucketed by ``value`` (then ``tie``); bucket totals are a table of bounded size whose
     running sum is broadcast back, and the sum inside a bucket is an ordinary window.
-    Without ``tie`` the values must be distinct.
+    Without ``tie`` the values must be distinct. The input is read three times, so it is written to the
+    checkpoint folder first unless the caller says it already is.
     """
+    df = df if written else cut_lineage(df)
     tagged = _order_buckets(df, value, tie, buckets)
     totals = tagged.groupBy(*_TAGS).agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
     over_buckets = Window.orderBy(*_TAGS).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,17 +109,18 @@ def running_totals(
 
 
 def global_row_number(
-    df: DataFrame, value: str, tie: str, name: str = "rn", buckets: int = ORDER_BUCKETS
+    df: DataFrame, value: str, tie: str, name: str = "rn", buckets: int = ORDER_BUCKETS, written: bool = False
 ) -> DataFrame:
     """Row number over (value, tie) ascending without putting the whole table into one task."""
-    out = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), value, ["_one"], tie, buckets)
+    out = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), value, ["_one"], tie, buckets, written)
     return out.withColumn(name, F.col("before__one") + 1).drop("_one", "before__one")
 
 
 def percent_rank_avg(df: DataFrame, value: str, name: str = "pct_rank", buckets: int = ORDER_BUCKETS) -> DataFrame:
     """Share-of-rows rank where tied values get the average of their positions."""
-    sizes = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_m"))
-    ranked = running_totals(sizes, value, ["_m"], buckets=buckets)
+    df = cut_lineage(df)
+    sizes = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_m")))
+    ranked = running_totals(sizes, value, ["_m"], buckets=buckets, written=True)
     n = sizes.agg(F.sum("_m")).scalar()
     ranks = ranked.select(value, ((F.col("before__m") + (F.col("_m") + 1) / 2) / n).alias(name))
     return skew_safe_join(df, ranks, [value], "left", [c for c in df.columns if c != value] or [value])

@@ -54,16 +54,21 @@ def rolling_anomalies(
 
     Works on integer sums, z = (w*x - S1) / sqrt(w*S2 - S1^2), so the test itself is exact.
     """
-    past = Window.partitionBy(*key).orderBy("date").rowsBetween(-points, -1)
+    in_time = Window.partitionBy(*key).orderBy("date")
     x = F.col("n")
+    # running sums up to the day before; their difference at distance ``points`` is the trailing sum
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
     df = (
-        series.withColumn("_w", F.count(F.lit(1)).over(past))
-        .withColumn("_s1", F.sum("n").over(past))
-        .withColumn("_s2", F.sum(x * x).over(past))
+        series.withColumn("_w", F.row_number().over(in_time) - 1)
+        .withColumn("_c1", F.coalesce(F.sum("n").over(so_far), zero))
+        .withColumn("_c2", F.coalesce(F.sum(x * x).over(so_far), zero))
+        .withColumn("_s1", F.col("_c1") - F.lag("_c1", points).over(in_time))
+        .withColumn("_s2", F.col("_c2") - F.lag("_c2", points).over(in_time))
     )
     spread = F.lit(points) * F.col("_s2") - F.col("_s1") * F.col("_s1")
     lift = F.lit(points) * x - F.col("_s1")
-    hit = df.where((F.col("_w") == points) & (spread > 0) & (lift * lift >= spread * F.lit(threshold * threshold)))
+    hit = df.where((F.col("_w") >= points) & (spread > 0) & (lift * lift >= spread * F.lit(threshold * threshold)))
     mean = F.col("_s1") / points
     return _scored_days(hit, key, mean, x - mean, lift / F.sqrt(spread))
 
