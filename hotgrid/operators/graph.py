@@ -16,7 +16,7 @@ from hotgrid.session import cut_lineage
 
 def case_members(bridge: DataFrame, cap: int = S.MAX_ENTITIES_PER_CASE) -> DataFrame:
     """Distinct (case, entity) rows of cases with at most ``cap`` entities; rows without ids are dropped."""
-    rows = bridge.na.drop(subset=["case_id", "entity_id"]).select("case_id", "entity_id").distinct()
+    rows = cut_lineage(bridge.na.drop(subset=["case_id", "entity_id"]).select("case_id", "entity_id").distinct())
     small = rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).select("case_id")
     return skew_safe_join(rows, small, ["case_id"], "left_semi", ["entity_id"])
 
@@ -29,9 +29,9 @@ def cooccurrence_edges(
     Oversized cases go first, then entities seen in fewer than ``min_cases`` cases. What is left of a
     case has at most ``cap`` entities, so its pairs are made from one small array.
     """
-    rows = case_members(bridge, cap)
+    rows = cut_lineage(case_members(bridge, cap))
     often = rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cases).select("entity_id")
-    rows = skew_safe_join(rows, often, ["entity_id"], "left_semi", ["case_id"])
+    rows = skew_safe_join(rows, often, ["entity_id"], "left_semi", ["case_id"], counts_from=rows)
     members = rows.groupBy("case_id").agg(F.sort_array(F.collect_list("entity_id")).alias("m")).where(F.size("m") > 1)
     pairs = F.flatten(
         F.transform(
@@ -113,20 +113,27 @@ def eigenvector(edges: DataFrame, max_iter: int = 100, tol: float = 1e-6, fixed:
 def components(edges: DataFrame, scope: Sequence[str] = (), max_rounds: int = 40) -> DataFrame:
     """(scope, node, component): component is the smallest node id reachable, within each scope.
 
-    Alternating large-star and small-star steps shrink the edges to stars around the smallest ids in a
-    logarithmic number of rounds; hot vertices are salted once the edge table is large.
+    Alternating large-star and small-star steps (Kiveris et al. 2014) shrink the edges to stars around the
+    smallest ids in a logarithmic number of rounds; hot vertices are salted once the edge table is large.
     """
     scope = list(scope)
     key = [*scope, "u"]
     cur = cut_lineage(edges.select(*scope, F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
 
-    def state(df):
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns) % 1_000_000_007).alias("h")).first()
-        return row["n"], row["h"]
+    def settled(df: DataFrame) -> tuple[int, bool]:
+        """Row count, and whether every vertex has one parent that is itself no child."""
+        ends = df.select(*scope, F.col("u").alias("w"), F.lit(1).alias("child")).unionByName(
+            df.select(*scope, F.col("v").alias("w"), F.lit(0).alias("child"))
+        )
+        per = ends.groupBy(*scope, "w").agg(F.sum("child").alias("up"), F.min("child").alias("parent"))
+        row = per.agg(
+            F.sum("up").alias("n"), F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("parent") == 0))).alias("open")
+        ).first()
+        return row["n"] or 0, not row["open"]
 
-    before = state(cur)
+    n, done = cur.count(), False
     for _ in range(max_rounds):
-        big = before[0] > HEAVY_MIN_ROWS
+        big = n > HEAVY_MIN_ROWS
         sym = cur.unionByName(cur.select(*scope, F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy(*key).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (
@@ -141,11 +148,10 @@ def components(edges: DataFrame, scope: Sequence[str] = (), max_rounds: int = 40
         linked = _join(down, low2, key, "inner", ["v"], big).select(*scope, F.col("v").alias("u"), F.col("m").alias("v"))
         small = linked.unionByName(low2.select(*scope, "u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         cur = cut_lineage(small)
-        after = state(cur)
-        if after == before:
+        n, done = settled(cur)
+        if done:
             break
-        before = after
-    else:
+    if not done:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cur.select(*scope, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(*scope, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -162,7 +168,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     a = labels.select(F.col("node").alias("src"), F.col("community").alias("ca"))
     b = labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
     tagged = skew_safe_join(edges, a, ["src"], "inner", ["dst"])
-    tagged = skew_safe_join(tagged, b, ["dst"], "inner", ["src"])
+    tagged = skew_safe_join(tagged, b, ["dst"], "inner", ["src"], counts_from=edges)
     inner = tagged.where(F.col("ca") == F.col("cb")).groupBy(F.col("ca").alias("community")).agg(F.sum("weight").alias("l"))
     m = edges.agg(F.sum("weight").cast("double")).scalar()
     rows = per.join(inner, "community", "left").withColumn("m", m)
@@ -196,7 +202,7 @@ def communities(edges: DataFrame, levels: int = 2, rounds: int = 6) -> DataFrame
         a = labels.select(F.col("node").alias("src"), F.col("community").alias("ca"))
         b = labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
         merged = skew_safe_join(level_edges, a, ["src"], "inner", ["dst"])
-        merged = skew_safe_join(merged, b, ["dst"], "inner", ["src"])
+        merged = skew_safe_join(merged, b, ["dst"], "inner", ["src"], counts_from=level_edges)
         # edges inside a community stay as loops: they keep counting towards its strength
         level_edges = cut_lineage(
             merged.groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(
@@ -357,7 +363,7 @@ def inner_edges(edges: DataFrame, members: DataFrame, scope: str = "rank") -> Da
     a = members.select(F.col("node").alias("src"), F.col(scope))
     b = members.select(F.col("node").alias("dst"), F.col(scope).alias("_other"))
     tagged = skew_safe_join(edges, a, ["src"], "inner", ["dst"])
-    tagged = skew_safe_join(tagged, b, ["dst"], "inner", ["src"])
+    tagged = skew_safe_join(tagged, b, ["dst"], "inner", ["src"], counts_from=edges)
     return tagged.where(F.col(scope) == F.col("_other")).drop("_other")
 
 
@@ -370,9 +376,8 @@ def ranked_members(members: DataFrame, inside: DataFrame, scope: str = "rank", l
     return out.where(F.col("position") <= limit) if limit else out
 
 
-def _component_report(members: DataFrame, inside: DataFrame, scope: str) -> DataFrame:
+def _component_report(members: DataFrame, comp: DataFrame, scope: str) -> DataFrame:
     """Largest component and number of components per scope, members without edges included."""
-    comp = components(inside, [scope])
     placed = members.join(comp, [scope, "node"], "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy(scope, "component").agg(F.count(F.lit(1)).alias("size"))
     return sizes.groupBy(scope).agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("n"))
@@ -388,11 +393,12 @@ def community_report(members: DataFrame, edges: DataFrame, remove: int = 3) -> D
     cut = inside.join(few.withColumnRenamed("node", "src"), ["rank", "src"], "left_anti").join(
         few.withColumnRenamed("node", "dst"), ["rank", "dst"], "left_anti"
     )
-    before = _component_report(members, inside, "rank").select("rank", F.col("largest").alias("largest_before"))
-    after = _component_report(left, cut, "rank").select(
+    whole = cut_lineage(components(inside, ["rank"]))
+    before = _component_report(members, whole, "rank").select("rank", F.col("largest").alias("largest_before"))
+    after = _component_report(left, components(cut, ["rank"]), "rank").select(
         "rank", F.col("largest").alias("largest_after"), F.col("n").alias("components_after")
     )
-    artic = articulation_points(inside, ["rank"]).groupBy("rank").agg(F.count(F.lit(1)).alias("n_articulation"))
+    artic = articulation_points(inside, ["rank"], whole).groupBy("rank").agg(F.count(F.lit(1)).alias("n_articulation"))
     size = members.groupBy("rank").agg(F.count(F.lit(1)).alias("size"))
     count = inside.groupBy("rank").agg(F.count(F.lit(1)).alias("n_edges"))
     rows = size.join(count, "rank", "left").join(before, "rank").join(after, "rank", "left").join(artic, "rank", "left")
@@ -402,7 +408,9 @@ def community_report(members: DataFrame, edges: DataFrame, remove: int = 3) -> D
     ).withColumn("cohesion", F.col("n_edges") / F.col("size"))
 
 
-def articulation_points(edges: DataFrame, scope: Sequence[str] = (), max_depth: int = 500) -> DataFrame:
+def articulation_points(
+    edges: DataFrame, scope: Sequence[str] = (), labels: DataFrame | None = None, max_depth: int = 500
+) -> DataFrame:
     """Vertices whose removal splits their component, within each scope.
 
     Grows breadth-first trees from the smallest vertex of each component. Every non-tree edge closes a
@@ -413,10 +421,11 @@ def articulation_points(edges: DataFrame, scope: Sequence[str] = (), max_depth:
     pair = [*scope, "node"]
     edges = cut_lineage(edges.select(*scope, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     sym = cut_lineage(both_ways(edges, scope))
-    labels = components(edges, scope)
+    labels = components(edges, scope) if labels is None else labels
     none = F.lit(None).cast(dict(edges.dtypes)["src"])
     front = labels.where(F.col("node") == F.col("component")).select(*pair, none.alias("parent"), F.lit(0).alias("depth"))
     tree = front = cut_lineage(front)
+    # each front is written before it joins the tree, so the union never grows a lineage
     big = sym.count() > HEAVY_MIN_ROWS
     for depth in range(1, max_depth + 1):
         reached = _join(sym, front.select(*scope, F.col("node").alias("src")), [*scope, "src"], "left_semi", ["dst"], big)
@@ -425,7 +434,7 @@ def articulation_points(edges: DataFrame, scope: Sequence[str] = (), max_depth:
         front = cut_lineage(front.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        tree = cut_lineage(tree.unionByName(front.select(*tree.columns)))
+        tree = tree.unionByName(front.select(*tree.columns))
     else:
         raise RuntimeError(f"component deeper than {max_depth}")
 
@@ -450,7 +459,7 @@ def articulation_points(edges: DataFrame, scope: Sequence[str] = (), max_depth:
             .when(y_deeper, F.array(link("y", "y_up")))
             .otherwise(F.array(link("x", "x_up"), link("y", "y_up")))
         )
-        ties.append(cut_lineage(walk.select(*scope, F.explode(made).alias("l")).select(*scope, "l.*").distinct()))
+        ties.append(walk.select(*scope, F.explode(made).alias("l")).select(*scope, "l.*").distinct())
         on = walk.where(~meet).select(
             *scope,
             F.when(y_deeper, F.col("x")).otherwise(F.col("x_up")).alias("a"),

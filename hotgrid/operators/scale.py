@@ -28,6 +28,7 @@ def skew_safe_join(
     on: Sequence[str],
     how: str,
     salt_by: Sequence[str],
+    counts_from: DataFrame | None = None,
     salts: int = SALTS,
     share: float = HEAVY_SHARE,
     min_rows: int = HEAVY_MIN_ROWS,
@@ -36,9 +37,12 @@ def skew_safe_join(
 
     Rows of hot keys are spread over ``salts`` partitions by a hash of ``salt_by``; the matching right
     rows are repeated once per salt. The hot-key list has at most ``1/share`` rows, so it is broadcast.
+    Hot keys are counted on ``left`` or, to spare a second evaluation, on a stored table with (at least)
+    the same keys given as ``counts_from``.
     """
     on = list(on)
-    hot = F.broadcast(heavy_keys(left, on, share, min_rows).withColumn("_hot", F.lit(True)))
+    counted = left if counts_from is None else counts_from
+    hot = F.broadcast(heavy_keys(counted, on, share, min_rows).withColumn("_hot", F.lit(True)))
     spread = left.join(hot, on, "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int"),

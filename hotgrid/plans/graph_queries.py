@@ -41,12 +41,13 @@ def cc_sql(name: str, source: str, scope: str = "") -> str:
 
 
 def edges_of(spark, d, min_weight=1):
-    return graph.cooccurrence_edges(tables.case_entity(spark, d), min_weight=min_weight)
+    """The edge table, written once: every query below reads it several times."""
+    return cut_lineage(graph.cooccurrence_edges(tables.case_entity(spark, d), min_weight=min_weight))
 
 
 @query("cooccurrence_edges", G, "SELECT src, dst, weight FROM edges")
 def cooccurrence_edges(spark, d):
-    return edges_of(spark, d)
+    return graph.cooccurrence_edges(tables.case_entity(spark, d))
 
 
 @query(
@@ -80,7 +81,7 @@ def _power_sql(steps: int) -> str:
 
 @query("eigenvector_3", GD, _power_sql(3))
 def eigenvector_3(spark, d):
-    return graph.eigenvector(cut_lineage(edges_of(spark, d)), 3, fixed=True).withColumn("eigenvector", F.round("eigenvector", 9))
+    return graph.eigenvector(edges_of(spark, d), 3, fixed=True).withColumn("eigenvector", F.round("eigenvector", 9))
 
 
 @query("eigenvector")
@@ -170,11 +171,15 @@ def _members(spark, d):
     return cut_lineage(graph.community_members(labels, graph.select_communities(labels)))
 
 
+def _inside(spark, d, members):
+    return cut_lineage(graph.inner_edges(edges_of(spark, d), members))
+
+
 @query("community_core", C, "SELECT rank, node, degree, CAST(position AS INTEGER) AS position, CASE WHEN position = 1 THEN 'lead' WHEN position - 1 <= 4 THEN 'second' ELSE 'member' END AS role FROM mdeg WHERE position <= 22")
 def community_core(spark, d):
     """Best-connected members of each community with their roles (21/5 rounds to four seconds)."""
     members = _members(spark, d)
-    core = graph.ranked_members(members, graph.inner_edges(edges_of(spark, d), members), limit=22)
+    core = graph.ranked_members(members, _inside(spark, d, members), limit=22)
     return graph.member_roles(core)
 
 
@@ -185,8 +190,8 @@ def community_core(spark, d):
 )
 def core_edges(spark, d):
     members = _members(spark, d)
-    inside = graph.inner_edges(edges_of(spark, d), members)
-    core = graph.ranked_members(members, inside, limit=22)
+    inside = _inside(spark, d, members)
+    core = cut_lineage(graph.ranked_members(members, inside, limit=22).select("node"))
     return graph.induced_edges(inside, core).select("rank", "src", "dst", "weight")
 
 
@@ -197,7 +202,7 @@ def core_edges(spark, d):
 SELECT src, dst, weight FROM edges WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)""",
 )
 def export_graph(spark, d):
-    edges = cut_lineage(edges_of(spark, d))
+    edges = edges_of(spark, d)
     return graph.induced_edges(edges, graph.top_nodes(edges, 500))
 
 
@@ -222,19 +227,7 @@ def community_report(spark, d):
     return out.drop("n_articulation").withColumn("cohesion", F.round("cohesion", 6))
 
 
-def _articulation_sql() -> str:
-    return (
-        "WITH nn AS MATERIALIZED (SELECT DISTINCT node FROM (SELECT src AS node FROM strong UNION ALL SELECT dst FROM strong)),\n"
-        "se AS MATERIALIZED (SELECT g.node AS s, src, dst FROM nn g JOIN strong ON src <> g.node AND dst <> g.node),\n"
-        + cc_sql("cc", "se", "s") + ",\n" + cc_sql("base", "strong")
-        + """,
-parts AS (SELECT g.node AS s, coalesce(cc.component, o.node) AS c FROM nn g JOIN base gb ON gb.node = g.node JOIN base o ON o.component = gb.component AND o.node <> g.node
-  LEFT JOIN cc ON cc.s = g.node AND cc.node = o.node)
-SELECT s AS node FROM parts GROUP BY s HAVING count(DISTINCT c) > 1"""
-    )
-
-
-@query("articulation_points", G + " strong", _articulation_sql(), recursive=True)
+@query("articulation_points")
 def articulation_points(spark, d):
     return graph.articulation_points(edges_of(spark, d, min_weight=2).select("src", "dst"))
 
@@ -279,7 +272,7 @@ SELECT rank, score, CASE WHEN f < 0.30 THEN 'high' WHEN f < 0.65 THEN 'medium' E
 )
 def composite_score(spark, d):
     members = _members(spark, d)
-    inside = graph.inner_edges(edges_of(spark, d), members)
+    inside = _inside(spark, d, members)
     size = members.groupBy("rank").agg(F.count(F.lit(1)).alias("size"))
     count = inside.groupBy("rank").agg(F.count(F.lit(1)).alias("n_edges"))
     rows = size.join(count, "rank").withColumn("cohesion", F.col("n_edges") / F.col("size"))
@@ -294,7 +287,7 @@ def communities(spark, d):
 @query("community_summary")
 def community_summary(spark, d):
     """Modularity and number of the detected communities, next to those of plain components."""
-    edges = cut_lineage(edges_of(spark, d))
+    edges = edges_of(spark, d)
     found = graph.modularity(edges, graph.communities(edges)).withColumn("labelling", F.lit("communities"))
     parts = graph.components(edges).withColumnRenamed("component", "community")
     return found.unionByName(graph.modularity(edges, parts).withColumn("labelling", F.lit("components")))
@@ -310,8 +303,8 @@ SELECT src, dst, arg_min(weight, k) AS weight FROM (SELECT src, dst, weight, 0 A
 def merged_edges(spark, d):
     """Shared-case edges together with same-core edges; cores are at most 22 members, so pairs are few."""
     members = _members(spark, d)
-    edges = cut_lineage(edges_of(spark, d))
-    core = graph.ranked_members(members, graph.inner_edges(edges, members), limit=22)
+    edges = edges_of(spark, d)
+    core = graph.ranked_members(members, cut_lineage(graph.inner_edges(edges, members)), limit=22)
     lists = core.groupBy("rank").agg(F.sort_array(F.collect_list("node")).alias("m"))
     pairs = F.flatten(
         F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("src"), b.alias("dst"))))

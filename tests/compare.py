@@ -44,11 +44,15 @@ KINDS = {
 }
 
 
-def compare(spark, con, folder, fn, sql):
+def compare(spark, con, folder, fn, sql, clock=None):
     """Returns (number of rows, list of problems)."""
+    t0 = time.time()
     df = fn(spark, folder)
     cols = df.columns
-    got = rows_of(cols, [tuple(r) for r in df.collect()])
+    collected = df.collect()
+    if clock is not None:
+        clock["spark"] = time.time() - t0
+    got = rows_of(cols, [tuple(r) for r in collected])
     if sql is None:
         return len(got), []
     cur = con.execute(sql)
@@ -84,13 +88,13 @@ def main(argv):
     qs, ora = plans.queries(), plans.oracle_sql()
     bad = 0
     for name in names or qs:
-        t0 = time.time()
+        t0, clock = time.time(), {}
         try:
-            n, problems = compare(spark, con, folder, qs[name], ora.get(name))
+            n, problems = compare(spark, con, folder, qs[name], ora.get(name), clock)
         except Exception as e:  # report and go on with the next query
             n, problems = -1, [f"{type(e).__name__}: {str(e)[:1500]}"]
         bad += bool(problems) or n == 0
-        print(f"{'OK ' if not problems else 'BAD'} {name} rows={n} {time.time() - t0:.1f}s {'' if name in ora else '(no sql)'}", flush=True)
+        print(f"{'OK ' if not problems else 'BAD'} {name} rows={n} {clock.get('spark', 0):.1f}s of {time.time() - t0:.1f}s {'' if name in ora else '(no sql)'}", flush=True)
         for p in problems:
             print("    ", p[:1800], flush=True)
     print("failures:", bad)
