@@ -262,35 +262,31 @@ def emerging_cells(incidents: DataFrame, recent_months: int = 6, alpha: float =
     cells = cells.where(F.col("total_cases") >= min_cases)
     zero = F.lit(0)
     dense = F.transform(F.sequence("m0", "m1"), lambda m: F.coalesce(F.try_element_at("by_month", m), zero))
-    cells = cells.withColumn("m0", first).withColumn("m1", last).withColumn("x", dense).withColumn("k", F.size("x")).where(F.col("k") > recent_months)
+    # exploding a one-row array keeps the optimizer from copying the expression into each of its uses
+    cells = cells.withColumn("m0", first).withColumn("m1", last).withColumn("x", F.explode(F.array(dense)))
+    cells = cells.withColumn("k", F.size("x")).where(F.col("k") > recent_months)
 
     def later(i: Column) -> Column:
         rest = F.slice("x", i + 2, F.col("k"))
         here = F.element_at("x", i + 1)
-        return F.aggregate(rest, zero, lambda a, v: a + F.signum((v - here).cast("double")).cast("int"))
-
-    s = F.aggregate(F.sequence(zero, F.col("k") - 2), zero, lambda a, i: a + later(i))
-    ties = F.aggregate(
-        F.array_distinct("x"),
-        F.lit(0).cast("bigint"),
-        lambda a, v: a + F.size(F.filter("x", lambda w: w == v)).cast("bigint")
-        * (F.size(F.filter("x", lambda w: w == v)) - 1)
-        * (2 * F.size(F.filter("x", lambda w: w == v)) + 5),
-    )
-    k = F.col("k").cast("bigint")
-    var = (k * (k - 1) * (2 * k + 5) - F.col("ties")) / 18
-    z = F.when(F.col("var") > 0, (F.col("s") - F.signum(F.col("s").cast("double"))) / F.sqrt("var")).otherwise(F.lit(0.0))
+        return F.aggregate(rest, zero, lambda a, v: a + F.when(v > here, 1).when(v < here, -1).otherwise(0))
+
+    times = lambda v: F.size(F.filter("x", lambda w: w == v)).cast("bigint")
+    sizes = F.transform(F.array_distinct("x"), times)
     mean_of = lambda arr, n: F.aggregate(arr, zero, lambda a, v: a + v) / n
-    cells = (
-        cells.withColumn("s", s)
-        .withColumn("ties", ties)
-        .withColumn("var", var)
-        .withColumn("tau", F.col("s") / (k * (k - 1) / 2))
-        .withColumn("p", labels.normal_two_sided_p(z))
-        .withColumn("recent_monthly", mean_of(F.slice("x", -recent_months, recent_months), F.lit(recent_months)))
-        .withColumn("hist_monthly", mean_of(F.slice("x", F.lit(1), F.col("k") - recent_months), F.col("k") - recent_months))
-        .withColumn("busy", F.size(F.filter("x", lambda v: v > 0)))
+    facts = F.struct(
+        F.aggregate(F.sequence(zero, F.col("k") - 2), zero, lambda a, i: a + later(i)).alias("s"),
+        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, t: a + t * (t - 1) * (2 * t + 5)).alias("ties"),
+        mean_of(F.slice("x", -recent_months, recent_months), F.lit(recent_months)).alias("recent_monthly"),
+        mean_of(F.slice("x", F.lit(1), F.col("k") - recent_months), F.col("k") - recent_months).alias("hist_monthly"),
+        F.size(F.filter("x", lambda v: v > 0)).alias("busy"),
     )
+    cells = cells.select("cell_id", "total_cases", F.col("k").cast("bigint").alias("k"), F.explode(F.array(facts)).alias("f"))
+    cells = cells.select("cell_id", "total_cases", "k", "f.*")
+    k, s = F.col("k"), F.col("s")
+    var = (k * (k - 1) * (2 * k + 5) - F.col("ties")) / 18
+    z = F.when(var > 0, (s - F.signum(s.cast("double"))) / F.sqrt(var)).otherwise(F.lit(0.0))
+    cells = cells.withColumn("tau", s / (k * (k - 1) / 2)).withColumn("p", labels.normal_two_sided_p(z))
     category = (
         F.when((F.col("hist_monthly") == 0) & (F.col("recent_monthly") > 0), "new")
         .when((F.col("p") <= alpha) & (F.col("tau") > 0), "intensifying")

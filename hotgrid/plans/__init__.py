@@ -4,7 +4,7 @@ import importlib
 
 from hotgrid.plans import registry
 
-MODULES = ("spatial_queries", "time_queries", "panel_queries", "graph_queries", "act_queries")
+MODULES = ("spatial_queries", "time_queries", "panel_queries", "graph_queries", "act_queries", "io_queries")
 
 
 def _load() -> None:
