@@ -281,9 +281,9 @@ def emerging_cells(incidents: DataFrame, recent_months: int = 6, alpha: float =
         mean_of(F.slice("x", F.lit(1), F.col("k") - recent_months), F.col("k") - recent_months).alias("hist_monthly"),
         F.size(F.filter("x", lambda v: v > 0)).alias("busy"),
     )
-    cells = cells.select("cell_id", "total_cases", F.col("k").cast("bigint").alias("k"), F.explode(F.array(facts)).alias("f"))
+    cells = cells.select("cell_id", "total_cases", "k", F.explode(F.array(facts)).alias("f"))
     cells = cells.select("cell_id", "total_cases", "k", "f.*")
-    k, s = F.col("k"), F.col("s")
+    k, s = F.col("k").cast("bigint"), F.col("s")
     var = (k * (k - 1) * (2 * k + 5) - F.col("ties")) / 18
     z = F.when(var > 0, (s - F.signum(s.cast("double"))) / F.sqrt(var)).otherwise(F.lit(0.0))
     cells = cells.withColumn("tau", s / (k * (k - 1) / 2)).withColumn("p", labels.normal_two_sided_p(z))
