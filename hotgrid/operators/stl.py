@@ -1,0 +1,99 @@
+"""Loess seasonal-trend residual anomalies as a grouped-map operator.
+
+The default in :mod:`hotgrid.operators.series` is built from window functions. Where the iterated robust
+smoother itself is wanted, each series (one row per day, so bounded by the calendar) is smoothed in a task;
+Spark does the counting, filling, grouping, scoring and filtering.
+"""
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from hotgrid import settings as S
+from hotgrid.operators.series import KEY, _scored_days, rolling_anomalies
+
+
+def _loess(y: np.ndarray, weights: np.ndarray, span: int, at: np.ndarray) -> np.ndarray:
+    """Local linear fit with tricube weights over the ``span`` nearest points, evaluated at positions ``at``."""
+    n = len(y)
+    q = min(span, n)
+    left = np.clip(at - span // 2, 0, n - q).astype(int)
+    idx = left[:, None] + np.arange(q)[None, :]
+    dist = np.abs(idx - at[:, None])
+    reach = dist.max(axis=1) + max(span - n, 0) // 2
+    w = np.clip(1 - (dist / np.maximum(reach, 1e-12)[:, None]) ** 3, 0, None) ** 3 * weights[idx]
+    total = w.sum(axis=1)
+    flat = total <= 0
+    w = np.where(flat[:, None], 1.0 / q, w / np.where(flat, 1, total)[:, None])
+    centre = (w * idx).sum(axis=1)
+    spread = (w * (idx - centre[:, None]) ** 2).sum(axis=1)
+    slope = np.where(
+        np.sqrt(spread) > 0.001 * max(n - 1, 1),
+        (w * (idx - centre[:, None]) * y[idx]).sum(axis=1) / np.where(spread > 0, spread, 1),
+        0.0,
+    )
+    return (w * y[idx]).sum(axis=1) + slope * (at - centre)
+
+
+def _mean_of(x: np.ndarray, k: int) -> np.ndarray:
+    return np.convolve(x, np.full(k, 1 / k), "valid")
+
+
+def _odd(v: float) -> int:
+    k = int(np.ceil(v))
+    return k if k % 2 else k + 1
+
+
+def decompose(y: np.ndarray, period: int = 7, seasonal: int = 7, outer: int = 15) -> tuple[np.ndarray, np.ndarray]:
+    """(seasonal, trend) of a daily series by robust loess decomposition (Cleveland et al. 1990)."""
+    n = len(y)
+    trend_span, low_span = _odd(1.5 * period / (1 - 1.5 / seasonal)), _odd(period + 1)
+    everywhere, robust = np.arange(n), np.ones(n)
+    trend, season = np.zeros(n), np.zeros(n)
+    for round_no in range(outer + 1):
+        for _ in range(2):
+            cycle = np.empty(n + 2 * period)
+            for k in range(period):
+                part, w = (y - trend)[k::period], robust[k::period]
+                cycle[k::period] = _loess(part, w, seasonal, np.arange(-1, len(part) + 1))
+            low = _mean_of(_mean_of(_mean_of(cycle, period), period), 3)
+            season = cycle[period : n + period] - _loess(low, np.ones(n), low_span, everywhere)
+            trend = _loess(y - season, robust, trend_span, everywhere)
+        gap = np.abs(y - trend - season)
+        h = 6 * np.median(gap)
+        # a fit this close leaves only rounding noise to weigh
+        if round_no == outer or h <= 1e-6 * max(np.ptp(y), 1e-12):
+            break
+        robust = np.clip(1 - (gap / h) ** 2, 0, None) ** 2
+    return season, trend
+
+
+def loess_anomalies(
+    series: DataFrame,
+    key: Sequence[str] = KEY,
+    period: int = S.SEASON_DAYS,
+    threshold: float = S.ANOMALY_Z,
+    min_days: int = 60,
+) -> DataFrame:
+    """Days whose residual is at least ``threshold`` population deviations; short series use the rolling test."""
+    key = list(key)
+    kinds = dict(series.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", date date, n bigint, fitted double"
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("date")
+        season, trend = decompose(rows["n"].to_numpy(dtype=float), period)
+        return rows.assign(fitted=season + trend)[[*key, "date", "n", "fitted"]]
+
+    whole = Window.partitionBy(*key)
+    sized = series.withColumn("_len", F.count(F.lit(1)).over(whole))
+    long = sized.where(F.col("_len") >= min_days).drop("_len")
+    fitted = long.groupBy(*key).applyInPandas(smooth, schema).withColumn("_resid", F.col("n") - F.col("fitted"))
+    scored = fitted.withColumn("_sd", F.stddev_pop("_resid").over(whole))
+    hit = scored.where((F.col("_sd") > 1e-9) & (F.abs("_resid") >= F.col("_sd") * threshold))
+    out = _scored_days(hit, key, F.col("fitted"), F.col("_resid"), F.col("_resid") / F.col("_sd"))
+    short = sized.where(F.col("_len") < min_days).drop("_len")
+    return out.unionByName(rolling_anomalies(short, key, threshold=threshold))

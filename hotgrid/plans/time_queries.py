@@ -332,3 +332,10 @@ def emerging_cells(spark, d):
         "cell_id", "category", F.round("tau", 6).alias("tau"), F.round("p", 6).alias("p"),
         F.round("recent_monthly", 4).alias("recent_monthly"), F.round("hist_monthly", 4).alias("hist_monthly"), "total_cases",
     )
+
+
+@query("loess_anomaly")
+def loess_anomaly(spark, d):
+    from hotgrid.operators import stl
+
+    return stl.loess_anomalies(daily(spark, d))
