@@ -176,7 +176,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.sum(part).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def communities(edges: DataFrame, levels: int = 2, rounds: int = 6) -> DataFrame:
+def communities(edges: DataFrame, levels: int = 2, rounds: int = 5) -> DataFrame:
     """(node, community) by weighted modularity moves, then contraction and repeat.
 
     In each round half of the vertices (by a hash that alternates) may move to the neighbouring
@@ -232,6 +232,8 @@ def _move_vertices(edges: DataFrame, two_m: float, rounds: int) -> DataFrame:
         )
         stay = state.select("node", "community", F.lit(0.0).alias("w"))
         options = toward.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        if big:  # the salted join reads its left side twice
+            options = cut_lineage(options)
         options = _join(options, volume, ["community"], "inner", ["node"], big)
         mine = state.select("node", F.col("community").alias("own"), "k")
         options = options.join(mine, "node")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hotgrid.session import cut_lineage
 
 HEAVY_SHARE = 0.001
-HEAVY_MIN_ROWS = 100_000
+HEAVY_MIN_ROWS = 1_000_000
 SALTS = 32
 ORDER_BUCKETS = 64
 
