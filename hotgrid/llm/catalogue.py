@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import jaccard, quality_rules
+from hotgrid.llm import decontaminate, jaccard, quality_rules, secret_scan
 from hotgrid.llm.stats import COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query(
+    "op3_benchmark_windows",
+    """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+iw AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k,
+    unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i+9], ' '))) AS t
+  FROM b WHERE len(w) > 0),
+dw AS MATERIALIZED (
+  SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS t
+  FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
+met AS MATERIALIZED (SELECT doc_id, item_id, i, dw.k FROM dw JOIN iw ON dw.t = iw.t AND dw.k = iw.k),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM met) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM met) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
+  sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)""",
+)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, folder, "benchmark"), "h").select("doc_id", "h")
+    n_hit = decontaminate.covered(F.col("h.spans"))
+    items = F.array_sort(F.transform("h.items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "h.n_words",
+        n_hit.alias("n_hit"),
+        F.size("h.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 @query("op5_quality_forest")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -36,16 +75,26 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"v.{c}") for c in COUNTS[:5]], "v.base_failed", "v.kept")
 
 
+@query("op6_markov_secrets")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_tokens(docs))
+    found = secret_scan.scan(docs, model, "base", "found").select("doc_id", "base", "found")
+    kinds = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS[:3]]
+    base = F.sha2(secret_scan.joined(F.col("base")), 256)
+    return found.select("doc_id", *kinds, base.alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
+
+
 @query(
     "op9_heavy_light_join",
     """
 WITH RECURSIVE folded AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 sets AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) >= 4
-    THEN list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' ')))
+    THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))
     WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END AS s
   FROM folded),
 items AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM sets),
