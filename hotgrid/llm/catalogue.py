@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import decontaminate, jaccard, quality_rules, secret_scan
+from hotgrid.llm import decontaminate, jaccard, packing, quality_rules, secret_scan
 from hotgrid.llm.stats import COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *kinds, base.alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
 
 
+@query("op7_genetic_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"), packing.vocabulary())
+
+
 @query(
     "op9_heavy_light_join",
     """
