@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import chat, decontaminate, jaccard, packing, quality_rules, secret_scan, sharding
+from hotgrid.llm import chat, decontaminate, jaccard, packing, quality_rules, rule_ensemble, secret_scan, sharding
 from hotgrid.llm.stats import COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_rule_ensemble")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = rule_ensemble.fit(docs, table(spark, folder, "labels").where(~held_out))
+    scored = rule_ensemble.scored(docs, model, "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op2_bounded_ring")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.assign(table(spark, folder, "documents").select("doc_id", "text"), 16)
