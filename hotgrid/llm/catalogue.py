@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import chat, decontaminate, jaccard, packing, quality_rules, rule_ensemble, secret_scan, sharding
+from hotgrid.llm import chat, decontaminate, jaccard, packing, pii, quality_rules, rule_ensemble, secret_scan, sharding
 from hotgrid.llm.stats import COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,13 @@ FROM sizes""",
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.groups(table(spark, folder, "documents").select("doc_id", "text"), k=4, pct=85)
+
+
+@query("op10_shape_field")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = pii.train(pii.labelled_table(docs))
+    found = docs.select("doc_id", pii.scan(F.col("text"), field).alias("s"))
+    kinds = [F.expr(f"size(filter(s.base, x -> x.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.joined(F.col("s.base")), 256)
+    return found.select("doc_id", *kinds, base.alias("base_sha256"), pii.joined(F.col("s.found")).alias("spans"))
