@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import chat, decontaminate, jaccard, packing, pii, quality_rules, rule_ensemble, secret_scan, sharding
+from hotgrid.llm import chat, decontaminate, jaccard, packing, passages, pii, quality_rules, rule_ensemble, secret_scan, sharding
 from hotgrid.llm.stats import COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_chained_passages")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.find(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op5_quality_forest")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
