@@ -16,8 +16,13 @@ def cell_of(lat: Column, lon: Column) -> Column:
 def cell_of_e6(lat_e6: Column, lon_e6: Column) -> Column:
     """Same as :func:`cell_of` for integer micro-degrees, in exact integer arithmetic."""
     lat0, lon0 = int(S.LAT_MIN * 1_000_000), int(S.LON_MIN * 1_000_000)
-    i = F.floor(((lat_e6 - lat0) * S.NODES_PER_DEG_LAT + 500_000) / 1_000_000)
-    j = F.floor(((lon_e6 - lon0) * S.NODES_PER_DEG_LON + 500_000) / 1_000_000)
+    million = F.lit(1_000_000).cast("bigint")
+
+    def nearest(offset: Column) -> Column:
+        return F.call_function("div", offset - F.pmod(offset, million), million)
+
+    i = nearest((lat_e6 - lat0).cast("bigint") * S.NODES_PER_DEG_LAT + 500_000)
+    j = nearest((lon_e6 - lon0).cast("bigint") * S.NODES_PER_DEG_LON + 500_000)
     return _clamped_cell(i, j)
 
 

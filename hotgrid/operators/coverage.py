@@ -69,20 +69,16 @@ def _pairs(cells: DataFrame, radius_km: float) -> DataFrame:
 
 
 def greedy_coverage(
-    cells: DataFrame, units: int = max(S.SCENARIOS), radius_km: float = S.PATROL_RADIUS_KM, scan: int | None = None
+    cells: DataFrame, units: int = max(S.SCENARIOS), radius_km: float = S.PATROL_RADIUS_KM
 ) -> DataFrame:
     """Allocation per region: unit number, seed and each newly covered cell with its risk (long form).
 
     Every round takes, in all regions at once, the uncovered seed whose reach holds most uncovered risk;
     ties go to the higher own risk, then the smaller cell id. A plan for fewer units is the prefix of a
-    plan for more. ``scan`` restricts seeds to the that many riskiest cells of each region.
+    plan for more.
     """
     cells = cut_lineage(cells.select("region_name", "cell_id", "risk"))
     pairs = _pairs(cells, radius_km)
-    if scan:
-        order = Window.partitionBy("region_name").orderBy(F.desc("risk"), "cell_id")
-        seeds = cells.withColumn("r", F.row_number().over(order)).where(F.col("r") <= scan)
-        pairs = pairs.join(seeds.select("region_name", F.col("cell_id").alias("seed")), ["region_name", "seed"], "left_semi")
     own = cells.select("region_name", F.col("cell_id").alias("seed"), F.col("risk").alias("own_risk"))
     pairs = cut_lineage(pairs.join(own, ["region_name", "seed"]))
     open_pairs, rounds = pairs, []

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotgrid.operators.scale import skew_safe_join
 
 
 def case_counts(bridge: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def entity_cases(bridge: DataFrame, incidents: DataFrame) -> DataFrame:
     facts = incidents.select(
         F.col("incident_id").alias("case_id"), "category_name", "region_name", "severity_id", "ts"
     )
-    return skew_safe_join(rows, facts, ["case_id"], "inner", ["entity_id"])
+    return rows.join(facts, "case_id")
 
 
 def entity_profiles(
@@ -50,7 +49,7 @@ def entity_profiles(
     Category and region maps are bounded by the number of categories and regions; associate lists by ``shown``.
     """
     flag = charged.select("case_id").distinct().withColumn("charged", F.lit(1))
-    rows = skew_safe_join(entity_cases(bridge, incidents), flag, ["case_id"], "left", ["entity_id"])
+    rows = entity_cases(bridge, incidents).join(flag, "case_id", "left")
     cells = rows.groupBy("entity_id", "category_name", "region_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("severity_id") == 1).alias("severe"),

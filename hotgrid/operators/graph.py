@@ -77,7 +77,8 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, salt_b
 def eigenvector(edges: DataFrame, max_iter: int = 100, tol: float = 1e-6, fixed: bool = False) -> DataFrame:
     """Eigenvector centrality by power iteration on (A + I), unit length.
 
-    Stops when the summed change is below ``n * tol``; ``fixed`` runs exactly ``max_iter`` steps lazily.
+    Stops when the summed change is below ``n * tol`` and raises if ``max_iter`` steps do not suffice; ``fixed`` runs
+    exactly ``max_iter`` steps lazily.
     """
     sym = both_ways(edges)
     if not fixed:
@@ -105,8 +106,11 @@ def eigenvector(edges: DataFrame, max_iter: int = 100, tol: float = 1e-6, fixed:
         )
         done = change.first()
         x = new
-        if done["c"] < done["n"] * tol:
+        if not done["n"] or done["c"] < done["n"] * tol:
             break
+    else:
+        if not fixed:
+            raise RuntimeError(f"eigenvector centrality did not converge in {max_iter} steps: change {done['c']}")
     return x.withColumnRenamed("x", "eigenvector")
 
 
@@ -176,12 +180,13 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.sum(part).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def communities(edges: DataFrame, levels: int = 2, rounds: int = 5) -> DataFrame:
-    """(node, community) by weighted modularity moves, then contraction and repeat.
+def communities(edges: DataFrame, max_levels: int = 20, max_rounds: int = 100) -> DataFrame:
+    """(node, community) by weighted modularity moves, then contraction and repeat, until nothing is gained.
 
-    In each round half of the vertices (by a hash that alternates) may move to the neighbouring
-    community with the largest gain; ties go to the smallest label. Halving keeps pairs of vertices from
-    swapping forever. If the result is worse than plain components, the components are returned.
+    In each round a part of the vertices (by a hash that alternates) may move to the neighbouring community with the
+    largest gain; ties go to the smallest label. Moving in parts keeps pairs of vertices from swapping forever; the parts
+    shrink as a level goes on. A level ends when a whole turn of parts moves nothing, the search when a level merges
+    nothing; both raise beyond their limits. If the result is worse than plain components, the components are returned.
     """
     base = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = base.agg(F.sum("weight")).first()[0]
@@ -189,8 +194,10 @@ def communities(edges: DataFrame, levels: int = 2, rounds: int = 5) -> DataFrame
         return base.select(F.col("src").alias("node"), F.col("src").alias("community"))
     two_m = 2.0 * total
     level_edges, mapping = base, None
-    for _ in range(levels):
-        labels = _move_vertices(level_edges, two_m, rounds)
+    for _ in range(max_levels):
+        labels = _move_vertices(level_edges, two_m, max_rounds)
+        if mapping is not None and labels.where("node <> community").isEmpty():
+            break
         if mapping is None:
             mapping = labels
         else:
@@ -209,6 +216,8 @@ def communities(edges: DataFrame, levels: int = 2, rounds: int = 5) -> DataFrame
                 F.sum("weight").alias("weight")
             )
         )
+    else:
+        raise RuntimeError(f"communities did not settle in {max_levels} levels")
     parts = components(base).withColumnRenamed("component", "community")
     found, plain = modularity(base, mapping).first()[0], modularity(base, parts).first()[0]
     return mapping if found >= plain else parts
@@ -221,7 +230,9 @@ def _move_vertices(edges: DataFrame, two_m: float, rounds: int) -> DataFrame:
     strength = cut_lineage(sym.unionByName(loops).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
     big = sym.count() > HEAVY_MIN_ROWS
     labels = strength.select("node", F.col("node").alias("community"))
+    still = 0
     for r in range(rounds):
+        parts = 2 + r // 8
         state = cut_lineage(strength.join(labels, "node"))
         volume = state.groupBy("community").agg(F.sum("k").alias("vol"))
         ends = state.select(F.col("node").alias("dst"), "community")
@@ -243,16 +254,17 @@ def _move_vertices(edges: DataFrame, two_m: float, rounds: int) -> DataFrame:
         choice = options.groupBy("node", "own").agg(
             F.max(F.struct("gain", "here", (-F.col("community")).alias("neg"))).alias("best")
         )
-        turn = F.pmod(F.xxhash64("node") + r, F.lit(2)) == 0
+        turn = F.pmod(F.xxhash64("node") + r, F.lit(parts)) == 0
         new = choice.select(
             "node", F.when(turn, -F.col("best.neg")).otherwise(F.col("own")).alias("community"), "own"
         )
         new = cut_lineage(new)
         moved = new.agg(F.count_if(F.col("community") != F.col("own"))).first()[0]
         labels = new.drop("own")
-        if moved == 0 and r > 0:
-            break
-    return labels
+        still = 0 if moved else still + 1
+        if still >= parts:
+            return labels
+    raise RuntimeError(f"vertices still move after {rounds} rounds")
 
 
 def removal_analysis(
@@ -490,13 +502,11 @@ def min_max(col: str) -> F.Column:
 
 def community_profile(members: DataFrame, bridge: DataFrame, incidents: DataFrame) -> DataFrame:
     """Per community: distinct cases, severe and violent share of its rows, regions, most frequent category."""
-    rows = skew_safe_join(
-        bridge.na.drop(subset=["entity_id"]), members.withColumnRenamed("node", "entity_id"), ["entity_id"], "inner", ["case_id"]
-    )
+    rows = bridge.na.drop(subset=["entity_id"]).join(members.withColumnRenamed("node", "entity_id"), "entity_id")
     facts = incidents.select(
         F.col("incident_id").alias("case_id"), "severity_id", "category_id", "category_name", "region_name"
     )
-    rows = skew_safe_join(rows, facts, ["case_id"], "left", ["entity_id"])
+    rows = rows.join(facts, "case_id", "left")
     parts = rows.groupBy("rank", "category_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("severity_id") == 1).alias("severe"),

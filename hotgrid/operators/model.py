@@ -25,15 +25,21 @@ def feature_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if kind in NUMERIC and name not in NOT_FEATURES]
 
 
-def cap_training_rows(train: DataFrame, max_rows: int = MAX_TRAIN_ROWS, seed: int = 42) -> DataFrame:
-    """All positives, and negatives thinned so that about ``max_rows`` rows remain (never fewer than positives)."""
+def cap_training_rows(
+    train: DataFrame, max_rows: int = MAX_TRAIN_ROWS, negative_rate: float = S.NEGATIVE_SAMPLE_RATE, seed: int = 42
+) -> DataFrame:
+    """Rows to fit on: all positives, and a share of the negatives so that at most about ``max_rows`` rows remain.
+
+    At most ``negative_rate`` of the negatives is used, but never fewer than there are positives.
+    """
     counts = train.agg(
         F.struct(F.count_if(F.col("has_crime") == 1).alias("pos"), F.count(F.lit(1)).alias("all"))
     ).scalar()
     rows = train.withColumn("_c", counts)
     pos, every = F.col("_c.pos"), F.col("_c.all")
-    want = F.greatest(F.lit(max_rows) - pos, pos)
-    keep_rate = F.when(every <= max_rows, F.lit(1.0)).otherwise(want / F.greatest(every - pos, F.lit(1)))
+    negatives = F.greatest(every - pos, F.lit(1))
+    want = F.greatest(F.least(F.lit(max_rows) - pos, negatives * negative_rate), pos)
+    keep_rate = want / negatives
     draw = F.pmod(F.xxhash64("cell_id", "date", "shift", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     return rows.where((F.col("has_crime") == 1) | (draw < keep_rate)).drop("_c")
 
@@ -48,9 +54,9 @@ def _with_plain_names(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def train_risk_model(
-    matrix: DataFrame, features: Sequence[str] | None = None, kind: str = "gbt", max_iter: int = 20, seed: int = 42
+    matrix: DataFrame, features: Sequence[str] | None = None, kind: str = "gbt", max_iter: int = 500, seed: int = 42
 ) -> PipelineModel:
-    """Classifier of has_crime on the train split; boosted trees stop early on the val split."""
+    """Classifier of has_crime on the train split; boosted trees grow until the val split gains nothing more."""
     features = list(features or feature_columns(matrix))
     used = cap_training_rows(matrix.where(F.col("split") == "train"), seed=seed).unionByName(
         matrix.where(F.col("split") == "val")

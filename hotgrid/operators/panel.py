@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hotgrid import settings as S
 from hotgrid.functions import labels
 from hotgrid.operators import grid
-from hotgrid.operators.scale import skew_safe_join
+from hotgrid.session import cut_lineage
 
 
 def time_parts(incidents: DataFrame) -> DataFrame:
@@ -36,6 +36,19 @@ def daily_cell_counts(incidents: DataFrame) -> DataFrame:
     )
 
 
+def active_days(incidents: DataFrame, min_cases: int = S.MIN_CASES_PER_CELL) -> tuple[DataFrame, DataFrame]:
+    """Stored daily counts of the active cells, and the cells: one read of the incidents serves both."""
+    shift = labels.shift_of(F.hour("ts"))
+    counts = cut_lineage(
+        incidents.groupBy("cell_id", F.to_date("ts").alias("date")).agg(
+            F.count(F.lit(1)).alias("n"), *[F.count_if(shift == s).alias(f"n{s}") for s in (0, 1, 2)]
+        )
+    )
+    cells = counts.groupBy("cell_id").agg(F.sum("n").alias("total_cases")).where(F.col("total_cases") >= min_cases)
+    cells = cells.where(F.col("cell_id").isNotNull())
+    return counts.where(F.col("date").isNotNull()).join(cells.select("cell_id"), "cell_id", "left_semi"), cells
+
+
 def densify(daily: DataFrame, values: Sequence[str], first: Column, last: Column) -> DataFrame:
     """Every day from ``first`` to ``last`` for every cell, zero where nothing is listed.
 
@@ -54,11 +67,15 @@ def densify(daily: DataFrame, values: Sequence[str], first: Column, last: Column
     return days.select("cell_id", "date", *[F.when(here, F.col(v)).otherwise(F.lit(0)).alias(v) for v in values])
 
 
-def panel(incidents: DataFrame) -> DataFrame:
-    """(cell, date, shift) for all cells, all days between the first and last, all three shifts."""
-    daily = daily_cell_counts(incidents)
-    first, last = daily.agg(F.min("date")).scalar(), daily.agg(F.max("date")).scalar()
-    return split_shifts(densify(daily, ["n0", "n1", "n2"], first, last))
+def _span(daily: DataFrame) -> tuple[Column, Column]:
+    """First and last day, as one subquery."""
+    span = daily.agg(F.struct(F.min("date").alias("first"), F.max("date").alias("last"))).scalar()
+    return span["first"], span["last"]
+
+
+def panel(daily: DataFrame) -> DataFrame:
+    """(cell, date, shift) for all cells of stored daily counts, all days between the first and last, all three shifts."""
+    return split_shifts(densify(daily, ["n0", "n1", "n2"], *_span(daily)))
 
 
 def split_shifts(days: DataFrame) -> DataFrame:
@@ -91,7 +108,7 @@ def near_repeat_days(
     around = [F.sum(F.when(F.col("km") <= r, F.col("n")).otherwise(0)).alias(f"_r{i}") for i, r in enumerate(radii)]
     own = F.col("cell_id") == F.col("nbr_id")
     mine = [F.sum(F.when(own, F.col(f"n{s}")).otherwise(0)).alias(f"n{s}") for s in (0, 1, 2)]
-    first, last = daily.agg(F.min("date")).scalar(), daily.agg(F.max("date")).scalar()
+    first, last = _span(daily)
     sums = (
         edges.join(daily.withColumnRenamed("cell_id", "nbr_id"), "nbr_id")
         .groupBy("cell_id", "date")
@@ -120,15 +137,15 @@ def split_of(date: Column, train_end: str, val_end: str) -> Column:
     )
 
 
-def history_cutoffs(train_end: str, val_end: str, strict: bool = False, start: str | None = None) -> dict[str, str]:
+def history_cutoffs(train_end: str, val_end: str, reference_mode: bool = False, start: str | None = None) -> dict[str, str]:
     """Split -> exclusive end of the history its rows may see.
 
-    The default gives training rows their whole window and val/test rows everything before ``val_end``.
-    ``strict`` ends each history where the split begins, so no row sees its own period.
+    Each history ends where its split begins, so no row sees its own period; training rows see what lies before
+    ``start``. ``reference_mode`` gives training rows their whole window and the others everything before ``val_end``.
     """
-    if strict:
-        return {"train": start or "0001-01-01", "val": train_end, "test": val_end}
-    return {"train": train_end, "val": val_end, "test": val_end}
+    if reference_mode:
+        return {"train": train_end, "val": val_end, "test": val_end}
+    return {"train": start or "0001-01-01", "val": train_end, "test": val_end}
 
 
 def history_profile(
@@ -216,20 +233,16 @@ def feature_matrix(
     staff: DataFrame | None,
     train_end: str,
     val_end: str,
-    sample_rate: float = S.NEGATIVE_SAMPLE_RATE,
-    strict: bool = False,
+    reference_mode: bool = False,
     min_cases: int = S.MIN_CASES_PER_CELL,
+    start: str | None = None,
 ) -> DataFrame:
-    """The full (cell, date, shift) feature table over active cells."""
-    cells = grid.active_cells(incidents, min_cases).select("cell_id")
-    kept = incidents.join(cells, "cell_id", "left_semi")
-    # days come from active cells only: inactive ones find no partner in the distance join
-    daily = daily_cell_counts(kept)
-    rows = split_shifts(near_repeat_days(daily, cells))
-    if sample_rate < 1.0:
-        rows = sample_negatives(rows, sample_rate)
+    """The full (cell, date, shift) feature table over active cells: no row is left out, thinning is for fitting only."""
+    daily, cells = active_days(incidents, min_cases)
+    kept = incidents.join(cells.select("cell_id"), "cell_id", "left_semi")
+    rows = split_shifts(near_repeat_days(daily, cells.select("cell_id")))
     rows = temporal_encodings(rows).withColumn("split", split_of(F.col("date"), train_end, val_end))
-    rows = rows.join(history_profile(kept, history_cutoffs(train_end, val_end, strict)), ["split", "cell_id"], "left")
+    rows = rows.join(history_profile(kept, history_cutoffs(train_end, val_end, reference_mode, start)), ["split", "cell_id"], "left")
     if staff is not None:
         rows = rows.join(staff_per_cell(kept, staff), "cell_id", "left")
     return rows.na.fill(0)

@@ -149,6 +149,8 @@ def sprees(
     spot is one vertex. Vertices are paired through (subtype, tile, week) buckets whose vertex count is
     bounded by the grain, then chained as connected components.
     """
+    if not 500 <= grain_e6 <= 10_000 * km:
+        raise ValueError("grain_e6 must be at least 500 (ids hold 14 bits per axis) and at most a hundredth of a degree per km")
     lat0, lon0 = 11_000_000, 73_000_000
     gy = F.floor((F.col("lat_e6") - lat0) / grain_e6).cast("bigint")
     gx = F.floor((F.col("lon_e6") - lon0) / grain_e6).cast("bigint")

@@ -10,7 +10,13 @@ from hotgrid.session import cut_lineage
 HEAVY_SHARE = 0.001
 HEAVY_MIN_ROWS = 1_000_000
 SALTS = 32
-ORDER_BUCKETS = 64
+ROWS_PER_BUCKET = 1_000_000
+MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+
+
+def order_buckets(rows: int) -> int:
+    """Range buckets that keep about ``ROWS_PER_BUCKET`` rows in each."""
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, -(-rows // ROWS_PER_BUCKET)))
 
 
 def heavy_keys(
@@ -86,17 +92,18 @@ def running_totals(
     value: str,
     sums: Sequence[str],
     tie: str | None = None,
-    buckets: int = ORDER_BUCKETS,
+    buckets: int | None = None,
     written: bool = False,
 ) -> DataFrame:
     """Add ``before_<s>`` (sum of ``s`` over rows ordered strictly earlier) for each column in ``sums``.
 
     Rows are range-bucketed by ``value`` (then ``tie``); bucket totals are a table of bounded size whose
     running sum is broadcast back, and the sum inside a bucket is an ordinary window.
-    Without ``tie`` the values must be distinct. The input is read three times, so it is written to the
+    The number of buckets follows the number of rows. Without ``tie`` the values must be distinct. The input is read three times, so it is written to the
     checkpoint folder first unless the caller says it already is.
     """
     df = df if written else cut_lineage(df)
+    buckets = buckets or order_buckets(df.count())
     tagged = _order_buckets(df, value, tie, buckets)
     totals = tagged.groupBy(*_TAGS).agg(*[F.sum(s).alias(f"_s_{s}") for s in sums])
     over_buckets = Window.orderBy(*_TAGS).rowsBetween(Window.unboundedPreceding, -1)
@@ -113,14 +120,14 @@ def running_totals(
 
 
 def global_row_number(
-    df: DataFrame, value: str, tie: str, name: str = "rn", buckets: int = ORDER_BUCKETS, written: bool = False
+    df: DataFrame, value: str, tie: str, name: str = "rn", buckets: int | None = None, written: bool = False
 ) -> DataFrame:
     """Row number over (value, tie) ascending without putting the whole table into one task."""
     out = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), value, ["_one"], tie, buckets, written)
     return out.withColumn(name, F.col("before__one") + 1).drop("_one", "before__one")
 
 
-def percent_rank_avg(df: DataFrame, value: str, name: str = "pct_rank", buckets: int = ORDER_BUCKETS) -> DataFrame:
+def percent_rank_avg(df: DataFrame, value: str, name: str = "pct_rank", buckets: int | None = None) -> DataFrame:
     """Share-of-rows rank where tied values get the average of their positions."""
     df = cut_lineage(df)
     sizes = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_m")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hotgrid import settings as S
 from hotgrid.functions import labels, periods
-from hotgrid.operators.scale import skew_safe_join
+from hotgrid.session import cut_lineage
 
 KEY = ("region_name", "category_name")
 
@@ -107,9 +107,7 @@ def seasonal_anomalies(
 def anomaly_cases(incidents: DataFrame, anomalies: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """The incidents behind each anomalous day, one row per incident (no per-day lists to outgrow a row)."""
     days = anomalies.select(*key, "date")
-    return skew_safe_join(
-        incidents.select(*key, F.to_date("ts").alias("date"), "incident_id"), days, [*key, "date"], "inner", ["incident_id"]
-    )
+    return incidents.select(*key, F.to_date("ts").alias("date"), "incident_id").join(days, [*key, "date"])
 
 
 def changepoints(
@@ -117,29 +115,25 @@ def changepoints(
     key: Sequence[str] = KEY,
     n_breaks: int = 5,
     min_size: int = 14,
-    top_series: int = 80,
+    top_series: int | None = None,
     jump: int = 1,
 ) -> DataFrame:
-    """Binary segmentation of the busiest series under squared-error cost, with 7-day change size.
+    """Binary segmentation of all series (or of the ``top_series`` busiest) under squared-error cost, with 7-day change size.
 
     Every round scores all admissible splits of all series from prefix sums and keeps the best one per
     series by a window maximum, so the rounds share one partitioning and need no join or action.
     """
     key = list(key)
-    busiest = (
-        series.groupBy(*key)
-        .agg(F.sum("n").alias("volume"), F.count(F.lit(1)).alias("days"))
-        .orderBy(F.desc("volume"), *key)
-        .limit(top_series)
-        .where(F.col("days") >= 2 * n_breaks + 2)
-    )
+    if top_series is not None:
+        volume = series.groupBy(*key).agg(F.sum("n").alias("volume"))
+        series = series.join(volume.orderBy(F.desc("volume"), *key).limit(top_series).select(*key), key, "left_semi")
     whole = Window.partitionBy(*key)
     in_time = whole.orderBy("date")
     pts = (
-        series.join(F.broadcast(busiest.select(*key)), key, "left_semi")
-        .withColumn("t", F.row_number().over(in_time) - 1)
+        series.withColumn("t", F.row_number().over(in_time) - 1)
         .withColumn("c", F.coalesce(F.sum("n").over(in_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("e", F.count(F.lit(1)).over(whole).cast("int"))
+        .where(F.col("e") >= 2 * n_breaks + 2)
         .withColumn("ce", F.sum("n").over(whole))
         .withColumn("before", F.avg("n").over(in_time.rowsBetween(-7, -1)))
         .withColumn("after", F.avg("n").over(in_time.rowsBetween(0, 6)))
@@ -254,7 +248,8 @@ def emerging_cells(incidents: DataFrame, recent_months: int = 6, alpha: float =
     """
     month = (F.year("ts") * 12 + F.month("ts") - 1).cast("int")
     counts = incidents.where(F.col("ts").isNotNull()).groupBy("cell_id", month.alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    first, last = counts.agg(F.min("m")).scalar(), counts.agg(F.max("m")).scalar()
+    counts = cut_lineage(counts)  # cells by months, read twice
+    span = counts.agg(F.struct(F.min("m").alias("first"), F.max("m").alias("last"))).scalar()
     cells = counts.groupBy("cell_id").agg(
         F.map_from_entries(F.collect_list(F.struct("m", F.col("n").cast("int")))).alias("by_month"),
         F.sum("n").alias("total_cases"),
@@ -263,7 +258,7 @@ def emerging_cells(incidents: DataFrame, recent_months: int = 6, alpha: float =
     zero = F.lit(0)
     dense = F.transform(F.sequence("m0", "m1"), lambda m: F.coalesce(F.try_element_at("by_month", m), zero))
     # exploding a one-row array keeps the optimizer from copying the expression into each of its uses
-    cells = cells.withColumn("m0", first).withColumn("m1", last).withColumn("x", F.explode(F.array(dense)))
+    cells = cells.withColumn("m0", span["first"]).withColumn("m1", span["last"]).withColumn("x", F.explode(F.array(dense)))
     cells = cells.withColumn("k", F.size("x")).where(F.col("k") > recent_months)
 
     def later(i: Column) -> Column:

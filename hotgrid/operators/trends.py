@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.functions import periods
+from hotgrid.session import cut_lineage
 
 
 def _pct(part: Column, whole: Column, digits: int) -> Column:
@@ -27,9 +28,9 @@ def region_summary(incidents: DataFrame) -> DataFrame:
             F.count_if(F.col("status_id") >= 3).alias("cleared"),
         )
     )
-    years = base.select("year").distinct().where(F.col("year").isNotNull())
-    latest = years.agg(F.max("year")).scalar()
-    prior = years.agg(F.max_by("year", F.when(F.col("year") < latest, F.col("year")))).scalar()
+    base = cut_lineage(base)  # regions by categories by years, read twice
+    years = base.agg(F.sort_array(F.collect_set("year"), asc=False)).scalar()
+    latest, prior = F.get(years, F.lit(0)), F.get(years, F.lit(1))
     by_cat = base.groupBy("region_name", "category_name").agg(
         F.sum("n").alias("n"),
         F.sum("severe").alias("severe"),

@@ -175,9 +175,15 @@ def _inside(spark, d, members):
     return cut_lineage(graph.inner_edges(edges_of(spark, d), members))
 
 
-@query("community_core", C, "SELECT rank, node, degree, CAST(position AS INTEGER) AS position, CASE WHEN position = 1 THEN 'lead' WHEN position - 1 <= 4 THEN 'second' ELSE 'member' END AS role FROM mdeg WHERE position <= 22")
+@query(
+    "community_core",
+    C,
+    """SELECT rank, node, degree, CAST(position AS INTEGER) AS position, CASE WHEN position = 1 THEN 'lead'
+  WHEN position - 1 <= least(5, greatest(2, floor((count(*) OVER (PARTITION BY rank) - 1) / 5 + 0.5))) THEN 'second' ELSE 'member' END AS role
+FROM mdeg WHERE position <= 22""",
+)
 def community_core(spark, d):
-    """Best-connected members of each community with their roles (21/5 rounds to four seconds)."""
+    """Best-connected members of each community with their roles; the number of seconds follows the size of the core."""
     members = _members(spark, d)
     core = graph.ranked_members(members, _inside(spark, d, members), limit=22)
     return graph.member_roles(core)
@@ -281,13 +287,14 @@ def composite_score(spark, d):
 
 @query("communities")
 def communities(spark, d):
-    return graph.communities(edges_of(spark, d))
+    """On pairs that met in two cases or more: single meetings are one blob of chance pairs."""
+    return graph.communities(edges_of(spark, d, min_weight=2))
 
 
 @query("community_summary")
 def community_summary(spark, d):
     """Modularity and number of the detected communities, next to those of plain components."""
-    edges = edges_of(spark, d)
+    edges = edges_of(spark, d, min_weight=2)
     found = graph.modularity(edges, graph.communities(edges)).withColumn("labelling", F.lit("communities"))
     parts = graph.components(edges).withColumnRenamed("component", "community")
     return found.unionByName(graph.modularity(edges, parts).withColumn("labelling", F.lit("components")))

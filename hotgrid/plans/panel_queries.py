@@ -22,6 +22,7 @@ CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FRO
 CROSS JOIN (SELECT unnest([0, 1, 2]) AS shift)
 LEFT JOIN (SELECT cell_id, CAST(ts AS DATE) AS date, {SHIFT_SQL} AS shift, count(*) AS n FROM act_evt GROUP BY ALL) USING (cell_id, date, shift)""",
 )
+_AGE = "date_diff('day', h.date, p.date)"
 _NEAR = [(r, w) for r in S.NEAR_RADII_KM for w in S.NEAR_WINDOWS_DAYS]
 view(
     "evt_near",
@@ -29,9 +30,9 @@ view(
 WITH cells AS (SELECT DISTINCT cell_id FROM act_evt),
 edges AS (SELECT a.cell_id, b.cell_id AS nbr_id, {cell_km('a.cell_id', 'b.cell_id')} AS km FROM cells a, cells b WHERE {cell_km('a.cell_id', 'b.cell_id')} <= 5),
 hits AS (SELECT e.cell_id, km, date, n FROM edges e JOIN (SELECT cell_id AS nbr_id, CAST(ts AS DATE) AS date, count(*) AS n FROM act_evt GROUP BY ALL) USING (nbr_id))
-SELECT p.cell_id, p.date, {', '.join(f'CAST(coalesce(sum(n) FILTER (km <= {r} AND date_diff(chr(100) || chr(97) || chr(121), h.date, p.date) BETWEEN 1 AND {w}), 0) AS BIGINT) AS "{panel.near_name(r, w)}"' for r, w in _NEAR)}
+SELECT p.cell_id, p.date, {', '.join(f'CAST(coalesce(sum(n) FILTER (km <= {r} AND {_AGE} BETWEEN 1 AND {w}), 0) AS BIGINT) AS "{panel.near_name(r, w)}"' for r, w in _NEAR)}
 FROM (SELECT DISTINCT cell_id, date FROM evt_panel) p LEFT JOIN hits h ON h.cell_id = p.cell_id AND h.date < p.date
-GROUP BY p.cell_id, p.date""".replace("chr(100) || chr(97) || chr(121)", "'day'"),
+GROUP BY p.cell_id, p.date""",
 )
 
 
@@ -46,7 +47,11 @@ FROM act_evt JOIN (
 WHERE ts < '{cutoff}' GROUP BY cell_id"""
 
 
-view("evt_history", " UNION ALL ".join(_history_sql(n, c) for n, c in panel.history_cutoffs(TRAIN_END, VAL_END).items()))
+# each history ends where its split begins; in reference mode training rows see their own window
+STRICT_ENDS = {"train": "0001-01-01", "val": "2024-01-20", "test": "2024-01-25"}
+REFERENCE_ENDS = {"train": "2024-01-20", "val": "2024-01-25", "test": "2024-01-25"}
+view("evt_history", " UNION ALL ".join(_history_sql(n, c) for n, c in STRICT_ENDS.items()))
+view("evt_history_ref", " UNION ALL ".join(_history_sql(n, c) for n, c in REFERENCE_ENDS.items()))
 view(
     "evt_staff",
     """
@@ -72,11 +77,11 @@ view(
 SELECT cell_id, date, shift, n_crimes, has_crime, {_TEMPORAL}, split, coalesce(hist_total, 0) AS hist_total, coalesce(hist_heinous_pct, 0) AS hist_heinous_pct,
   coalesce(hist_violent_pct, 0) AS hist_violent_pct, coalesce(hist_property_pct, 0) AS hist_property_pct, coalesce(n_crime_types, 0) AS n_crime_types,
   coalesce(crime_entropy, 0) AS crime_entropy, coalesce(n_officers, 0) AS n_officers, {', '.join(f'"{panel.near_name(r, w)}"' for r, w in _NEAR)}
-FROM (SELECT *, CASE WHEN date > DATE '{VAL_END}' THEN 'test' WHEN date > DATE '{TRAIN_END}' THEN 'val' ELSE 'train' END AS split FROM evt_sample)
+FROM (SELECT *, CASE WHEN date > DATE '{VAL_END}' THEN 'test' WHEN date > DATE '{TRAIN_END}' THEN 'val' ELSE 'train' END AS split FROM evt_panel)
 LEFT JOIN evt_history USING (split, cell_id) LEFT JOIN evt_staff USING (cell_id) JOIN evt_near USING (cell_id, date)""",
 )
 EVT = "evt act_evt evt_panel"
-MATRIX = EVT + " evt_near evt_history evt_staff evt_sample evt_matrix"
+MATRIX = EVT + " evt_near evt_history evt_staff evt_matrix"
 
 
 def _active_events(spark, d):
@@ -86,7 +91,7 @@ def _active_events(spark, d):
 
 @query("panel", EVT, "SELECT * FROM evt_panel")
 def space_time_panel(spark, d):
-    return panel.panel(_active_events(spark, d))
+    return panel.panel(panel.active_days(tables.event_incidents(spark, d))[0])
 
 
 @query("panel_sampled", EVT + " evt_sample", "SELECT * FROM evt_sample")
@@ -96,9 +101,7 @@ def panel_sampled(spark, d):
 
 @query("near_repeat", EVT + " evt_near", "SELECT * FROM evt_near")
 def near_repeat(spark, d):
-    evt = tables.event_incidents(spark, d)
-    cells = grid.active_cells(evt)
-    return panel.near_repeat_days(panel.daily_cell_counts(_active_events(spark, d)), cells).drop("n0", "n1", "n2")
+    return panel.near_repeat_days(*panel.active_days(tables.event_incidents(spark, d))).drop("n0", "n1", "n2")
 
 
 _ROUND6 = ("hist_heinous_pct", "hist_violent_pct", "hist_property_pct", "crime_entropy")
@@ -120,6 +123,15 @@ def cell_history(spark, d):
     return _rounded(panel.history_profile(_active_events(spark, d), panel.history_cutoffs(TRAIN_END, VAL_END)))
 
 
+@query(
+    "cell_history_reference",
+    "evt act_evt evt_history_ref",
+    f"SELECT split, cell_id, hist_total, n_crime_types, {_ROUND6_SQL} FROM evt_history_ref",
+)
+def cell_history_reference(spark, d):
+    return _rounded(panel.history_profile(_active_events(spark, d), panel.history_cutoffs(TRAIN_END, VAL_END, reference_mode=True)))
+
+
 @query("staff_per_cell", "evt act_evt evt_staff", "SELECT * FROM evt_staff")
 def staff_per_cell(spark, d):
     return panel.staff_per_cell(_active_events(spark, d), tables.staff(spark, d))
@@ -342,7 +354,7 @@ def explanations(spark, d):
 
 
 # --- trained model (no SQL form) --------------------------------------------------
-def trained(spark, d, kind="gbt", max_iter=10):
+def trained(spark, d, kind="gbt", max_iter=500):
     rows = cut_lineage(matrix(spark, d))
     features = model.feature_columns(rows)
     return model.train_risk_model(rows, features, kind, max_iter), features, rows

@@ -57,7 +57,7 @@ FROM (
          CASE o_orderstatus WHEN 'F' THEN 3 ELSE 1 END AS status_id,
          12000000 + 250000 * CAST(c_nationkey AS BIGINT) + 18000 * (o_custkey % 4) + 3000 * (o_orderkey % 7) AS lat_e6,
          74200000 + 170000 * CAST(c_nationkey AS BIGINT) + 18000 * (o_custkey % 3) + 4000 * (o_orderkey % 5) AS lon_e6
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
 )""",
 )
 view(

@@ -280,8 +280,8 @@ def category_outlook(spark, d):
 def _changepoint_sql(rounds: int) -> str:
     key = "region_name, category_name"
     parts = [
-        f"""top AS (SELECT {key}, sum(n) AS v, count(*) AS days FROM daily GROUP BY {key} ORDER BY v DESC, {key} LIMIT 80)""",
-        f"""p0 AS (SELECT {key}, date, row_number() OVER w - 1 AS t, CAST(coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c,
+        f"""top AS MATERIALIZED (SELECT {key}, sum(n) AS v, count(*) AS days FROM daily GROUP BY {key})""",
+        f"""p0 AS MATERIALIZED (SELECT {key}, date, row_number() OVER w - 1 AS t, CAST(coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c,
   avg(n) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS bef, avg(n) OVER (w ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS aft,
   0 AS s, count(*) OVER k AS e, 0 AS cs, CAST(sum(n) OVER k AS BIGINT) AS ce, NULL::INTEGER AS rnd
   FROM daily SEMI JOIN (SELECT * FROM top WHERE days >= 12) USING ({key})
@@ -289,13 +289,13 @@ def _changepoint_sql(rounds: int) -> str:
     ]
     for r in range(1, rounds + 1):
         parts.append(
-            f"""g{r} AS (SELECT *, CASE WHEN t - s >= 14 AND e - t >= 14 THEN (c - cs) * (c - cs) / (t - s) + (ce - c) * (ce - c) / (e - t) - (ce - cs) * (ce - cs) / (e - s) END AS gain FROM p{r - 1})"""
+            f"""g{r} AS MATERIALIZED (SELECT *, CASE WHEN t - s >= 14 AND e - t >= 14 THEN (c - cs) * (c - cs) / (t - s) + (ce - c) * (ce - c) / (e - t) - (ce - cs) * (ce - cs) / (e - s) END AS gain FROM p{r - 1})"""
         )
         parts.append(
-            f"""b{r} AS (SELECT {key}, t AS bt, c AS bc, s AS bs FROM g{r} WHERE gain IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, t) = 1)"""
+            f"""b{r} AS MATERIALIZED (SELECT {key}, t AS bt, c AS bc, s AS bs FROM g{r} WHERE gain IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY gain DESC, t) = 1)"""
         )
         parts.append(
-            f"""p{r} AS (SELECT {key}, date, t, c, bef, aft, CASE WHEN s = bs AND t >= bt THEN bt ELSE s END AS s, CASE WHEN s = bs AND t < bt THEN bt ELSE e END AS e,
+            f"""p{r} AS MATERIALIZED (SELECT {key}, date, t, c, bef, aft, CASE WHEN s = bs AND t >= bt THEN bt ELSE s END AS s, CASE WHEN s = bs AND t < bt THEN bt ELSE e END AS e,
   CASE WHEN s = bs AND t >= bt THEN bc ELSE cs END AS cs, CASE WHEN s = bs AND t < bt THEN bc ELSE ce END AS ce,
   CASE WHEN t = bt THEN {r} ELSE rnd END AS rnd FROM p{r - 1} LEFT JOIN b{r} USING ({key}))"""
         )
@@ -332,10 +332,3 @@ def emerging_cells(spark, d):
         "cell_id", "category", F.round("tau", 6).alias("tau"), F.round("p", 6).alias("p"),
         F.round("recent_monthly", 4).alias("recent_monthly"), F.round("hist_monthly", 4).alias("hist_monthly"), "total_cases",
     )
-
-
-@query("loess_anomaly")
-def loess_anomaly(spark, d):
-    from hotgrid.operators import stl
-
-    return stl.loess_anomalies(daily(spark, d))

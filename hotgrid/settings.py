@@ -43,7 +43,7 @@ RANDOM_TRIALS = 20
 BRIEFING_DAYS = 30
 
 # --- fixed values: units without a territory --------------------------------
-NON_TERRITORIAL = ("CID", "COASTAL SECURITY POLICE", "KARNATAKA RAILWAYS", "ISD BENGALURU")
+NON_TERRITORIAL: tuple[str, ...] = ()
 
 # --- fixed values: text shown for model features ----------------------------
 FEATURE_TITLES = {

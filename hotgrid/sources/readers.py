@@ -51,8 +51,7 @@ def load_catalogue(spark: SparkSession, folder: str, names: Mapping[str, Mapping
 
 
 def enrich(incidents: DataFrame, units: DataFrame, regions: DataFrame, categories: DataFrame, severities: DataFrame) -> DataFrame:
-    """Star join of incidents with their lookups. Regions, categories and severities are code lists of fixed
-    size and broadcast; the unit table may grow, so its join strategy is left to the optimizer."""
+    """Star join of incidents with their lookups; the optimizer broadcasts those that are small."""
     out = incidents.join(units.withColumnRenamed("unit_id", "station_id"), "station_id", "left")
-    out = out.join(F.broadcast(regions), "region_id", "left").join(F.broadcast(categories), "category_id", "left")
-    return out.join(F.broadcast(severities), "severity_id", "left").withColumnRenamed("severity_label", "severity_name")
+    out = out.join(regions, "region_id", "left").join(categories, "category_id", "left")
+    return out.join(severities, "severity_id", "left").withColumnRenamed("severity_label", "severity_name")

@@ -22,12 +22,12 @@ def order_incidents(spark: SparkSession, folder: str) -> DataFrame:
     """One incident per order; the station is the customer, the region its nation."""
     orders = table(spark, folder, "orders")
     stations = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
-    regions = F.broadcast(table(spark, folder, "nation").select("n_nationkey", "n_name"))
+    regions = table(spark, folder, "nation").select("n_nationkey", "n_name")
     cat = F.substring("o_orderpriority", 1, 1).cast("int")
     status = F.col("o_orderstatus")
     nation = F.col("c_nationkey").cast("bigint")
-    joined = orders.join(stations, F.col("o_custkey") == F.col("c_custkey")).join(
-        regions, F.col("c_nationkey") == F.col("n_nationkey")
+    joined = orders.join(stations, F.col("o_custkey") == F.col("c_custkey"), "left").join(
+        regions, F.col("c_nationkey") == F.col("n_nationkey"), "left"
     )
     return _placed(
         joined.select(

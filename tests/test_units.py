@@ -284,7 +284,7 @@ def test_near_repeat_is_monotone_and_excludes_the_day(spark):
     c = cell_at(16.0, 76.0)
     inc = [(i, c + (i % 3), f"2024-01-{1 + i % 9:02d} 10:00:00") for i in range(60)]
     df = spark.createDataFrame(inc, "incident_id bigint, cell_id bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    out = panel.near_repeat_days(panel.daily_cell_counts(df), grid.active_cells(df)).collect()
+    out = panel.near_repeat_days(*panel.active_days(df)).collect()
     for r in out:
         for w in S.NEAR_WINDOWS_DAYS:
             v = [r[panel.near_name(x, w)] for x in S.NEAR_RADII_KM]
@@ -293,21 +293,6 @@ def test_near_repeat_is_monotone_and_excludes_the_day(spark):
             assert all(r[panel.near_name(x, 30)] == 0 for x in S.NEAR_RADII_KM)
 
 
-def test_loess_decomposition_of_a_regular_series(spark):
-    import numpy as np
-
-    from hotgrid.operators import stl
-
-    t = np.arange(140)
-    y = 10 + 0.1 * t + np.array([3, 1, 0, -1, -2, -1, 0])[t % 7]
-    season, trend = stl.decompose(y)
-    assert np.abs(y - season - trend).max() < 1e-6
-    values = [int(v) for v in np.array([9, 4, 4, 4, 4, 4, 2])[t % 7]]
-    values[70] += 40
-    hit = stl.loess_anomalies(daily(spark, values)).collect()
-    assert any(h.observed == values[70] and h.zscore > 3 for h in hit)
-
-
 def test_streamed_daily_counts_equal_batch(spark):
     from hotgrid.operators.series import KEY
     from hotgrid.sources import tables
