@@ -171,8 +171,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     per = strength.join(labels, "node").groupBy("community").agg(F.sum("k").alias("d"))
     a = labels.select(F.col("node").alias("src"), F.col("community").alias("ca"))
     b = labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
-    tagged = skew_safe_join(edges, a, ["src"], "inner", ["dst"])
-    tagged = skew_safe_join(tagged, b, ["dst"], "inner", ["src"], counts_from=edges)
+    tagged = edges.join(a, "src").join(b, "dst")
     inner = tagged.where(F.col("ca") == F.col("cb")).groupBy(F.col("ca").alias("community")).agg(F.sum("weight").alias("l"))
     m = edges.agg(F.sum("weight").cast("double")).scalar()
     rows = per.join(inner, "community", "left").withColumn("m", m)
@@ -180,24 +179,25 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.sum(part).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def communities(edges: DataFrame, max_levels: int = 20, max_rounds: int = 100) -> DataFrame:
-    """(node, community) by weighted modularity moves, then contraction and repeat, until nothing is gained.
+def communities(edges: DataFrame, min_gain: float = 1e-3, max_rounds: int = 200) -> DataFrame:
+    """(node, community) by weighted modularity moves, then contraction and repeat, until modularity gains no more.
 
-    In each round a part of the vertices (by a hash that alternates) may move to the neighbouring community with the
-    largest gain; ties go to the smallest label. Moving in parts keeps pairs of vertices from swapping forever; the parts
-    shrink as a level goes on. A level ends when a whole turn of parts moves nothing, the search when a level merges
-    nothing; both raise beyond their limits. If the result is worse than plain components, the components are returned.
+    In each round half of the vertices (by a hash that alternates) may move to the neighbouring community with the
+    largest gain; ties go to the smallest label. Halving keeps pairs of vertices from swapping forever. A level ends when
+    a turn of both halves gains less than ``min_gain`` of modularity, the search when a level does; ``max_rounds`` rounds
+    in one level raise. If the result is worse than plain components, the components are returned.
     """
     base = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = base.agg(F.sum("weight")).first()[0]
     if not total:
         return base.select(F.col("src").alias("node"), F.col("src").alias("community"))
     two_m = 2.0 * total
-    level_edges, mapping = base, None
-    for _ in range(max_levels):
-        labels = _move_vertices(level_edges, two_m, max_rounds)
-        if mapping is not None and labels.where("node <> community").isEmpty():
+    level_edges, mapping, reached = base, None, -1.0
+    while True:
+        labels, found = _move_vertices(level_edges, two_m, min_gain, max_rounds)
+        if mapping is not None and found - reached < min_gain:
             break
+        reached = found
         if mapping is None:
             mapping = labels
         else:
@@ -208,63 +208,51 @@ def communities(edges: DataFrame, max_levels: int = 20, max_rounds: int = 100) -
         mapping = cut_lineage(mapping)
         a = labels.select(F.col("node").alias("src"), F.col("community").alias("ca"))
         b = labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
-        merged = skew_safe_join(level_edges, a, ["src"], "inner", ["dst"])
-        merged = skew_safe_join(merged, b, ["dst"], "inner", ["src"], counts_from=level_edges)
+        merged = level_edges.join(a, "src").join(b, "dst")
         # edges inside a community stay as loops: they keep counting towards its strength
         level_edges = cut_lineage(
             merged.groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(
                 F.sum("weight").alias("weight")
             )
         )
-    else:
-        raise RuntimeError(f"communities did not settle in {max_levels} levels")
     parts = components(base).withColumnRenamed("component", "community")
     found, plain = modularity(base, mapping).first()[0], modularity(base, parts).first()[0]
     return mapping if found >= plain else parts
 
 
-def _move_vertices(edges: DataFrame, two_m: float, rounds: int) -> DataFrame:
+def _move_vertices(edges: DataFrame, two_m: float, min_gain: float, max_rounds: int) -> tuple[DataFrame, float]:
+    """Labels of one level, and their modularity."""
     loops = edges.where(F.col("src") == F.col("dst")).select("src", "dst", (F.col("weight") * 2).alias("weight"))
     links = edges.where(F.col("src") != F.col("dst"))
     sym = cut_lineage(both_ways(links, extra=["weight"]))
     strength = cut_lineage(sym.unionByName(loops).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    big = sym.count() > HEAVY_MIN_ROWS
     labels = strength.select("node", F.col("node").alias("community"))
-    still = 0
-    for r in range(rounds):
-        parts = 2 + r // 8
+    best, reached = labels, modularity(edges, labels).first()[0]
+    for r in range(max_rounds):
         state = cut_lineage(strength.join(labels, "node"))
         volume = state.groupBy("community").agg(F.sum("k").alias("vol"))
         ends = state.select(F.col("node").alias("dst"), "community")
-        toward = (
-            _join(sym, ends, ["dst"], "inner", ["src"], big)
-            .groupBy(F.col("src").alias("node"), "community")
-            .agg(F.sum("weight").alias("w"))
-        )
+        toward = sym.join(ends, "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
         stay = state.select("node", "community", F.lit(0.0).alias("w"))
         options = toward.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        if big:  # the salted join reads its left side twice
-            options = cut_lineage(options)
-        options = _join(options, volume, ["community"], "inner", ["node"], big)
         mine = state.select("node", F.col("community").alias("own"), "k")
-        options = options.join(mine, "node")
+        options = options.join(volume, "community").join(mine, "node")
         here = F.col("community") == F.col("own")
         rest = F.col("vol") - F.when(here, F.col("k")).otherwise(0.0)
         options = options.withColumn("gain", F.round(F.col("w") - F.col("k") * rest / two_m, 9)).withColumn("here", here)
         choice = options.groupBy("node", "own").agg(
             F.max(F.struct("gain", "here", (-F.col("community")).alias("neg"))).alias("best")
         )
-        turn = F.pmod(F.xxhash64("node") + r, F.lit(parts)) == 0
-        new = choice.select(
-            "node", F.when(turn, -F.col("best.neg")).otherwise(F.col("own")).alias("community"), "own"
-        )
-        new = cut_lineage(new)
-        moved = new.agg(F.count_if(F.col("community") != F.col("own"))).first()[0]
-        labels = new.drop("own")
-        still = 0 if moved else still + 1
-        if still >= parts:
-            return labels
-    raise RuntimeError(f"vertices still move after {rounds} rounds")
+        turn = F.pmod(F.xxhash64("node") + r, F.lit(2)) == 0
+        labels = cut_lineage(choice.select("node", F.when(turn, -F.col("best.neg")).otherwise(F.col("own")).alias("community")))
+        if r % 2 == 1:
+            found = modularity(edges, labels).first()[0]
+            gain = found - reached
+            if gain > 0:
+                best, reached = labels, found
+            if gain < min_gain:
+                return best, reached
+    raise RuntimeError(f"modularity still grows after {max_rounds} rounds")
 
 
 def removal_analysis(
