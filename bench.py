@@ -13,6 +13,8 @@ HEADLINE = (
     "anomaly_feed", "changepoints", "emerging_cells", "near_repeat", "feature_matrix", "risk_map", "pai", "ranking_metrics",
     "cooccurrence_edges", "degree_centrality", "components", "repeat_entities", "corridors", "greedy_coverage",
     "coverage_summary", "briefings", "region_disparity", "reporting_bias", "alert_feed", "sprees",
+    "gi_star_permutation", "entity_profiles", "community_report", "removal_analysis", "articulation_points", "eigenvector",
+    "risk_model_metrics", "calibration_report", "communities",
 )
 BUDGET_SEC = float(os.environ.get("BENCH_BUDGET_SEC", "1200"))
 
