@@ -71,7 +71,7 @@ def top_nodes(edges: DataFrame, n: int) -> DataFrame:
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, salt_by: Sequence[str], big: bool) -> DataFrame:
     """Plain join while no key can be hot, salted join beyond that size."""
-    return skew_safe_join(left, right, on, how, salt_by) if big else left.join(right, list(on), how)
+    return skew_safe_join(left, right, on, how, salt_by, min_rows=HEAVY_MIN_ROWS) if big else left.join(right, list(on), how)
 
 
 def eigenvector(edges: DataFrame, max_iter: int = 100, tol: float = 1e-6, fixed: bool = False) -> DataFrame:

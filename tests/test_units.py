@@ -162,6 +162,20 @@ def test_two_triangles(spark):
     assert graph.modularity(e, found).first().modularity >= 5 / 14 - 1e-9
 
 
+def test_salted_joins_change_nothing(spark, monkeypatch):
+    """Every hot vertex is salted once the threshold is one row."""
+    pairs = [(1, n) for n in range(2, 40)] + [(n, n + 1) for n in range(50, 70)] + TRIANGLES
+    e = edge_df(spark, sorted({(min(p), max(p)) for p in pairs}))
+    plain = rows(graph.components(e), "node", "component"), rows(graph.articulation_points(e), "node")
+    monkeypatch.setattr(graph, "HEAVY_MIN_ROWS", 1)
+    assert (rows(graph.components(e), "node", "component"), rows(graph.articulation_points(e), "node")) == plain
+
+
+def test_unconverged_eigenvector_raises(spark):
+    with pytest.raises(RuntimeError):
+        graph.eigenvector(edge_df(spark, [(n, n + 1) for n in range(1, 30)]), max_iter=3)
+
+
 def brute_components(nodes, pairs):
     label = {n: n for n in nodes}
     changed = True
