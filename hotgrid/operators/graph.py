@@ -179,7 +179,7 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.sum(part).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def communities(edges: DataFrame, min_gain: float = 1e-3, max_rounds: int = 200) -> DataFrame:
+def communities(edges: DataFrame, min_gain: float = 0.005, max_rounds: int = 200) -> DataFrame:
     """(node, community) by weighted modularity moves, then contraction and repeat, until modularity gains no more.
 
     In each round half of the vertices (by a hash that alternates) may move to the neighbouring community with the
