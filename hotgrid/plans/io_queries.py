@@ -334,12 +334,3 @@ SELECT spree_id, round((11000000 + gy * 1000) / 1000000, 6) AS lat, round((73000
 def spree_points(spark, d):
     _, members = places.sprees(tables.order_incidents(spark, d))
     return members.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
-
-
-@query("emerging_actionable")
-def emerging_actionable(spark, d):
-    """New before intensifying cells, hottest first: the twelve to look at."""
-    from hotgrid.operators import series
-
-    cells = series.emerging_cells(tables.order_incidents(spark, d)).where(F.col("category").isin("new", "intensifying"))
-    return cells.orderBy((F.col("category") != "new"), F.desc("recent_monthly"), "cell_id").limit(12)

@@ -309,10 +309,7 @@ def changepoints(spark, d):
     return series.changepoints(daily(spark, d))
 
 
-@query(
-    "emerging_cells",
-    "inc",
-    f"""WITH m AS (SELECT cell_id, year(ts) * 12 + month(ts) - 1 AS m, count(*) AS n FROM inc GROUP BY ALL),
+EMERGING_SQL = f"""WITH m AS (SELECT cell_id, year(ts) * 12 + month(ts) - 1 AS m, count(*) AS n FROM inc GROUP BY ALL),
 cells AS (SELECT cell_id, CAST(sum(n) AS BIGINT) AS total_cases FROM m GROUP BY cell_id HAVING sum(n) >= 5),
 g AS (SELECT cell_id, t.m FROM cells, (SELECT unnest(range((SELECT min(m) FROM m), (SELECT max(m) FROM m) + 1)) AS m) t),
 x AS (SELECT g.cell_id, g.m, coalesce(n, 0) AS n FROM g LEFT JOIN m ON m.cell_id = g.cell_id AND m.m = g.m),
@@ -324,11 +321,24 @@ z AS (SELECT *, (k * (k - 1) * (2 * k + 5) - ties) / 18 AS var, s / (k * (k - 1)
 p AS (SELECT *, {normal_p_sql('(CASE WHEN var > 0 THEN (s - sign(s)) / sqrt(var) ELSE 0.0 END)')} AS p FROM z)
 SELECT cell_id, CASE WHEN hist = 0 AND recent > 0 THEN 'new' WHEN p <= 0.05 AND tau > 0 THEN 'intensifying' WHEN p <= 0.05 AND tau < 0 THEN 'cooling'
   WHEN busy * 2 >= k THEN 'persistent' END AS category, round(tau, 6) AS tau, round(p, 6) AS p, round(recent, 4) AS recent_monthly, round(hist, 4) AS hist_monthly, total_cases
-FROM p JOIN cells USING (cell_id)""",
-)
+FROM p JOIN cells USING (cell_id)"""
+
+
+@query("emerging_cells", "inc", EMERGING_SQL)
 def emerging_cells(spark, d):
     out = series.emerging_cells(tables.order_incidents(spark, d))
     return out.select(
         "cell_id", "category", F.round("tau", 6).alias("tau"), F.round("p", 6).alias("p"),
         F.round("recent_monthly", 4).alias("recent_monthly"), F.round("hist_monthly", 4).alias("hist_monthly"), "total_cases",
     )
+
+
+@query(
+    "emerging_actionable",
+    "inc",
+    f"SELECT * FROM ({EMERGING_SQL}) WHERE category IN ('new', 'intensifying') ORDER BY category <> 'new', recent_monthly DESC, cell_id LIMIT 12",
+)
+def emerging_actionable(spark, d):
+    """New before intensifying cells, hottest first: the twelve to look at."""
+    cells = emerging_cells(spark, d).where(F.col("category").isin("new", "intensifying"))
+    return cells.orderBy((F.col("category") != "new"), F.desc("recent_monthly"), "cell_id").limit(12)
