@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -116,6 +116,13 @@ def blocks(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
         at = to
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def windows(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``k`` words that stay within one text, and the bounds of each text in them."""
     counts = np.maximum(np.diff(bounds) - (k - 1), 0)
