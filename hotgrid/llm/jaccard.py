@@ -25,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.llm.links import components, fresh, key_filter, passes, stage
-from hotgrid.llm.text import U64, list_array, mix, shingle_sets
+from hotgrid.llm.links import MAX_FILTER_BITS, components, fresh, key_filter, passes, stage
+from hotgrid.llm.text import U64, list_array, mix, shingle_sets, small_batches
 
 WORDS, PCT = 5, 80
 MAX_SMALL = 40  # sizes above are never small: their subsets are too many for any cost
 ENTRY_COST = 4.0  # of a list entry with its share of search and verification, against a subset's 1
 HEAVY_COUNT, MAX_HEAVY = 16, 1 << 17  # tokens ordered last; which ones are has no effect on results
-FLUSH_TOKENS = 4_000_000
-PAIRS_PER_ENTRY = 4  # above this many pairs per entry another round of leaders comes first
+FLUSH_TOKENS = 2_000_000
+PAIRS_PER_ENTRY = 8  # above this many pairs per entry another round of leaders comes first
+LIKELY = 0.4  # share of a prefix that a leader must share to be tried; the rest is left to the final search
 MAX_STAR_ROUNDS = 6
 
 
@@ -149,7 +150,7 @@ def signed_sets(docs: DataFrame, k: int, pct: int, heavy: np.ndarray, boundary:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, no_sizes = np.zeros(0, U64), np.zeros(0, np.int32)
-        for batch in batches:
+        for batch in small_batches(batches):
             n, s1, s2, keys, sizes, tokens = [], [], [], [], [], []
             for t in shingle_sets(batch.column(1), k):
                 parts = mix(t)
@@ -175,6 +176,23 @@ def signed_sets(docs: DataFrame, k: int, pct: int, heavy: np.ndarray, boundary:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sign, kind)
 
 
+def restricted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the given documents. While a bounded filter can hold the ids it replaces a shuffle of the rows.
+
+    The filter may let a copy of some set through; a copy has all the links of the set it equals, so no group changes.
+    """
+    n = ids.count()
+    if 10 * n > MAX_FILTER_BITS:
+        return rows.join(ids, "doc_id", "left_semi")
+    wanted = key_filter(ids, "doc_id", n)
+
+    @F.arrow_udf("boolean")
+    def known(ids: pa.Array) -> pa.Array:
+        return pa.array(passes(wanted.value, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+    return rows.where(F.col("doc_id").isNotNull() & known("doc_id"))
+
+
 def small_links(reps: DataFrame, pct: int) -> DataFrame:
     """Links between small sets: each to the smallest set of a shared subset, if the subset is large enough for both.
 
@@ -216,7 +234,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     wanted = key_filter(ids, "doc_id", ids.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             part = batch.filter(pa.array(passes(wanted.value, ids)))
             if part.num_rows:
@@ -227,18 +245,21 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return stage(rows.mapInArrow(read, "doc_id bigint, tokens array<bigint>"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; only the texts of these pairs are read again."""
+    pairs = stage(pairs.select("a", "b"), "pairs")
+    sets = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), k)
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("n"), both.alias("met"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("n"), both.alias("met"))
     return met.where(100 * F.col("met") >= pct * (F.col("n") - F.col("met"))).select("a", "b").distinct()
 
 
-def favourite(choices: DataFrame) -> DataFrame:
-    """For each document ``a`` the partner ``b`` that most lists propose; ties go to the smallest id."""
-    votes = choices.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("v"))
+def favourite(choices: DataFrame, pct: int) -> DataFrame:
+    """For each document ``a`` (of set size n) the likely partner ``b`` that most lists propose, if any; ties to the smallest id."""
+    votes = choices.where("a <> b").groupBy("a", "n", "b").agg(F.count(F.lit(1)).alias("v"))
+    votes = votes.where(F.col("v") >= LIKELY * (F.col("n") - F.ceil(pct * F.col("n") / 100) + 1))
     return votes.groupBy("a").agg(F.max(F.struct("v", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
 
 
@@ -274,6 +295,21 @@ def cross_pairs(placed: DataFrame, outside: DataFrame, pct: int, boundary: int)
     return met.select(F.greatest("x_doc_id", "y_doc_id").alias("a"), F.least("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
+def bounded(pairs: DataFrame, signed: DataFrame, pct: int) -> DataFrame:
+    """The pairs whose prefixes leave room for a link.
+
+    Two sets have no more in common than the tokens that their prefixes share and what is left of one of them behind its
+    prefix: of the tokens up to the end of the prefix that ends first, none is missed.
+    """
+    pairs = stage(pairs, "candidates")
+    known = restricted(signed, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    left = known.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
+    right = known.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
+    behind = F.greatest(F.col("n_a") - F.size("x"), F.col("n_b") - F.size("y"))
+    most = F.size(F.array_intersect("x", "y")) + behind
+    return pairs.join(left, "a").join(right, "b").where((100 + pct) * most >= pct * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
+
 def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``: the smallest id its links reach."""
     counts = corpus_statistics(docs, k)
@@ -284,30 +320,33 @@ def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
 
     classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes.where(F.col("rep").isNotNull()), "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n"), ["doc_id", "s1", "s2", "n"], "left_semi")
+    reps = restricted(signed, classes.select(F.col("rep").alias("doc_id")))
 
     links = small_links(reps, pct)
     entries = list_entries(reps)
-    sets = full_sets(docs, entries.select("doc_id").distinct(), k)
-    links = stage(links.union(verified(favourite(entries.select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))), sets, pct)), "found")
-    n_entries = entries.count()
+    pairs = favourite(entries.select(F.col("doc_id").alias("a"), "n", F.col("lead").alias("b")), pct)
+    links = stage(links.union(verified(pairs, docs, k, pct)), "found")
+    n_entries, before = entries.count(), float("inf")
     for turn in range(MAX_STAR_ROUNDS + 1):
         labels = components(links)
         placed, outside = crossing(entries, labels)
         work = outside.agg(F.sum("total")).first()[0] or 0
         if not work:
             break
-        if work <= PAIRS_PER_ENTRY * n_entries or turn == MAX_STAR_ROUNDS:
-            links = stage(links.union(verified(cross_pairs(placed, outside, pct, boundary), sets, pct)), "found")
+        if work <= PAIRS_PER_ENTRY * n_entries or work > 0.8 * before or turn == MAX_STAR_ROUNDS:
+            links = stage(links.union(verified(bounded(cross_pairs(placed, outside, pct, boundary), signed, pct), docs, k, pct)), "found")
             labels = components(links)
             break
+        before = work
         # leaders of this turn: one of the main component and one of the rest, for every list
         rank = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id")
         inside = F.col("component") == F.col("main")
         leads = placed.groupBy("key").agg(F.min(F.when(inside, rank)).alias("p"), F.min(F.when(~inside, rank)).alias("q"))
-        tried = outside.join(stage(leads, "leads"), "key").select(F.col("doc_id").alias("a"), F.col("p.doc_id").alias("p"), F.col("q.doc_id").alias("q"))
-        pairs = favourite(tried.select("a", F.col("p").alias("b"))).union(favourite(tried.select("a", F.col("q").alias("b"))))
-        links = stage(links.union(verified(pairs, sets, pct)), "found")
+        tried = outside.join(stage(leads, "leads"), "key").select(
+            F.col("doc_id").alias("a"), "n", F.col("p.doc_id").alias("p"), F.col("q.doc_id").alias("q")
+        )
+        pairs = favourite(tried.select("a", "n", F.col("p").alias("b")), pct).union(favourite(tried.select("a", "n", F.col("q").alias("b")), pct))
+        links = stage(links.union(verified(pairs, docs, k, pct)), "found")
 
     rows = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
