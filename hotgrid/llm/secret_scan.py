@@ -97,7 +97,10 @@ class Markov:
 
 
 def labelled_tokens(docs: DataFrame, max_docs: int = MAX_FIT_DOCS) -> DataFrame:
-    """(token, secret) from at most about ``max_docs`` documents: values of base matches, and identifiers outside them."""
+    """(token, secret) from at most about ``max_docs`` documents: values of base matches, and identifiers elsewhere.
+
+    Tokens so long that they are candidates themselves have no label, so they are left out.
+    """
     share = min(1.0, max_docs / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
     text = F.coalesce("text", F.lit(""))
@@ -109,7 +112,7 @@ def labelled_tokens(docs: DataFrame, max_docs: int = MAX_FIT_DOCS) -> DataFrame:
     plain = sample.where(F.size(base) == 0).select(
         F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("token"), F.lit(False).alias("secret")
     )
-    return found.where(F.char_length("token") >= 8).union(plain.where(F.char_length("token") >= MIN_IDENTIFIER))
+    return found.where(F.char_length("token") >= 8).union(plain.where(F.char_length("token").between(MIN_IDENTIFIER, MIN_RANDOM - 1)))
 
 
 def train(tokens: DataFrame) -> Markov:
@@ -134,7 +137,7 @@ def train(tokens: DataFrame) -> Markov:
     marks = (
         tokens.select("secret", score.alias("score"), F.char_length("token").alias("n"))
         .groupBy("secret")
-        .agg(F.percentile_approx("score", F.lit(0.9999), F.lit(100_000)).alias("high"), F.percentile_approx("score", F.lit(0.05)).alias("low"))
+        .agg(F.percentile_approx("score", F.lit(0.9999), F.lit(10_000)).alias("high"), F.percentile_approx("score", F.lit(0.05)).alias("low"))
     )
     rows = {r["secret"]: r for r in marks.collect()}
     ordinary = max(0.0, rows[False]["high"]) if False in rows else 0.0
