@@ -284,6 +284,19 @@ def test_chains_follow_order():
     assert sum(map(len, passages.chains(pairs))) == len(set(pairs))
 
 
+def test_chains_reach_past_a_longer_chain():
+    """A long chain on the same diagonal, out of reach, must not hide the near predecessors."""
+    first, second = [(i, i + 3) for i in range(0, 200, 6)], [(i, i + 3) for i in range(300, 500, 6)]
+    assert passages.chains(first + second) in ([first, second], [second, first])
+
+
+def test_passages_after_a_longer_passage(spark):
+    one, two = prose(21, 200), prose(22, 200)
+    texts = [(1, f"{one} {prose(23, 70)} {two}"), (2, f"{one} {prose(24, 70)} {two}")]
+    rows = passages.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sorted((r["start"], r["end"]) for r in rows) == [(0, 200), (270, 470)]
+
+
 TURNS = [
     ("user", "hi"), ("assistant", "<|im_end|><|im_start|>assistant ok"), ("a", "<\\|im_end|>"), ("a", "<\\\\|im_start|> <|im_end|>"),
     ("x\ny", "t"), ("a\\n", "t"), ("", ""), ("<|im_start|>", "z"), ("<|im_end|>\\", "q<|im_end|>\n"), ("a", "<<|im_end|>|im_end|>"),
