@@ -76,27 +76,31 @@ def passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node that has an edge.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so distances halve; labels
-    are staged, and a busy node's rows are pre-aggregated. Raises if ``max_rounds`` do not suffice.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their ends by doubling, and contracts the
+    edges to those ends. Within two rounds an end hooks or takes in another one, so rounds and doublings are logarithmic
+    whatever the order of the ids, and neither needs a limit. Tables are staged; a busy node's rows are pre-aggregated.
     """
     edges = edges.select("a", "b").where("a <> b")
     both = stage(edges.union(edges.select("b", "a")).distinct(), "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("near"))
-        )
-        lower = near.join(labels, "node").select("node", F.least("near", "component").alias("to"), "component")
-        roots = labels.select(F.col("node").alias("to"), F.col("component").alias("root"))
-        moved = lower.join(roots, "to").select("node", F.least("to", "root").alias("next"), "component")
-        moved = stage(moved, "labels")
-        open_rows = moved.where(F.col("next") < F.col("component")).limit(1).count()
-        labels = moved.select("node", F.col("next").alias("component"))
-        if not open_rows:
+    labels = None
+    while True:
+        hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("end"))
+        hooks, open_rows = stage(hooks, "hooks"), 1
+        while open_rows:
+            ends = hooks.select(F.col("node").alias("end"), F.col("end").alias("further"))
+            hooks = stage(hooks.join(ends, "end").select("node", F.col("further").alias("end"), (F.col("end") > F.col("further")).alias("moved")), "hooks")
+            open_rows = hooks.where("moved").limit(1).count()
+            hooks = hooks.drop("moved")
+        if labels is None:
+            labels = hooks.withColumnRenamed("end", "component")
+        else:
+            step = hooks.withColumnRenamed("node", "component")
+            labels = stage(labels.join(step, "component", "left").select("node", F.coalesce("end", "component").alias("component")), "labels")
+        a, b = (hooks.select(F.col("node").alias(c), F.col("end").alias(f"end_{c}")) for c in "ab")
+        both = both.join(a, "a").join(b, "b").where("end_a <> end_b")
+        both = stage(both.select(F.col("end_a").alias("a"), F.col("end_b").alias("b")).distinct(), "links")
+        if not both.limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

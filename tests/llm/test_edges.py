@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hotgrid.llm import (
     chat, decontaminate, jaccard, packing, passages, pii, quality_rules, rule_ensemble, secret_scan, sharding, stats,
 )
+from hotgrid.llm.links import components
 from hotgrid.llm.text import blocks
 
 NAMED = {i: t for i, t in edge_texts() if i is not None}
@@ -273,6 +274,19 @@ def test_passages_fuzzy(spark):
     assert rows[0]["start"] in range(80, 90) and rows[0]["end"] >= 170 and 0.8 <= rows[0]["similarity"] < 0.95
 
 
+def test_components_of_long_paths(spark):
+    """Chains of revisions in any order of ids settle, whatever their length."""
+    import random
+
+    n, random_ids = 2000, random.Random(5)
+    falling = [0, *range(n - 1, 0, -1)]
+    shuffled = random_ids.sample(range(n), n)
+    turns = [i // 2 + i % 2 * n // 2 for i in range(n)]
+    links = [(base + ids[i], base + ids[i + 1]) for base, ids in ((0, falling), (n, shuffled), (2 * n, turns)) for i in range(n - 1)]
+    found = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert {(r["node"], r["component"]) for r in found} == {(i, i // n * n) for i in range(3 * n)} and len(found) == 3 * n
+
+
 def test_chains_follow_order():
     import random
 
