@@ -311,6 +311,15 @@ def test_passages_after_a_longer_passage(spark):
     assert sorted((r["start"], r["end"]) for r in rows) == [(0, 200), (270, 470)]
 
 
+def test_passages_around_own_words(spark):
+    """Two passages with short own text between them, of equal and of different length."""
+    one, two = prose(31, 60), prose(32, 60)
+    texts = [(1, f"{one} {prose(33, 40)} {two}"), (2, f"{one} {prose(34, 40)} {two}"), (3, f"{one} {prose(35, 45)} {two}")]
+    rows = passages.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    got = {(r["doc_id"], r["source_id"], r["start"], r["end"]) for r in rows}
+    assert {(2, 1, 0, 60), (2, 1, 100, 160), (3, 1, 0, 60), (3, 1, 105, 165)} <= got
+
+
 TURNS = [
     ("user", "hi"), ("assistant", "<|im_end|><|im_start|>assistant ok"), ("a", "<\\|im_end|>"), ("a", "<\\\\|im_start|> <|im_end|>"),
     ("x\ny", "t"), ("a\\n", "t"), ("", ""), ("<|im_start|>", "z"), ("<|im_end|>\\", "q<|im_end|>\n"), ("a", "<<|im_end|>|im_end|>"),
