@@ -320,6 +320,17 @@ def test_passages_around_own_words(spark):
     assert {(2, 1, 0, 60), (2, 1, 100, 160), (3, 1, 0, 60), (3, 1, 105, 165)} <= got
 
 
+def test_passages_only_later_documents_share(spark):
+    """The smallest id has 45 of the 60 words that two later documents share."""
+    texts = []
+    for n in range(8):
+        words, own = prose(40 + n, 60), 60 + 3 * n
+        texts += [(100 * n + 1, " ".join(words.split()[:45]) + " " + prose(own, 30))]
+        texts += [(100 * n + 10, words + " " + prose(own + 1, 30)), (100 * n + 20, words + " " + prose(own + 2, 30))]
+    rows = passages.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(100 * n + 20, 100 * n + 10) for n in range(8)} <= {(r["doc_id"], r["source_id"]) for r in rows}
+
+
 TURNS = [
     ("user", "hi"), ("assistant", "<|im_end|><|im_start|>assistant ok"), ("a", "<\\|im_end|>"), ("a", "<\\\\|im_start|> <|im_end|>"),
     ("x\ny", "t"), ("a\\n", "t"), ("", ""), ("<|im_start|>", "z"), ("<|im_end|>\\", "q<|im_end|>\n"), ("a", "<<|im_end|>|im_end|>"),
