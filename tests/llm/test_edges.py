@@ -331,6 +331,27 @@ def test_passages_only_later_documents_share(spark):
     assert {(100 * n + 20, 100 * n + 10) for n in range(8)} <= {(r["doc_id"], r["source_id"]) for r in rows}
 
 
+def test_passages_with_changed_words(spark):
+    """Against brute force: shared words of which 5 to 20 % are changed, anywhere."""
+    import random
+
+    dice, texts, expected = random.Random(9), [], set()
+
+    def fresh(n):
+        return [f"u{dice.randrange(10**9)}" for _ in range(n)]
+
+    for n in range(120):
+        shared = fresh(dice.choice([50, 60, 100]))
+        other = [fresh(1)[0] if dice.random() < (0.05, 0.1, 0.15, 0.2)[n % 4] else w for w in shared]
+        texts += [(2 * n, " ".join(fresh(40) + shared + fresh(40))), (2 * n + 1, " ".join(fresh(30) + other + fresh(30)))]
+        ok = [u == w for u, w in zip(shared, other, strict=True)]
+        ends = ((i, j) for i in range(len(ok)) for j in range(i + 50, len(ok) + 1) if ok[i] and ok[j - 1])
+        if any(5 * sum(ok[i:j]) >= 4 * (j - i) for i, j in ends):
+            expected.add((2 * n + 1, 2 * n))
+    rows = passages.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in rows} == expected
+
+
 TURNS = [
     ("user", "hi"), ("assistant", "<|im_end|><|im_start|>assistant ok"), ("a", "<\\|im_end|>"), ("a", "<\\\\|im_start|> <|im_end|>"),
     ("x\ny", "t"), ("a\\n", "t"), ("", ""), ("<|im_start|>", "z"), ("<|im_end|>\\", "q<|im_end|>\n"), ("a", "<<|im_end|>|im_end|>"),
