@@ -179,13 +179,13 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.sum(part).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def communities(edges: DataFrame, min_gain: float = 0.005, max_rounds: int = 200) -> DataFrame:
+def communities(edges: DataFrame, min_gain: float = 1e-6, max_rounds: int = 200) -> DataFrame:
     """(node, community) by weighted modularity moves, then contraction and repeat, until modularity gains no more.
 
     In each round half of the vertices (by a hash that alternates) may move to the neighbouring community with the
     largest gain; ties go to the smallest label. Halving keeps pairs of vertices from swapping forever. A level ends when
-    a turn of both halves gains less than ``min_gain`` of modularity, the search when a level does; ``max_rounds`` rounds
-    in one level raise. If the result is worse than plain components, the components are returned.
+    a turn of both halves gains less than ``min_gain`` of modularity, which only covers rounding, the search when a level
+    does; ``max_rounds`` rounds in one level raise. If the result is worse than plain components, the components are returned.
     """
     base = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = base.agg(F.sum("weight")).first()[0]
