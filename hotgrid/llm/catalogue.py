@@ -1,11 +1,14 @@
-"""The queries op1 to op10: each applies its operator to its whole table and derives the columns asked for."""
+"""The queries op1 to op13: each applies its operator to its whole table and derives the columns asked for."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotgrid.llm import chat, decontaminate, jaccard, packing, passages, pii, quality_rules, rule_ensemble, secret_scan, sharding
+from hotgrid.llm import (
+    chat, decontaminate, divergence, jaccard, packing, passages, pii, quality_rules, rule_ensemble, secret_scan, sharding,
+    whitening,
+)
 from hotgrid.llm.stats import COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +177,47 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     kinds = [F.expr(f"size(filter(s.base, x -> x.kind = '{k}'))").cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.joined(F.col("s.base")), 256)
     return found.select("doc_id", *kinds, base.alias("base_sha256"), pii.joined(F.col("s.found")).alias("spans"))
+
+
+@query("op11_contour_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding").where(whitening.usable(F.col("embedding")))
+    rows = rows.select("vec_id", whitening.on_grid(F.col("embedding")).alias("x"))
+    model = whitening.fit(rows)
+    return whitening.components_of(whitening.whiten(rows, model), model)
+
+
+@query(
+    "op12_chunk_divergence",
+    """
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+u AS MATERIALIZED (SELECT doc, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM u GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+own AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM u JOIN kept USING (lang, term) GROUP BY ALL),
+l AS MATERIALIZED (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+g AS MATERIALIZED (
+  SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM own GROUP BY ALL) USING (lang, source)
+  LEFT JOIN (SELECT lang, v FROM l) USING (lang)),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(own.c, 0) AS c,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(own.c, 0) + 1) // (g.n + g.v) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, coalesce(f.value, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) f
+  ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value
+  FROM (SELECT p.*, 1 + CAST(1000000000 AS HUGEINT) * (kept.c + 1) // (l.n + l.v) AS q FROM p JOIN kept USING (lang, term) JOIN l USING (lang) WHERE p.c > 0)
+  WHERE p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms))
+WHERE part = 'pair' OR r <= 200""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))

@@ -8,7 +8,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.session import scratch_folder
+from hotgrid.session import cut_lineage
 
 MAX_FILTER_BITS = 1 << 27
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -16,9 +16,7 @@ _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared scratch folder and reads it back: lineage ends there."""
-    folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return cut_lineage(df, name)
 
 
 def fresh(df: DataFrame, name: str) -> str:

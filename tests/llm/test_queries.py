@@ -33,7 +33,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert [f"op{n}" for n in range(1, 11)] == sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted({q.split("_")[0] for q in QUERIES}, key=lambda q: int(q[2:]))
     assert set(ORACLES) <= set(QUERIES)
 
 
