@@ -6,12 +6,12 @@ folder each round and read back one scalar to decide whether to go on.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hotgrid import settings as S
 from hotgrid.operators.scale import HEAVY_MIN_ROWS, skew_safe_join
-from hotgrid.session import cut_lineage
+from hotgrid.session import cut_lineage, discard
 
 
 def case_members(bridge: DataFrame, cap: int = S.MAX_ENTITIES_PER_CASE) -> DataFrame:
@@ -179,33 +179,28 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.sum(part).alias("modularity"), F.count(F.lit(1)).alias("n_communities"))
 
 
-def communities(edges: DataFrame, min_gain: float = 1e-6, max_rounds: int = 200) -> DataFrame:
+def communities(edges: DataFrame, min_gain: float = 1e-6) -> DataFrame:
     """(node, community) by weighted modularity moves, then contraction and repeat, until modularity gains no more.
 
-    In each round half of the vertices (by a hash that alternates) may move to the neighbouring community with the
-    largest gain; ties go to the smallest label. Halving keeps pairs of vertices from swapping forever. A level ends when
-    a turn of both halves gains less than ``min_gain`` of modularity, which only covers rounding, the search when a level
-    does; ``max_rounds`` rounds in one level raise. If the result is worse than plain components, the components are returned.
+    A level ends when all the moves still open would gain less than ``min_gain`` of modularity together, which only covers
+    rounding, and the search ends with a level that gains less. If plain components are better, they are returned.
     """
     base = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = base.agg(F.sum("weight")).first()[0]
     if not total:
         return base.select(F.col("src").alias("node"), F.col("src").alias("community"))
-    two_m = 2.0 * total
-    level_edges, mapping, reached = base, None, -1.0
+    level_edges, mapping = base, None
     while True:
-        labels, found = _move_vertices(level_edges, two_m, min_gain, max_rounds)
-        if mapping is not None and found - reached < min_gain:
-            break
-        reached = found
+        labels, gained = _move_vertices(level_edges, 2.0 * total, min_gain)
         if mapping is None:
             mapping = labels
-        else:
+        elif gained >= min_gain:
             step = labels.select(F.col("node").alias("community"), F.col("community").alias("next"))
-            mapping = mapping.join(step, "community", "left").select(
-                "node", F.coalesce("next", "community").alias("community")
+            mapping = cut_lineage(
+                mapping.join(step, "community", "left").select("node", F.coalesce("next", "community").alias("community"))
             )
-        mapping = cut_lineage(mapping)
+        if gained < min_gain:
+            break
         a = labels.select(F.col("node").alias("src"), F.col("community").alias("ca"))
         b = labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
         merged = level_edges.join(a, "src").join(b, "dst")
@@ -220,39 +215,97 @@ def communities(edges: DataFrame, min_gain: float = 1e-6, max_rounds: int = 200)
     return mapping if found >= plain else parts
 
 
-def _move_vertices(edges: DataFrame, two_m: float, min_gain: float, max_rounds: int) -> tuple[DataFrame, float]:
-    """Labels of one level, and their modularity."""
+def _move_vertices(edges: DataFrame, two_m: float, min_gain: float) -> tuple[DataFrame, float]:
+    """Labels of one level, and the modularity they gain over every vertex by itself.
+
+    Every turn evaluates the vertices that are awake: at first all of them, then those next to a move and those whose
+    move had to wait. Once none wants to move all are evaluated again, and only that can end the level. A move waits if
+    its target is itself being left and comes later in an order drawn anew each turn. What the moves gain together is
+    computed before they are made; where they would undo each other, only moves best for both their communities are
+    made, whose gains add up.
+    """
     loops = edges.where(F.col("src") == F.col("dst")).select("src", "dst", (F.col("weight") * 2).alias("weight"))
     links = edges.where(F.col("src") != F.col("dst"))
     sym = cut_lineage(both_ways(links, extra=["weight"]))
-    strength = cut_lineage(sym.unionByName(loops).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    labels = strength.select("node", F.col("node").alias("community"))
-    best, reached = labels, modularity(edges, labels).first()[0]
-    for r in range(max_rounds):
-        state = cut_lineage(strength.join(labels, "node"))
-        volume = state.groupBy("community").agg(F.sum("k").alias("vol"))
-        ends = state.select(F.col("node").alias("dst"), "community")
-        toward = sym.join(ends, "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        stay = state.select("node", "community", F.lit(0.0).alias("w"))
-        options = toward.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        mine = state.select("node", F.col("community").alias("own"), "k")
-        options = options.join(volume, "community").join(mine, "node")
-        here = F.col("community") == F.col("own")
-        rest = F.col("vol") - F.when(here, F.col("k")).otherwise(0.0)
-        options = options.withColumn("gain", F.round(F.col("w") - F.col("k") * rest / two_m, 9)).withColumn("here", here)
-        choice = options.groupBy("node", "own").agg(
-            F.max(F.struct("gain", "here", (-F.col("community")).alias("neg"))).alias("best")
-        )
-        turn = F.pmod(F.xxhash64("node") + r, F.lit(2)) == 0
-        labels = cut_lineage(choice.select("node", F.when(turn, -F.col("best.neg")).otherwise(F.col("own")).alias("community")))
-        if r % 2 == 1:
-            found = modularity(edges, labels).first()[0]
-            gain = found - reached
-            if gain > 0:
-                best, reached = labels, found
-            if gain < min_gain:
-                return best, reached
-    raise RuntimeError(f"modularity still grows after {max_rounds} rounds")
+    strength = sym.unionByName(loops).groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    state = cut_lineage(strength.select("node", "k", F.col("node").alias("community"), F.lit(True).alias("awake")))
+    gained, everyone, turn = 0.0, True, 0
+    while True:
+        seen = Observation()
+        wanted = _wanted_moves(sym, state, everyone, two_m)
+        wanted = cut_lineage(wanted.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("gain").alias("gain")))
+        if not seen.get["n"] or (everyone and seen.get["gain"] < min_gain):
+            if everyone:
+                return state.select("node", "community"), gained
+            everyone = True
+            continue
+        turn += 1
+        left = wanted.select(F.col("own").alias("target"), F.lit(True).alias("left")).distinct()
+        order = F.xxhash64("target", F.lit(turn)) < F.xxhash64("own", F.lit(turn))
+        moves = wanted.join(left, "target", "left").where(F.col("left").isNull() | order).drop("left")
+        touched, gain = _try_moves(sym, state, moves, two_m)
+        if gain <= 0.0:
+            moves = _dominant(wanted)
+            touched, gain = _try_moves(sym, state, moves, two_m)
+        gained += gain
+        moved = touched.select("node", "target").distinct()
+        beside = touched.where(~F.col("there").eqNullSafe(F.col("target"))).select(F.col("other").alias("node"))
+        woken = beside.unionByName(wanted.join(moved, "node", "left_anti").select("node")).distinct()
+        new = state.drop("awake").join(moved, "node", "left").join(woken.withColumn("awake", F.lit(True)), "node", "left")
+        new = new.select("node", "k", F.coalesce("target", "community").alias("community"), F.coalesce("awake", F.lit(False)).alias("awake"))
+        before, state, everyone = state, cut_lineage(new), False
+        discard(wanted, touched, before)
+
+
+def _wanted_moves(sym: DataFrame, state: DataFrame, everyone: bool, two_m: float) -> DataFrame:
+    """(node, k, own, target, gain) of vertices that gain modularity by a move; ties go to the smallest label."""
+    volume = state.groupBy("community").agg(F.sum("k").alias("vol"))
+    mine = state.select("node", F.col("community").alias("own"), "k", "awake")
+    near = sym.withColumnRenamed("src", "node")
+    if not everyone:
+        mine = mine.where("awake")
+        near = near.join(mine.select("node"), "node", "left_semi")
+    ends = state.select(F.col("node").alias("dst"), "community")
+    toward = near.join(ends, "dst").select("node", "community", "weight")
+    stay = mine.select("node", F.col("own").alias("community"), F.lit(0.0).alias("weight"))
+    options = toward.unionByName(stay).groupBy("node", "community").agg(F.sum("weight").alias("w"))
+    options = options.join(mine, "node").join(volume, "community")
+    here = F.col("community") == F.col("own")
+    rest = F.col("vol") - F.when(here, F.col("k")).otherwise(0.0)
+    score = F.round((F.col("w") - F.col("k") * rest / two_m) * (2 / two_m), 12)
+    best = F.max(F.struct(score.alias("score"), (-F.col("community")).alias("label")))
+    choice = options.groupBy("node", "own", "k").agg(best.alias("best"), F.max(F.when(here, score)).alias("stay"))
+    gain = F.col("best.score") - F.col("stay")
+    return choice.where(gain > 0).select("node", "k", "own", (-F.col("best.label")).alias("target"), gain.alias("gain"))
+
+
+def _try_moves(sym: DataFrame, state: DataFrame, moves: DataFrame, two_m: float) -> tuple[DataFrame, float]:
+    """The edges of the moving vertices with both ends' communities, and the modularity gained by all moves together."""
+    ends = state.select(F.col("node").alias("other"), F.col("community").alias("there"))
+    after = moves.select(F.col("node").alias("other"), F.col("target").alias("goes"))
+    edges = sym.select(F.col("src").alias("node"), F.col("dst").alias("other"), "weight")
+    touched = edges.join(moves.drop("k", "gain"), "node").join(ends, "other").join(after, "other", "left")
+    inside = lambda a, b: (F.col(a) == F.col(b)).cast("double")
+    moves_both = F.col("goes").isNotNull()
+    change = F.when(moves_both, inside("target", "goes")).otherwise(inside("target", "there")) - inside("own", "there")
+    # an edge of two moving vertices has two rows
+    part = F.sum(F.col("weight") * change * F.when(moves_both, 0.5).otherwise(1.0))
+    seen = Observation()
+    touched = cut_lineage(touched.observe(seen, part.alias("w")))
+    side = F.explode(F.array(F.struct(F.col("own").alias("c"), (-F.col("k")).alias("d")), F.struct(F.col("target").alias("c"), F.col("k").alias("d"))))
+    shift = moves.select(side.alias("s")).groupBy(F.col("s.c").alias("community")).agg(F.sum("s.d").alias("d"))
+    volume = state.groupBy("community").agg(F.sum("k").alias("vol"))
+    spread = shift.join(volume, "community").agg(F.sum(F.col("d") * (2 * F.col("vol") + F.col("d")))).first()[0] or 0.0
+    return touched, (seen.get["w"] or 0.0) * 2 / two_m - spread / two_m**2
+
+
+def _dominant(wanted: DataFrame) -> DataFrame:
+    """Moves that gain most among all that leave or enter either of their communities: no two share a community."""
+    rank = F.struct("gain", "node")
+    sides = wanted.select(F.explode(F.array("own", "target")).alias("community"), rank.alias("r"))
+    top = sides.groupBy("community").agg(F.max("r").alias("top")).select("community", F.col("top.node").alias("node"))
+    both = top.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    return wanted.join(both, "node", "left_semi")
 
 
 def removal_analysis(

@@ -36,13 +36,28 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate files, next to the checkpoints every executor can reach."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "state") -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and continue from the written copy.
+
+    The copy's size estimate comes from its files. A checkpoint keeps the estimate of the plan it replaces, which joins
+    multiply in every round of a loop until the planner works on numbers of millions of bits.
+    """
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.staged_in = folder
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for each frame, once nothing derived from it will be evaluated again."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_in)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
