@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hotgrid.llm import (
-    chat, decontaminate, divergence, jaccard, packing, passages, pii, quality_rules, rule_ensemble, secret_scan, sharding,
+    chat, context_tree, decontaminate, divergence, jaccard, packing, passages, pii, quality_rules, rule_ensemble, secret_scan, sharding,
     whitening,
 )
 from hotgrid.llm.stats import COUNTS
@@ -221,3 +221,9 @@ WHERE part = 'pair' OR r <= 200""",
 )
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+@query("op13_context_trees")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return context_tree.scores(table(spark, folder, "documents").select("doc_id", "text"), held_out)

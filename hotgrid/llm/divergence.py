@@ -1,9 +1,10 @@
 """Source divergence audit: how far the term shares of the sources of a language lie apart.
 
 Chunk factorization: documents are counted as white-space chunks, each globally distinct chunk is cut into terms once, and
-the terms are joined back. Documents are counted in batches of a bounded size, so what meets the dictionary is one row per
-batch and chunk, not per document and chunk; a frequent chunk has one row per batch at most. Back in its batch a chunk
-stands for its terms, documents are counted once per term, and only sums per (lang, source, term) leave the batch.
+the terms are joined back. Documents are counted in batches of a bounded size, so what is shuffled is one row per batch and
+chunk, not per document and chunk; a frequent chunk has one row per batch at most. Sorted by chunk, equal ones follow each
+other and are cut together; what comes back are the chunks that are not their own only term. In its batch a chunk stands
+for its terms, documents are counted once per term, and only sums per (lang, source, term) leave the batch.
 
 A term is a run of letters (A-Z lower-cased, and everything beyond ASCII); a language keeps the terms of at least
 ``MIN_DOCS`` of its documents. Shares are whole parts of a billion, so all results are exact.
@@ -12,6 +13,7 @@ Edge cases: null lang, source or text counts as empty text; a document without t
 is a document of its own, also with a repeated or null id; a very long chunk is one chunk, a very long text one batch.
 """
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,13 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.llm.links import stage
-from hotgrid.session import discard
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # on UTF-8 bytes: letters, and all of every wider character
+_PLAIN = np.zeros(256, bool)
+_PLAIN[97:123] = _PLAIN[128:] = True
 MIN_DOCS, TOP_TERMS = 3, 200
 PARTS = 1_000_000_000
-BATCH_BYTES, BATCH_DOCS = 8 << 20, 20_000
+BATCH_BYTES, BATCH_DOCS = 16 << 20, 20_000
 CELLS = 1 << 19  # of a block of terms by sources
 
 BATCH = (
@@ -76,61 +78,75 @@ def chunk_batches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, BATCH)
 
 
-def terms_of(chunk: Column) -> Column:
-    """The terms of a text column, in order."""
-    return F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(TERM), F.lit(0))
+def terms_of(chunks: pa.Array) -> pa.Array:
+    """The terms of each chunk in order; null where the chunk is its own only term."""
+    offsets = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1]
+    data = np.frombuffer(chunks.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    plain = np.concatenate([[0], np.cumsum(_PLAIN[data])])
+    own = np.diff(plain[offsets - offsets[0]]) == np.diff(offsets)
+    cut: list[list[bytes] | None] = [None] * len(chunks)
+    for i in np.flatnonzero(~own):
+        cut[i] = _TERM.findall(chunks[i].as_py().lower())  # of bytes, so only A-Z change
+    return pa.array(cut, pa.list_(pa.binary()))
+
+
+def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(batch, at, terms) of the uses of chunks that are not their own only term; equal chunks follow each other."""
+    for batch in batches:
+        chunk = batch.column("chunk")
+        new = np.ones(len(chunk), bool)
+        new[1:] = pc.not_equal(chunk.slice(1), chunk.slice(0, len(chunk) - 1)).to_numpy(zero_copy_only=False)
+        terms = terms_of(chunk.filter(pa.array(new))).take(pa.array(np.cumsum(new) - 1))
+        kept = terms.is_valid()
+        columns = [c.filter(kept) for c in (batch.column("batch"), batch.column("at"), terms)]
+        yield pa.RecordBatch.from_arrays(columns, ["batch", "at", "terms"])
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, docs, occurrences), and for every group one row with the null term and its documents."""
+    """(lang, source, term, docs, occurrences) of each batch, and for every group rows of the null term with its documents."""
     content = stage(chunk_batches(docs), "chunk_batches")
     uses = content.select("batch", F.posexplode("chunks").alias("at", "chunk"))
-    dictionary = content.select(F.explode("chunks").alias("chunk")).distinct()
-    dictionary = dictionary.select("chunk", terms_of(F.col("chunk").cast("string")).alias("terms")).where(F.size("terms") > 0)
-    known = uses.join(dictionary, "chunk").groupBy("batch").agg(F.collect_list(F.struct("at", "terms")).alias("known"))
-    whole = content.drop("chunks").join(known, "batch", "left")
-    flat = ("langs", "sources", "doc_group", "doc_size", "ids", "counts")
-    whole = whole.select(*flat, F.col("known.at").alias("at"), F.col("known.terms").alias("terms"))
+    cut = uses.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_cut_runs, "batch bigint, at int, terms array<binary>")
+    known = cut.groupBy("batch").agg(F.collect_list(F.struct("at", "terms")).alias("known"))
+    whole = content.join(known, "batch", "left")
+    names = ("chunks", "langs", "sources", "doc_group", "doc_size", "ids", "counts", "at", "terms")
+    whole = whole.select(*names[:-2], F.col("known.at").alias("at"), F.col("known.terms").alias("terms"))
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _terms_back({name: batch.column(name)[i].values for name in (*flat, "at", "terms")})
+                yield _terms_back({name: batch.column(name)[i].values for name in names})
 
-    counted = whole.mapInArrow(back, "lang string, source string, term string, docs bigint, occurrences bigint")
-    sums = counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"))
-    out = stage(sums, "term_counts")
-    discard(content)
-    return out
+    return whole.mapInArrow(back, "lang string, source string, term string, docs bigint, occurrences bigint")
 
 
 def _terms_back(row: dict[str, pa.Array | None]) -> pa.RecordBatch:
-    """Counts of one batch from its documents' chunks and the chunks' terms."""
+    """Counts of one batch from its documents' chunks and the terms of the chunks that are not terms themselves."""
     group, size, ids, counts = (row[c].to_numpy() for c in ("doc_group", "doc_size", "ids", "counts"))
-    n_chunks, n_groups = int(ids.max(initial=-1)) + 1, len(row["langs"])
-    lengths = np.zeros(n_chunks + 1, np.int64)
-    terms, codes, first = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(n_chunks + 1, np.int64)
+    chunks, n_groups = row["chunks"], len(row["langs"])
+    lengths, first = np.ones(len(chunks), np.int64), np.arange(len(chunks))
+    flat = chunks
     if row["at"] is not None:
         at, lists = row["at"].to_numpy(), row["terms"]
-        flat = pc.dictionary_encode(lists.flatten())
-        terms, codes = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
         own = np.diff(lists.offsets.to_numpy())
-        lengths[at], first[at] = own, np.cumsum(own) - own
+        lengths[at], first[at] = own, len(chunks) + np.cumsum(own) - own
+        flat = pa.concat_arrays([chunks, lists.flatten()])
+    flat = pc.dictionary_encode(flat)
+    terms, codes = flat.dictionary.cast(pa.string()), flat.indices.to_numpy().astype(np.int64)
     n_terms = max(1, len(terms))
     per_use = lengths[ids]
     use = np.repeat(np.arange(len(ids)), per_use)
     term = codes[np.arange(len(use)) - np.repeat(np.cumsum(per_use) - per_use, per_use) + first[ids][use]]
-    doc = np.repeat(np.arange(len(size)), size)
-    in_group = group[doc]
-    keys, where = np.unique(in_group[use].astype(np.int64) * n_terms + term, return_inverse=True)
+    doc = np.repeat(np.arange(len(size)), size)[use].astype(np.int64)
+    keys, where = np.unique(group[doc] * np.int64(n_terms) + term, return_inverse=True)
     occurrences = np.bincount(where, weights=counts[use], minlength=len(keys)).astype(np.int64)
-    once = np.unique(doc[use].astype(np.int64) * n_terms + term)
-    n_docs = np.bincount(np.searchsorted(keys, group[once // n_terms].astype(np.int64) * n_terms + once % n_terms), minlength=len(keys))
-    of_group = np.concatenate([keys // n_terms, np.arange(n_groups)])
+    once = np.unique(doc * n_terms + term, return_index=True)[1]
+    n_docs = np.bincount(where[once], minlength=len(keys))
+    of_group = pa.array(np.concatenate([keys // n_terms, np.arange(n_groups)]))
     names = pa.array(np.concatenate([keys % n_terms, np.zeros(n_groups, np.int64)]), mask=np.arange(len(of_group)) >= len(keys))
     return pa.RecordBatch.from_arrays(
         [
-            row["langs"].take(pa.array(of_group)), row["sources"].take(pa.array(of_group)), terms.take(names),
+            row["langs"].take(of_group), row["sources"].take(of_group), terms.take(names),
             pa.array(np.concatenate([n_docs, np.bincount(group, minlength=n_groups)]).astype(np.int64)),
             pa.array(np.concatenate([occurrences, np.zeros(n_groups, np.int64)])),
         ],
@@ -140,12 +156,13 @@ def _terms_back(row: dict[str, pa.Array | None]) -> pa.RecordBatch:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank) of the parts ``pair`` and ``term``."""
-    counts = term_counts(docs)
-    known = counts.where(F.col("term").isNotNull())
-    of_lang = known.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("lang_count"))
-    kept = of_lang.where(F.col("docs") >= min_docs).select("lang", "term", "lang_count")
-    uses = known.join(kept, ["lang", "term"]).select("lang", "source", "term", F.col("occurrences").alias("count"), "lang_count")
-    uses = stage(uses, "kept_uses")
+    # one shuffle by term serves the sums per source and those per language
+    counts = term_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term")
+    counts = counts.agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("count"))
+    whole = Window.partitionBy("lang", "term")
+    counts = counts.withColumn("lang_docs", F.sum("docs").over(whole)).withColumn("lang_count", F.sum("count").over(whole))
+    counts = stage(counts.where(F.col("term").isNull() | (F.col("lang_docs") >= min_docs)), "kept_counts")
+    uses = counts.where(F.col("term").isNotNull()).select("lang", "source", "term", "count", "lang_count")
     totals = uses.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     langs = uses.select("lang", "term", "lang_count").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_count").alias("lang_total"))
     groups = counts.where(F.col("term").isNull()).select("lang", "source").join(totals, ["lang", "source"], "left")
