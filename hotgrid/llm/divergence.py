@@ -1,16 +1,17 @@
 """Source divergence audit: how far the term shares of the sources of a language lie apart.
 
 Chunk factorization: documents are counted as white-space chunks, each globally distinct chunk is cut into terms once, and
-the terms are joined back. Documents are counted in batches of a bounded size, so what is shuffled is one row per batch and
-chunk, not per document and chunk; a frequent chunk has one row per batch at most. Sorted by chunk, equal ones follow each
-other and are cut together; what comes back are the chunks that are not their own only term. In its batch a chunk stands
-for its terms, documents are counted once per term, and only sums per (lang, source, term) leave the batch.
+its terms are joined to its counts. Documents are counted in batches of a bounded size, so what is shuffled is one row per
+batch, language and chunk, not per document and chunk; a frequent chunk has one row per batch at most. Sorted by chunk,
+equal ones follow each other, are cut once and summed. A term's documents are those of its chunks, each counted once: a
+chunk of ``min_docs`` documents settles that its terms stay, a rarer one brings the few documents it has.
 
 A term is a run of letters (A-Z lower-cased, and everything beyond ASCII); a language keeps the terms of at least
 ``MIN_DOCS`` of its documents. Shares are whole parts of a billion, so all results are exact.
 
 Edge cases: null lang, source or text counts as empty text; a document without terms still makes its group occur; every row
-is a document of its own, also with a repeated or null id; a very long chunk is one chunk, a very long text one batch.
+is a document of its own, also with a repeated or null id, numbered as it is read; a very long chunk is one chunk, a very
+long text one batch.
 """
 
 import re
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.llm.links import stage
+from hotgrid.session import discard
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # on UTF-8 bytes: letters, and all of every wider character
 _PLAIN = np.zeros(256, bool)
@@ -34,48 +36,76 @@ PARTS = 1_000_000_000
 BATCH_BYTES, BATCH_DOCS = 16 << 20, 20_000
 CELLS = 1 << 19  # of a block of terms by sources
 
-BATCH = (
-    "batch bigint, chunks array<binary>, langs array<string>, sources array<string>, doc_group array<int>, doc_size array<int>, "
-    "ids array<int>, counts array<int>"
-)
 
+def _starts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
-def _lists(*parts: np.ndarray | list) -> list[pa.Array]:
-    return [pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), pa.array(p)) for p in parts]
 
+def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of so many places: the run of each place, and its position in it."""
+    run = np.repeat(np.arange(len(lengths)), lengths)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
-def chunk_batches(docs: DataFrame) -> DataFrame:
-    """One row per batch of documents: its distinct chunks, and for every document which of them it has how often."""
+
+def _packed(lang: np.ndarray, ids: np.ndarray, group: np.ndarray, doc: np.ndarray, counts: np.ndarray, part: int, min_docs: int):
+    """Per (lang, id): its documents, listed if fewer than ``min_docs``, and occurrences by group, as whole numbers in a row.
+
+    A row is n, then n times (part, document) if n < min_docs, then (group, occurrences) for each group.
+    """
+    order = np.lexsort((group, ids, lang))
+    lang, ids, group, doc, counts = (a[order] for a in (lang, ids, group, doc, counts))
+    whole = lang.astype(np.int64) << 40 | ids
+    key_at = _starts(whole)
+    group_at = _starts(whole * (int(group.max(initial=0)) + 1) + group)
+    n_docs = np.diff(np.append(key_at, len(ids)))
+    n_groups = np.diff(np.append(np.searchsorted(group_at, key_at), len(group_at)))
+    listed = np.where(n_docs < min_docs, n_docs, 0)
+    size = 1 + 2 * listed + 2 * n_groups
+    first = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.int32)
+    out[first] = np.minimum(n_docs, min_docs)
+    run, at = _spread(listed)
+    out[first[run] + 1 + 2 * at] = part
+    out[first[run] + 2 + 2 * at] = doc[key_at[run] + at]
+    run, at = _spread(n_groups)
+    begin = first[run] + 1 + 2 * listed[run] + 2 * at
+    out[begin] = group[group_at]
+    out[begin + 1] = np.add.reduceat(counts, group_at) if len(group_at) else 0
+    return lang[key_at], ids[key_at], out, np.append(first, len(out))
+
+
+def chunk_counts(docs: DataFrame, groups: dict[tuple[str, str], int], langs: np.ndarray, min_docs: int) -> DataFrame:
+    """(lang, chunk, counts): one row per batch, language and chunk; ``langs`` has the language of each group's number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunks, groups = TaskContext.get().partitionId() << 32, {}, {}
-        doc_group, doc_size, ids, counts, size = [], [], [], [], 0
+        part, number = TaskContext.get().partitionId(), 0
+        chunks, doc_group, doc_size, ids, counts, size = {}, [], [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            text = pa.array(list(chunks), pa.binary())
-            arrays = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(text)], pa.int32()), text)]
-            arrays += _lists(pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()))
-            arrays += _lists(*[np.array(a, np.int32) for a in (doc_group, doc_size, ids, counts)])
-            return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in BATCH.split(", ")])
+            doc = np.repeat(np.arange(len(doc_size)), doc_size)
+            group = np.array(doc_group, np.int64)[doc]
+            where = np.array(ids, np.int64)
+            lang, own, packed, bounds = _packed(langs[group], where, group, doc + (number - len(doc_size)), np.array(counts), part, min_docs)
+            names = pa.array(list(chunks), pa.binary()).take(pa.array(own))
+            rows = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(packed)])
+            return pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), names, rows], ["lang", "chunk", "counts"])
 
         for batch in batches:
             for lang, source, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 own = Counter(text.split())  # bytes are split at ASCII white space only
-                doc_group.append(groups.setdefault((lang, source), len(groups)))
+                doc_group.append(groups[lang, source])
                 doc_size.append(len(own))
-                ids.extend(chunks.setdefault(c, len(chunks)) for c in own)
+                ids.extend([chunks.setdefault(c, len(chunks)) for c in own])
                 counts.extend(own.values())
-                size += len(text)
+                size, number = size + len(text), number + 1
                 if size >= BATCH_BYTES or len(doc_group) >= BATCH_DOCS:
                     yield made()
-                    number, chunks, groups = number + 1, {}, {}
-                    doc_group, doc_size, ids, counts, size = [], [], [], [], 0
+                    chunks, doc_group, doc_size, ids, counts, size = {}, [], [], [], [], 0
         if doc_group:
             yield made()
 
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text.alias("text"))
-    return rows.mapInArrow(count, BATCH)
+    return docs.mapInArrow(count, "lang int, chunk binary, counts binary")
 
 
 def terms_of(chunks: pa.Array) -> pa.Array:
@@ -90,82 +120,87 @@ def terms_of(chunks: pa.Array) -> pa.Array:
     return pa.array(cut, pa.list_(pa.binary()))
 
 
-def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(batch, at, terms) of the uses of chunks that are not their own only term; equal chunks follow each other."""
-    for batch in batches:
-        chunk = batch.column("chunk")
-        new = np.ones(len(chunk), bool)
-        new[1:] = pc.not_equal(chunk.slice(1), chunk.slice(0, len(chunk) - 1)).to_numpy(zero_copy_only=False)
-        terms = terms_of(chunk.filter(pa.array(new))).take(pa.array(np.cumsum(new) - 1))
-        kept = terms.is_valid()
-        columns = [c.filter(kept) for c in (batch.column("batch"), batch.column("at"), terms)]
-        yield pa.RecordBatch.from_arrays(columns, ["batch", "at", "terms"])
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, docs, occurrences) of each batch, and for every group rows of the null term with its documents."""
-    content = stage(chunk_batches(docs), "chunk_batches")
-    uses = content.select("batch", F.posexplode("chunks").alias("at", "chunk"))
-    cut = uses.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_cut_runs, "batch bigint, at int, terms array<binary>")
-    known = cut.groupBy("batch").agg(F.collect_list(F.struct("at", "terms")).alias("known"))
-    whole = content.join(known, "batch", "left")
-    names = ("chunks", "langs", "sources", "doc_group", "doc_size", "ids", "counts", "at", "terms")
-    whole = whole.select(*names[:-2], F.col("known.at").alias("at"), F.col("known.terms").alias("terms"))
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut_chunks(counts: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, group, term, n, doc) from sorted chunk counts: occurrences ``n`` of a term in a group, and with the null group
+    the documents of a term, one a row, or the null document if there are ``min_docs`` or more of one chunk."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield _terms_back({name: batch.column(name)[i].values for name in names})
-
-    return whole.mapInArrow(back, "lang string, source string, term string, docs bigint, occurrences bigint")
-
-
-def _terms_back(row: dict[str, pa.Array | None]) -> pa.RecordBatch:
-    """Counts of one batch from its documents' chunks and the terms of the chunks that are not terms themselves."""
-    group, size, ids, counts = (row[c].to_numpy() for c in ("doc_group", "doc_size", "ids", "counts"))
-    chunks, n_groups = row["chunks"], len(row["langs"])
-    lengths, first = np.ones(len(chunks), np.int64), np.arange(len(chunks))
-    flat = chunks
-    if row["at"] is not None:
-        at, lists = row["at"].to_numpy(), row["terms"]
-        own = np.diff(lists.offsets.to_numpy())
-        lengths[at], first[at] = own, len(chunks) + np.cumsum(own) - own
-        flat = pa.concat_arrays([chunks, lists.flatten()])
-    flat = pc.dictionary_encode(flat)
-    terms, codes = flat.dictionary.cast(pa.string()), flat.indices.to_numpy().astype(np.int64)
-    n_terms = max(1, len(terms))
-    per_use = lengths[ids]
-    use = np.repeat(np.arange(len(ids)), per_use)
-    term = codes[np.arange(len(use)) - np.repeat(np.cumsum(per_use) - per_use, per_use) + first[ids][use]]
-    doc = np.repeat(np.arange(len(size)), size)[use].astype(np.int64)
-    keys, where = np.unique(group[doc] * np.int64(n_terms) + term, return_inverse=True)
-    occurrences = np.bincount(where, weights=counts[use], minlength=len(keys)).astype(np.int64)
-    once = np.unique(doc * n_terms + term, return_index=True)[1]
-    n_docs = np.bincount(where[once], minlength=len(keys))
-    of_group = pa.array(np.concatenate([keys // n_terms, np.arange(n_groups)]))
-    names = pa.array(np.concatenate([keys % n_terms, np.zeros(n_groups, np.int64)]), mask=np.arange(len(of_group)) >= len(keys))
+            if batch.num_rows:
+                yield _cut(batch, min_docs)
+
+    rows = counts.repartition("chunk").sortWithinPartitions("chunk", "lang")
+    return rows.mapInArrow(cut, "lang int, group int, term string, n bigint, doc bigint")
+
+
+def _cut(batch: pa.RecordBatch, min_docs: int) -> pa.RecordBatch:
+    chunk, lang = batch.column("chunk"), batch.column("lang").to_numpy()
+    new = np.ones(len(chunk), bool)
+    new[1:] = pc.not_equal(chunk.slice(1), chunk.slice(0, len(chunk) - 1)).to_numpy(zero_copy_only=False)
+    distinct = chunk.filter(pa.array(new))
+    cut = terms_of(distinct)
+    kept = cut.is_valid().to_numpy(zero_copy_only=False)
+    terms = pa.concat_arrays([distinct, cut.flatten()])
+    lengths, first = np.ones(len(distinct), np.int64), np.arange(len(distinct))
+    own = pc.list_value_length(cut).fill_null(0).to_numpy()[kept]
+    lengths[kept], first[kept] = own, len(distinct) + np.cumsum(own) - own
+
+    # rows of one chunk and language are summed
+    run_at = np.flatnonzero(new | np.append(True, lang[1:] != lang[:-1]))
+    run = np.searchsorted(run_at, np.arange(len(lang)), "right") - 1
+    run_lang, run_chunk = lang[run_at], (np.cumsum(new) - 1)[run_at]
+    rows = batch.column("counts")
+    bounds = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1] // 4
+    values = np.frombuffer(rows.buffers()[2], np.int32)
+    n = values[bounds[:-1]].astype(np.int64)
+    listed = np.where(n < min_docs, n, 0)
+    total = np.bincount(run, weights=n, minlength=len(run_at))
+    row, at = _spread(np.where(total[run] < min_docs, listed, 0))
+    place = bounds[row] + 1 + 2 * at
+    doc, doc_run = values[place].astype(np.int64) << 32 | values[place + 1], run[row]
+    sure = np.flatnonzero(total >= min_docs)
+    row, at = _spread((np.diff(bounds) - 1) // 2 - listed)
+    place = bounds[row] + 1 + 2 * listed[row] + 2 * at
+    keys, back = np.unique(run[row].astype(np.int64) << 32 | values[place], return_inverse=True)
+    occurrences = np.bincount(back, weights=values[place + 1], minlength=len(keys)).astype(np.int64)
+
+    # occurrences, listed documents and settled terms, each repeated for every term of its chunk
+    runs = np.concatenate([keys >> 32, doc_run, sure])
+    group = np.concatenate([keys & 0xFFFFFFFF, np.full(len(doc_run) + len(sure), -1)]).astype(np.int32)
+    docs = np.concatenate([np.full(len(keys), -1), doc, np.full(len(sure), -1)])
+    count = np.concatenate([occurrences, np.zeros(len(doc_run) + len(sure), np.int64)])
+    item, at = _spread(lengths[run_chunk[runs]])
     return pa.RecordBatch.from_arrays(
         [
-            row["langs"].take(of_group), row["sources"].take(of_group), terms.take(names),
-            pa.array(np.concatenate([n_docs, np.bincount(group, minlength=n_groups)]).astype(np.int64)),
-            pa.array(np.concatenate([occurrences, np.zeros(n_groups, np.int64)])),
+            pa.array(run_lang[runs][item]), pa.array(group[item], mask=group[item] < 0),
+            terms.take(pa.array(first[run_chunk[runs]][item] + at)).cast(pa.string()), pa.array(count[item]),
+            pa.array(docs[item], mask=docs[item] < 0),
         ],
-        ["lang", "source", "term", "docs", "occurrences"],
+        ["lang", "group", "term", "n", "doc"],
     )
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank) of the parts ``pair`` and ``term``."""
-    # one shuffle by term serves the sums per source and those per language
-    counts = term_counts(docs).repartition("lang", "term").groupBy("lang", "source", "term")
-    counts = counts.agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("count"))
-    whole = Window.partitionBy("lang", "term")
-    counts = counts.withColumn("lang_docs", F.sum("docs").over(whole)).withColumn("lang_count", F.sum("count").over(whole))
-    counts = stage(counts.where(F.col("term").isNull() | (F.col("lang_docs") >= min_docs)), "kept_counts")
-    uses = counts.where(F.col("term").isNotNull()).select("lang", "source", "term", "count", "lang_count")
+    text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    docs = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text)
+    # the result has all pairs of a language's sources, so their list is small beside it
+    names = sorted(tuple(r) for r in docs.select("lang", "source").distinct().collect())
+    codes = {lang: i for i, lang in enumerate(dict.fromkeys(n[0] for n in names))}
+    counts = chunk_counts(docs, {n: i for i, n in enumerate(names)}, np.array([codes[n[0]] for n in names], np.int64), min_docs)
+    cut = stage(cut_chunks(counts, min_docs), "cut_chunks")
+    known = cut.where(F.col("group").isNull()).groupBy("lang", "term", "doc").agg(F.count_if(F.col("doc").isNull()).alias("sure"))
+    known = known.groupBy("lang", "term").agg(F.sum("sure").alias("sure"), F.count("doc").alias("docs"))
+    kept = known.where((F.col("sure") > 0) | (F.col("docs") >= min_docs)).select("lang", "term")
+    uses = cut.where(F.col("group").isNotNull()).groupBy("lang", "group", "term").agg(F.sum("n").alias("count"))
+    uses = uses.join(kept, ["lang", "term"])
+    uses = stage(uses.withColumn("lang_count", F.sum("count").over(Window.partitionBy("lang", "term"))), "kept_uses")
+    discard(cut)
+    listed = docs.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "group int, lang string, source string")
+    uses = uses.drop("lang").join(listed, "group").drop("group")
     totals = uses.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     langs = uses.select("lang", "term", "lang_count").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_count").alias("lang_total"))
-    groups = counts.where(F.col("term").isNull()).select("lang", "source").join(totals, ["lang", "source"], "left")
+    groups = listed.select("lang", "source").join(totals, ["lang", "source"], "left")
     groups = stage(groups.join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"]), "groups")
     p = 1 + exact_parts(F.col("count") + 1, F.col("total") + F.col("v"))
     uses = uses.join(groups, ["lang", "source"]).withColumn("p", p)
