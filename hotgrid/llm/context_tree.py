@@ -24,21 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hotgrid.llm.links import stage
-from hotgrid.session import discard
 
 DEPTH = 4
 END = 255  # no byte of UTF-8; texts end with it, and before a text lie only such bytes
-BATCH_BYTES, BATCH_DOCS = 8 << 20, 20_000
+BATCH_BYTES, BATCH_DOCS = 16 << 20, 20_000
 BLOCK_BYTES = 1 << 21
 GRAMS_PER_GROUP, MIN_GROUPS = 200_000, 64
 _HALF = np.log(0.5)
 
 BATCH = (
-    "batch bigint, ids array<bigint>, held array<boolean>, texts array<binary>, grams array<bigint>, gram_n array<bigint>, "
+    "batch bigint, ids array<bigint>, held array<boolean>, sizes array<int>, texts binary, grams array<bigint>, gram_n array<bigint>, "
     "words array<binary>, word_n array<bigint>"
 )
 FIELDS = [c.split()[0] for c in BATCH.split(", ")]
@@ -107,11 +106,12 @@ def text_batches(docs: DataFrame, held: Column, depth: int = DEPTH) -> DataFrame
             for word, n in Counter(text.split()).items():
                 words[word] = words.get(word, 0) + (0 if row[1] else n)
         columns = [
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array(texts, pa.binary()),
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([len(t) for t in texts], pa.int32()),
             pa.array(grams), pa.array(gram_n), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64()),
         ]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists], FIELDS)
+        packed = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists[:3], pa.array([packed], pa.binary()), *lists[3:]], FIELDS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, rows, size = TaskContext.get().partitionId() << 32, [], 0
@@ -266,27 +266,30 @@ def scores(docs: DataFrame, held: Column, depth: int = DEPTH) -> DataFrame:
     counted = content.select(F.explode(F.arrays_zip("grams", "gram_n")).alias("g"))
     grams = stage(counted.groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.gram_n").alias("n")), "grams")
     lookup = scored_grams(grams, depth)
-    gram_side = asked.join(lookup, "gram").groupBy("batch").agg(F.collect_list(F.struct("gram", "score")).alias("g"))
-
-    counted = content.select(F.explode(F.arrays_zip("words", "word_n")).alias("w"))
-    words = stage(counted.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.word_n").alias("c")), "words")
-    of_words = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    texts = content.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    n_train, n_distinct = of_words[0] + texts, of_words[1] + (texts > 0)  # the end is a token of every text
-    known = content.select("batch", F.posexplode("words").alias("at", "word")).join(words.where("c > 0"), "word")
-    word_side = known.groupBy("batch").agg(F.collect_list(F.struct("at", "c")).alias("w"))
-
-    whole = content.select("batch", "ids", "held", "texts", "words").join(gram_side, "batch").join(word_side, "batch", "left")
-    names = ["ids", "held", "texts", "words", "gram", "score", "at", "c"]
-    whole = whole.select(*names[:4], F.col("g.gram").alias("gram"), F.col("g.score").alias("score"), F.col("w.at").alias("at"), F.col("w.c").alias("c"))
-    end_log, base_log = np.log10(texts + 1.0), np.log10(n_train + n_distinct + 1.0)
+    # two lists of one aggregate have the same order, and are half as large as one list of pairs
+    gram_side = asked.join(lookup, "gram").groupBy("batch").agg(F.collect_list("gram").alias("gram"), F.collect_list("score").alias("score"))
+
+    # a word has one row per batch at most, so its total goes to its rows without a second table
+    uses = content.select("batch", F.posexplode(F.arrays_zip("words", "word_n")).alias("at", "w"))
+    own = Window.partitionBy("word")
+    uses = uses.select("batch", "at", F.col("w.words").alias("word"), F.col("w.word_n").alias("n")).withColumn("c", F.sum("n").over(own))
+    uses = uses.withColumn("first", F.row_number().over(own.orderBy("batch")) == 1).where("c > 0").select("batch", "at", "c", "first")
+    known = stage(uses, "known_words")
+    of_words = known.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    learnt = content.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
+    n_train, n_distinct = of_words[0] + learnt, of_words[1] + (learnt > 0)  # the end is a token of every text
+    word_side = known.groupBy("batch").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c"))
+
+    names = ["ids", "held", "sizes", "texts", "gram", "score", "at", "c"]
+    whole = content.select("batch", *names[:4]).join(gram_side, "batch").join(word_side, "batch", "left").select(*names)
+    end_log, base_log = np.log10(learnt + 1.0), np.log10(n_train + n_distinct + 1.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].values for c in names}
-                texts = row["texts"].to_pylist()
-                logs = _word_logs(row)
+                row = {c: batch.column(c)[i].values for c in names if c != "texts"}
+                texts = _unpacked(batch.column("texts")[i].as_buffer(), row["sizes"].to_numpy())
+                logs = _word_logs(texts, row)
                 base, n_tokens, n_known = [], [], []
                 for text in texts:
                     own = Counter(text.split())
@@ -308,11 +311,18 @@ def scores(docs: DataFrame, held: Column, depth: int = DEPTH) -> DataFrame:
 SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def _word_logs(row: dict[str, pa.Array | None]) -> dict[bytes, float]:
-    """log10(c + 1) of the batch's known words."""
+def _unpacked(packed: pa.Buffer, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes, dtype=np.int64)
+    data = pa.decompress(packed, decompressed_size=int(sizes.sum(dtype=np.int64)), codec="zstd", asbytes=True)
+    return [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+
+
+def _word_logs(texts: list[bytes], row: dict[str, pa.Array | None]) -> dict[bytes, float]:
+    """log10(c + 1) of the batch's known words, which are numbered in the order in which its texts name them."""
     if row["at"] is None:
         return {}
-    return dict(zip(row["words"].take(row["at"]).to_pylist(), np.log10(row["c"].to_numpy() + 1.0).tolist(), strict=True))
+    words = list(dict.fromkeys(w for t in texts for w in t.split()))
+    return {words[i]: v for i, v in zip(row["at"].to_pylist(), np.log10(row["c"].to_numpy() + 1.0).tolist(), strict=True)}
 
 
 def _text_scores(texts: list[bytes], grams: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
