@@ -431,109 +431,6 @@ def ranked_members(members: DataFrame, inside: DataFrame, scope: str = "rank", l
     return out.where(F.col("position") <= limit) if limit else out
 
 
-def _component_report(members: DataFrame, comp: DataFrame, scope: str) -> DataFrame:
-    """Largest component and number of components per scope, members without edges included."""
-    placed = members.join(comp, [scope, "node"], "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy(scope, "component").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy(scope).agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("n"))
-
-
-def community_report(members: DataFrame, edges: DataFrame, remove: int = 3) -> DataFrame:
-    """Size, edges, cohesion, articulation points, and what removing the best-connected members does."""
-    members = cut_lineage(members)
-    inside = cut_lineage(inner_edges(edges, members).select("rank", "src", "dst"))
-    gone = cut_lineage(ranked_members(members, inside, limit=remove).select("rank", "node"))
-    few = F.broadcast(gone)
-    left = members.join(few, ["rank", "node"], "left_anti")
-    cut = inside.join(few.withColumnRenamed("node", "src"), ["rank", "src"], "left_anti").join(
-        few.withColumnRenamed("node", "dst"), ["rank", "dst"], "left_anti"
-    )
-    whole = cut_lineage(components(inside, ["rank"]))
-    before = _component_report(members, whole, "rank").select("rank", F.col("largest").alias("largest_before"))
-    after = _component_report(left, components(cut, ["rank"]), "rank").select(
-        "rank", F.col("largest").alias("largest_after"), F.col("n").alias("components_after")
-    )
-    artic = articulation_points(inside, ["rank"], whole).groupBy("rank").agg(F.count(F.lit(1)).alias("n_articulation"))
-    size = members.groupBy("rank").agg(F.count(F.lit(1)).alias("size"))
-    count = inside.groupBy("rank").agg(F.count(F.lit(1)).alias("n_edges"))
-    rows = size.join(count, "rank", "left").join(before, "rank").join(after, "rank", "left").join(artic, "rank", "left")
-    rows = rows.na.fill(0, ["n_edges", "largest_after", "components_after", "n_articulation"])
-    return rows.withColumn(
-        "drop_pct", F.round((F.col("largest_before") - F.col("largest_after")) / F.col("largest_before") * 100, 1)
-    ).withColumn("cohesion", F.col("n_edges") / F.col("size"))
-
-
-def articulation_points(
-    edges: DataFrame, scope: Sequence[str] = (), labels: DataFrame | None = None, max_depth: int = 500
-) -> DataFrame:
-    """Vertices whose removal splits their component, within each scope.
-
-    Grows breadth-first trees from the smallest vertex of each component. Every non-tree edge closes a
-    cycle: its two ends climb to their common ancestor and tie the tree edges they pass into one block.
-    A vertex touching tree edges of two or more blocks is an articulation point.
-    """
-    scope = list(scope)
-    pair = [*scope, "node"]
-    edges = cut_lineage(edges.select(*scope, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    sym = cut_lineage(both_ways(edges, scope))
-    labels = components(edges, scope) if labels is None else labels
-    none = F.lit(None).cast(dict(edges.dtypes)["src"])
-    front = labels.where(F.col("node") == F.col("component")).select(*pair, none.alias("parent"), F.lit(0).alias("depth"))
-    tree = front = cut_lineage(front)
-    # each front is written before it joins the tree, so the union never grows a lineage
-    big = sym.count() > HEAVY_MIN_ROWS
-    for depth in range(1, max_depth + 1):
-        reached = _join(sym, front.select(*scope, F.col("node").alias("src")), [*scope, "src"], "left_semi", ["dst"], big)
-        fresh = reached.join(tree.select(*scope, F.col("node").alias("dst")), [*scope, "dst"], "left_anti")
-        front = fresh.groupBy(*scope, F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        front = cut_lineage(front.withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
-        tree = tree.unionByName(front.select(*tree.columns))
-    else:
-        raise RuntimeError(f"component deeper than {max_depth}")
-
-    def seen_from(side: str) -> DataFrame:
-        return tree.select(
-            *scope, F.col("node").alias(side), F.col("parent").alias(f"{side}_up"), F.col("depth").alias(f"{side}_depth")
-        )
-
-    def with_parents(walk: DataFrame) -> DataFrame:
-        return walk.join(seen_from("x"), [*scope, "x"]).join(seen_from("y"), [*scope, "y"])
-
-    walk = with_parents(edges.select(*scope, F.col("src").alias("x"), F.col("dst").alias("y")))
-    walk = cut_lineage(walk.where(~F.col("x_up").eqNullSafe(F.col("y")) & ~F.col("y_up").eqNullSafe(F.col("x"))))
-    ties = []
-    while not walk.isEmpty():
-        x_deeper, y_deeper = F.col("x_depth") > F.col("y_depth"), F.col("y_depth") > F.col("x_depth")
-        meet = (F.col("x_depth") == F.col("y_depth")) & (F.col("x_up") == F.col("y_up"))
-        link = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-        made = (
-            F.when(meet, F.array(link("x", "y")))
-            .when(x_deeper, F.array(link("x", "x_up")))
-            .when(y_deeper, F.array(link("y", "y_up")))
-            .otherwise(F.array(link("x", "x_up"), link("y", "y_up")))
-        )
-        ties.append(walk.select(*scope, F.explode(made).alias("l")).select(*scope, "l.*").distinct())
-        on = walk.where(~meet).select(
-            *scope,
-            F.when(y_deeper, F.col("x")).otherwise(F.col("x_up")).alias("a"),
-            F.when(x_deeper, F.col("y")).otherwise(F.col("y_up")).alias("b"),
-        )
-        on = on.select(*scope, F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        walk = cut_lineage(with_parents(on))
-    child = tree.where(F.col("parent").isNotNull()).select(*pair, "parent")
-    blocks = child.withColumn("block", F.col("node"))
-    if ties:
-        all_ties = ties[0]
-        for t in ties[1:]:
-            all_ties = all_ties.unionByName(t)
-        joined = components(all_ties, scope)
-        blocks = child.join(joined, pair, "left").withColumn("block", F.coalesce("component", "node")).drop("component")
-    at_ends = blocks.select(*pair, "block").unionByName(blocks.select(*scope, F.col("parent").alias("node"), "block"))
-    return at_ends.groupBy(*pair).agg(F.count_distinct("block").alias("blocks")).where(F.col("blocks") > 1).select(*pair)
-
-
 def min_max(col: str) -> F.Column:
     """Scaling to 0..1 over all rows of a short list; a constant column becomes 0.5."""
     w = Window.partitionBy()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hotgrid.operators import entities, graph
+from hotgrid.operators import biconnected, entities, graph
 from hotgrid.plans.registry import query, view
 from hotgrid.session import cut_lineage
 from hotgrid.sources import tables
@@ -229,13 +229,27 @@ FROM sz LEFT JOIN ne USING (rank) JOIN z1 USING (rank) LEFT JOIN z2 USING (rank)
 
 @query("community_report", C, REPORT_SQL, recursive=True)
 def community_report(spark, d):
-    out = graph.community_report(_members(spark, d), edges_of(spark, d))
+    out = biconnected.community_report(_members(spark, d), edges_of(spark, d))
     return out.drop("n_articulation").withColumn("cohesion", F.round("cohesion", 6))
 
 
-@query("articulation_points")
+def split_sql(name: str, source: str, scope: str) -> str:
+    """Views ending in ``name``(scope, node): vertices of ``source`` whose neighbours fall apart when they are taken out.
+
+    Every vertex of degree two or more is taken out once, and labels spread from its neighbours over what is left.
+    """
+    return f"""{name}_b AS MATERIALIZED (SELECT {scope} AS s, src, dst FROM {source} UNION SELECT {scope}, dst, src FROM {source}),
+{name}_v AS MATERIALIZED (SELECT s, src AS v FROM {name}_b GROUP BY ALL HAVING count(*) > 1),
+{name}_e AS MATERIALIZED (SELECT struct_pack(s := s, v := v) AS cut, e.src, e.dst FROM {name}_b e JOIN {name}_v USING (s) WHERE e.src < e.dst AND v <> e.src AND v <> e.dst),
+{cc_sql(f"{name}_c", f"{name}_e", "cut")},
+{name} AS (SELECT s, v AS node FROM {name}_v JOIN {name}_b e ON e.s = {name}_v.s AND e.src = v
+  LEFT JOIN {name}_c c ON c.cut = struct_pack(s := {name}_v.s, v := v) AND c.node = e.dst
+  GROUP BY {name}_v.s, v HAVING count(DISTINCT coalesce(c.component, e.dst)) > 1)""".replace(f"SELECT s, v AS node FROM {name}_v JOIN", f"SELECT {name}_v.s AS s, v AS node FROM {name}_v JOIN")
+
+
+@query("articulation_points", G + " strong", "WITH " + split_sql("art", "strong", "1") + "\nSELECT node FROM art", recursive=True)
 def articulation_points(spark, d):
-    return graph.articulation_points(edges_of(spark, d, min_weight=2).select("src", "dst"))
+    return biconnected.articulation_points(edges_of(spark, d, min_weight=2).select("src", "dst"))
 
 
 view(

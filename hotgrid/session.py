@@ -61,3 +61,9 @@ def discard(*frames: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_in)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, whose results are written: its cleaner follows the driver's
+    garbage collector, which on its own may not run for half an hour."""
+    spark._jvm.System.gc()

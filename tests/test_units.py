@@ -3,13 +3,16 @@
 import itertools
 import math
 import random
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from hotgrid import session
 from hotgrid import settings as S
 from hotgrid.functions import labels, periods, spatial
-from hotgrid.operators import audit, coverage, graph, grid, hotspots, metrics, model, panel, places, scale, series, trends
+from hotgrid.operators import audit, biconnected, coverage, graph, grid, hotspots, metrics, model, panel, places, scale, series, trends
 
 
 def rows(df, *cols):
@@ -155,7 +158,7 @@ def edge_df(spark, pairs, weight=1):
 def test_two_triangles(spark):
     e = edge_df(spark, TRIANGLES)
     assert {r.component for r in graph.components(e).collect()} == {1}
-    assert rows(graph.articulation_points(e), "node") == [(3,), (4,)]
+    assert rows(biconnected.articulation_points(e), "node") == [(3,), (4,)]
     split = spark.createDataFrame([(n, 1 if n <= 3 else 2) for n in range(1, 7)], "node bigint, community bigint")
     assert abs(graph.modularity(e, split).first().modularity - 5 / 14) < 1e-12
     found = graph.communities(e)
@@ -171,13 +174,89 @@ def test_communities_settle_in_a_small_region(spark):
     assert len({r["community"] for r in found}) == 201
 
 
-def test_salted_joins_change_nothing(spark, monkeypatch):
+def plain_louvain(pairs):
+    """One vertex after the other to its best community until none moves, then on the communities; the labels of the end."""
+    weight = defaultdict(Counter)
+    for a, b in pairs:
+        weight[a][b] += 1
+        weight[b][a] += 1
+    where, two_m = {n: n for n in weight}, 2 * len(pairs)
+    while True:
+        k = {n: sum(w.values()) for n, w in weight.items()}
+        label, volume, moved_any = {n: n for n in weight}, dict(k), False
+        moved = True
+        while moved:
+            moved = False
+            for n in sorted(weight):
+                toward = Counter()
+                for m, w in weight[n].items():
+                    if m != n:
+                        toward[label[m]] += w
+                volume[label[n]] -= k[n]
+                best = max([label[n], *toward], key=lambda c: (round(toward[c] - k[n] * volume[c] / two_m, 9), c == label[n], -c))
+                moved |= best != label[n]
+                label[n] = best
+                volume[best] += k[n]
+            moved_any |= moved
+        where = {n: label[c] for n, c in where.items()}
+        if all(c == n for n, c in label.items()):
+            return where
+        merged = defaultdict(Counter)
+        for n, w in weight.items():
+            for m, x in w.items():
+                merged[label[n]][label[m]] += x
+        weight = merged
+
+
+@pytest.mark.parametrize("chance", [0.02, 0.12])
+def test_communities_as_good_as_one_move_at_a_time(spark, chance):
+    rng = random.Random(7)
+    pairs = [(a, b) for a in range(90) for b in range(a) if rng.random() < (0.5 if a // 15 == b // 15 else chance)]
+    e = edge_df(spark, pairs)
+    plain = spark.createDataFrame(list(plain_louvain(pairs).items()), "node bigint, community bigint")
+    reached, wanted = graph.modularity(e, graph.communities(e)).first()[0], graph.modularity(e, plain).first()[0]
+    assert reached >= wanted - 0.01
+
+
+def test_size_estimates_stay_small(spark):
+    """A table joined with itself and written in each of 40 rounds is estimated from its files."""
+    df = session.cut_lineage(spark.range(50))
+    for _ in range(40):
+        df = session.cut_lineage(df.join(df.withColumnRenamed("id", "other"), F.col("id") == F.col("other")).select("id"))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+
+
+def test_discarded_tables_are_gone(spark):
+    df = session.cut_lineage(spark.range(5))
+    session.discard(df)
+    assert not Path(df.staged_in.removeprefix("file:")).exists()
+
+
+def test_salted_components_change_nothing(spark, monkeypatch):
     """Every hot vertex is salted once the threshold is one row."""
     pairs = [(1, n) for n in range(2, 40)] + [(n, n + 1) for n in range(50, 70)] + TRIANGLES
     e = edge_df(spark, sorted({(min(p), max(p)) for p in pairs}))
-    plain = rows(graph.components(e), "node", "component"), rows(graph.articulation_points(e), "node")
+    plain = rows(graph.components(e), "node", "component")
     monkeypatch.setattr(graph, "HEAVY_MIN_ROWS", 1)
-    assert (rows(graph.components(e), "node", "component"), rows(graph.articulation_points(e), "node")) == plain
+    assert rows(graph.components(e), "node", "component") == plain
+
+
+def test_articulation_points_of_a_deep_chain(spark):
+    n = 10_000
+    e = edge_df(spark, [(i * 7919 % n, (i + 1) * 7919 % n) for i in range(n - 1)])
+    cut = biconnected.articulation_points(e)
+    assert cut.count() == n - 2 and not cut.where(F.col("node").isin(0, (n - 1) * 7919 % n)).count()
+
+
+def test_articulation_points_of_rings_and_stars(spark):
+    """Scopes are apart: a ring of rings, a star whose leaves are tied in pairs, and a ring with a chord."""
+    ring = [(i, (i + 1) % 8) for i in range(8)]
+    hung = [(i, 100 + 3 * i) for i in range(8)] + [(i, 101 + 3 * i) for i in range(8)] + [(100 + 3 * i, 101 + 3 * i) for i in range(8)]
+    star = [(0, i) for i in range(1, 601)] + [(i, i + 1) for i in range(1, 601, 2)]
+    graphs = {1: ring + hung, 2: star, 3: ring + [(0, 4)]}
+    data = [(g, min(p), max(p)) for g, pairs in graphs.items() for p in pairs]
+    cut = biconnected.articulation_points(spark.createDataFrame(data, "g int, src bigint, dst bigint"), ["g"])
+    assert rows(cut, "g", "node") == [(1, i) for i in range(8)] + [(2, 0)]
 
 
 def test_unconverged_eigenvector_raises(spark):
@@ -212,7 +291,7 @@ def test_random_graph_against_brute_force(spark, seed):
         after = brute_components(rest, [p for p in pairs if v not in p])
         if len(set(after.values())) > len(set(label.values())) - (0 if any(v in p for p in pairs) and sum(1 for n in nodes if label[n] == label[v]) > 1 else 1):
             cut.append((v,))
-    assert rows(graph.articulation_points(e), "node") == cut
+    assert rows(biconnected.articulation_points(e), "node") == cut
     removal = {(r.kind, r.n_removed): r for r in graph.removal_analysis(e, top=5, steps=(1, 3, 5)).collect()}
     best = [r.node for r in graph.top_nodes(e, 5).orderBy("rank").collect()]
     for kind, k, gone in [("single", i + 1, {best[i]}) for i in range(5)] + [("cumulative", s, set(best[:s])) for s in (1, 3, 5)]:
