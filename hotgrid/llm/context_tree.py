@@ -264,8 +264,8 @@ def scores(docs: DataFrame, held: Column, depth: int = DEPTH) -> DataFrame:
     content = stage(text_batches(docs, held, depth), "text_batches")
     asked = content.select("batch", F.explode("grams").alias("gram"))
     counted = content.select(F.explode(F.arrays_zip("grams", "gram_n")).alias("g"))
-    grams = stage(counted.groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.gram_n").alias("n")), "grams")
-    lookup = scored_grams(grams, depth)
+    grams = stage(counted.groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.gram_n").alias("n")), "grams", free=True)
+    lookup = stage(scored_grams(grams, depth), "scored_grams", free=True)
     # two lists of one aggregate have the same order, and are half as large as one list of pairs
     gram_side = asked.join(lookup, "gram").groupBy("batch").agg(F.collect_list("gram").alias("gram"), F.collect_list("score").alias("score"))
 
@@ -274,7 +274,7 @@ def scores(docs: DataFrame, held: Column, depth: int = DEPTH) -> DataFrame:
     own = Window.partitionBy("word")
     uses = uses.select("batch", "at", F.col("w.words").alias("word"), F.col("w.word_n").alias("n")).withColumn("c", F.sum("n").over(own))
     uses = uses.withColumn("first", F.row_number().over(own.orderBy("batch")) == 1).where("c > 0").select("batch", "at", "c", "first")
-    known = stage(uses, "known_words")
+    known = stage(uses, "known_words", free=True)
     of_words = known.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     learnt = content.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     n_train, n_distinct = of_words[0] + learnt, of_words[1] + (learnt > 0)  # the end is a token of every text

@@ -188,13 +188,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     names = sorted(tuple(r) for r in docs.select("lang", "source").distinct().collect())
     codes = {lang: i for i, lang in enumerate(dict.fromkeys(n[0] for n in names))}
     counts = chunk_counts(docs, {n: i for i, n in enumerate(names)}, np.array([codes[n[0]] for n in names], np.int64), min_docs)
-    cut = stage(cut_chunks(counts, min_docs), "cut_chunks")
+    cut = stage(cut_chunks(counts, min_docs), "cut_chunks", free=True)
     known = cut.where(F.col("group").isNull()).groupBy("lang", "term", "doc").agg(F.count_if(F.col("doc").isNull()).alias("sure"))
     known = known.groupBy("lang", "term").agg(F.sum("sure").alias("sure"), F.count("doc").alias("docs"))
     kept = known.where((F.col("sure") > 0) | (F.col("docs") >= min_docs)).select("lang", "term")
     uses = cut.where(F.col("group").isNotNull()).groupBy("lang", "group", "term").agg(F.sum("n").alias("count"))
     uses = uses.join(kept, ["lang", "term"])
-    uses = stage(uses.withColumn("lang_count", F.sum("count").over(Window.partitionBy("lang", "term"))), "kept_uses")
+    uses = stage(uses.withColumn("lang_count", F.sum("count").over(Window.partitionBy("lang", "term"))), "kept_uses", free=True)
     discard(cut)
     listed = docs.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "group int, lang string, source string")
     uses = uses.drop("lang").join(listed, "group").drop("group")

@@ -32,7 +32,7 @@ WORDS, PCT = 5, 80
 MAX_SMALL = 40  # sizes above are never small: their subsets are too many for any cost
 ENTRY_COST = 4.0  # of a list entry with its share of search and verification, against a subset's 1
 HEAVY_COUNT, MAX_HEAVY = 16, 1 << 17  # tokens ordered last; which ones are has no effect on results
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000
 PAIRS_PER_ENTRY = 8  # above this many pairs per entry another round of leaders comes first
 LIKELY = 0.4  # share of a prefix that a leader must share to be tried; the rest is left to the final search
 MAX_STAR_ROUNDS = 6
@@ -75,7 +75,7 @@ def corpus_statistics(docs: DataFrame, k: int) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 4000):
             seen: set[int] = set()
             held: list[np.ndarray] = []
             sizes: dict[int, int] = {}
@@ -226,7 +226,9 @@ def list_entries(reps: DataFrame) -> DataFrame:
 
     entries = reps.where(F.size("tokens") > 0).select("doc_id", "n", F.explode(known("tokens")).alias("t"))
     entries = entries.select(F.col("t.key").alias("key"), "doc_id", "n", F.col("t.pos").alias("pos"))
-    return stage(entries.join(lists, "key"), "entries")
+    out = stage(entries.join(lists, "key"), "entries", free=True)
+    shared.destroy()
+    return out
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -242,7 +244,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), sets], ["doc_id", "tokens"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-    return stage(rows.mapInArrow(read, "doc_id bigint, tokens array<bigint>"), "sets")
+    out = stage(rows.mapInArrow(read, "doc_id bigint, tokens array<bigint>"), "sets")
+    wanted.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
@@ -316,7 +320,7 @@ def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
     sizes = {r["key"]: r["n"] for r in counts.where("kind = 1 and key > 0").collect()}
     boundary = choose_boundary(sizes, pct)
     heavy = counts.where("kind = 0").orderBy(F.desc("n"), "key").limit(MAX_HEAVY).select("key").toArrow()["key"].to_numpy()
-    signed = stage(signed_sets(docs, k, pct, heavy.astype(np.int64).view(U64), boundary), "signed")
+    signed = stage(signed_sets(docs, k, pct, heavy.astype(np.int64).view(U64), boundary), "signed", free=True)
 
     classes = signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = stage(classes.where(F.col("rep").isNotNull()), "classes")

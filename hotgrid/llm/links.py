@@ -8,15 +8,29 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.session import cut_lineage
+from hotgrid.session import cut_lineage, free_shuffles
 
 MAX_FILTER_BITS = 1 << 27
+ARROW_BYTES = "4m"
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared scratch folder and reads it back: lineage ends there."""
-    return cut_lineage(df, name)
+def stage(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet to the shared scratch folder and reads it back: lineage ends there.
+
+    ``free`` has Spark delete what it shuffled for it. Meanwhile Arrow batches are at most ``ARROW_BYTES`` large, as each is held by the JVM and by its Python worker at once.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_ARROW_LIMIT)
+    conf.set(_ARROW_LIMIT, ARROW_BYTES)
+    try:
+        out = cut_lineage(df, name)
+    finally:
+        conf.set(_ARROW_LIMIT, before)
+    if free:
+        free_shuffles(df.sparkSession)
+    return out
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -44,11 +58,11 @@ def key_filter(keys: DataFrame, column: str, count: int) -> Broadcast:
     bits = min(MAX_FILTER_BITS, 1 << max(12, int(10 * max(count, 1)).bit_length()))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(bits, bool)
+        flags = np.zeros(bits // 64, np.uint64)
         for batch in batches:
             for slot in _slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits):
-                flags[slot] = True
-        packed = np.packbits(flags, bitorder="little").view(np.int64)
+                np.bitwise_or.at(flags, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
+        packed = flags.view(np.int64)
         used = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(packed[used])], ["word", "bits"])
 

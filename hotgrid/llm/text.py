@@ -46,13 +46,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     global _powers
     if len(_powers[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
+        size = 1 << max(12, int(n - 1).bit_length()) if n <= 2 * BLOCK_BYTES else n
         inverse = pow(_BASE, -1, 1 << 64)
         out = []
         for base in (_BASE, inverse):
             steps = np.full(size, base & (2**64 - 1), U64)
             steps[0] = 1
             out.append(np.multiply.accumulate(steps))
+        if n > 2 * BLOCK_BYTES:
+            return out[0], out[1]  # of one very long text: not kept
         _powers = (out[0], out[1])
     return _powers
 
