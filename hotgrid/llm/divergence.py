@@ -192,22 +192,25 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     known = cut.where(F.col("group").isNull()).groupBy("lang", "term", "doc").agg(F.count_if(F.col("doc").isNull()).alias("sure"))
     known = known.groupBy("lang", "term").agg(F.sum("sure").alias("sure"), F.count("doc").alias("docs"))
     kept = known.where((F.col("sure") > 0) | (F.col("docs") >= min_docs)).select("lang", "term")
-    uses = cut.where(F.col("group").isNotNull()).groupBy("lang", "group", "term").agg(F.sum("n").alias("count"))
-    uses = uses.join(kept, ["lang", "term"])
-    uses = stage(uses.withColumn("lang_count", F.sum("count").over(Window.partitionBy("lang", "term"))), "kept_uses", free=True)
+    uses = cut.where(F.col("group").isNotNull()).groupBy("lang", "group", "term").agg(F.sum("n").alias("count")).join(kept, ["lang", "term"])
+    # a term has one entry per source at most
+    terms = uses.groupBy("lang", "term").agg(F.collect_list(F.struct("group", "count")).alias("own"), F.sum("count").alias("lang_count"))
+    terms = stage(terms, "kept_terms", free=True)
     discard(cut)
-    listed = docs.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "group int, lang string, source string")
-    uses = uses.drop("lang").join(listed, "group").drop("group")
-    totals = uses.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    langs = uses.select("lang", "term", "lang_count").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_count").alias("lang_total"))
-    groups = listed.select("lang", "source").join(totals, ["lang", "source"], "left")
-    groups = stage(groups.join(langs, "lang", "left").na.fill(0, ["total", "v", "lang_total"]), "groups")
-    p = 1 + exact_parts(F.col("count") + 1, F.col("total") + F.col("v"))
-    uses = uses.join(groups, ["lang", "source"]).withColumn("p", p)
+    total, of_lang = np.zeros(len(names), np.int64), np.zeros((len(codes), 2), np.int64)
+    for r in terms.select(F.inline("own")).groupBy("group").agg(F.sum("count").alias("n")).collect():
+        total[r["group"]] = r["n"]
+    for r in terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_count").alias("n")).collect():
+        of_lang[r["lang"]] = r["v"], r["n"]
+    langs = [codes[n[0]] for n in names]
+    base = np.maximum(total + of_lang[langs, 0], 1)  # what counts are divided by
+    whole = np.maximum(of_lang.sum(axis=1)[langs], 1)
+    rows = [(i, *n, c, int(x), int(y)) for i, (n, c, x, y) in enumerate(zip(names, langs, base, whole, strict=True))]
+    listed = docs.sparkSession.createDataFrame(rows, "group int, lang string, source string, code int, base bigint, lang_base bigint")
     order = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    pairs = pair_values(uses, groups).withColumn("rank", order).withColumn("part", F.lit("pair"))
-    terms = term_values(uses).withColumn("rank", order).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
-    return pairs.unionByName(terms).select("lang", "source", "part", "item", "value", "rank")
+    pairs = pair_values(terms, listed, np.array(langs, np.int64), base).withColumn("rank", order).withColumn("part", F.lit("pair"))
+    shown = term_values(terms, listed).withColumn("rank", order).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
+    return pairs.unionByName(shown).select("lang", "source", "part", "item", "value", "rank")
 
 
 def exact_parts(over: Column, under: Column) -> Column:
@@ -219,52 +222,56 @@ def exact_parts(over: Column, under: Column) -> Column:
     return out
 
 
-def pair_values(uses: DataFrame, groups: DataFrame) -> DataFrame:
+def _parts(over: np.ndarray, under: np.ndarray) -> np.ndarray:
+    out, rest = np.divmod(over, under)
+    for _ in range(3):
+        more, rest = np.divmod(rest * 1000, under)
+        out = out * 1000 + more
+    return out
+
+
+def pair_values(terms: DataFrame, listed: DataFrame, langs: np.ndarray, base: np.ndarray) -> DataFrame:
     """(lang, source, item, value) of every ordered pair of sources of a language.
 
-    Every kept term counts for every pair, so a term's row holds the shares of all sources that have it. The list of
-    sources goes to every task; the result has the square of its rows.
+    Every kept term counts for every pair, so a term's row is spread over all sources of its language; these have
+    neighbouring numbers. The list of sources goes to every task, and the result has the square of its rows.
     """
-    base = F.greatest(F.col("total") + F.col("v"), F.lit(1))
-    number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    numbered = groups.select("lang", "source", number.alias("i"), "v", (1 + exact_parts(F.lit(1).cast("bigint"), base)).alias("p0"))
-    rare: dict[str, list[int]] = {}
-    listed = numbered.where("v > 0").orderBy("lang", "i").select("lang", "p0").toArrow()
-    for lang, p0 in zip(listed["lang"].to_pylist(), listed["p0"].to_pylist(), strict=True):
-        rare.setdefault(lang, []).append(p0)
-    rows = uses.join(numbered.select("lang", "source", "i"), ["lang", "source"])
-    rows = rows.groupBy("lang", "term").agg(F.collect_list("i").alias("i"), F.collect_list("p").alias("p"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = pc.dictionary_encode(batch.column(0))
-            for code, lang in enumerate(langs.dictionary.to_pylist()):
-                own = batch.filter(pa.array(langs.indices.to_numpy() == code))
-                p0 = np.array(rare[lang], np.int64)
-                n, block = len(p0), max(1, CELLS // len(p0))
+            of_row = batch.column(0).to_numpy()
+            for lang in np.unique(of_row):
+                own = batch.column(1).filter(pa.array(of_row == lang))
+                first, n = int(np.searchsorted(langs, lang)), int((langs == lang).sum())
+                rare = 1 + _parts(np.ones(n, np.int64), base[first : first + n])
                 sums = np.zeros((n, n), np.int64)
-                for at in range(0, own.num_rows, block):
+                block = max(1, CELLS // n)
+                for at in range(0, len(own), block):
                     part = own.slice(at, block)
-                    shares = np.tile(p0, (part.num_rows, 1))
-                    term = np.repeat(np.arange(part.num_rows), np.diff(part.column(1).offsets.to_numpy()))
-                    shares[term, part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                    flat = part.flatten()
+                    group, count = flat.field("group").to_numpy(), flat.field("count").to_numpy()
+                    shares = np.tile(rare, (len(part), 1))
+                    shares[_spread(pc.list_value_length(part).to_numpy())[0], group - first] = 1 + _parts(count + 1, base[group])
                     for a in range(n):
                         off = shares[:, a : a + 1] - shares
                         sums[a] += (off * off // shares).sum(axis=0)
                 a, b = np.divmod(np.arange(n * n, dtype=np.int32), np.int32(n))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * (n * n)), pa.array(a), pa.array(b), pa.array(sums.ravel())], ["lang", "a", "b", "value"])
+                columns = [pa.array(a + np.int32(first)), pa.array(b + np.int32(first)), pa.array(sums.ravel())]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "other", "value"])
 
-    sums = rows.select("lang", "i", "p").mapInArrow(compare, "lang string, a int, b int, value bigint")
-    sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    all_of = numbered.groupBy("lang").agg(F.collect_list(F.struct("i", "source")).alias("all"))
-    pairs = numbered.join(all_of, "lang").select("lang", "source", F.col("i").alias("a"), F.explode("all").alias("o"))
-    pairs = pairs.where(F.col("a") != F.col("o.i")).select("lang", "source", "a", F.col("o.i").alias("b"), F.col("o.source").alias("item"))
-    return pairs.join(sums, ["lang", "a", "b"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
+    sums = terms.select("lang", "own").mapInArrow(compare, "group int, other int, value bigint")
+    sums = sums.groupBy("group", "other").agg(F.sum("value").alias("value"))
+    all_of = listed.groupBy("lang").agg(F.collect_list(F.struct(F.col("group").alias("other"), F.col("source").alias("item"))).alias("all"))
+    pairs = listed.select("lang", "source", "group").join(all_of, "lang").select("lang", "source", "group", F.inline("all"))
+    pairs = pairs.where(F.col("group") != F.col("other")).join(sums, ["group", "other"], "left")
+    return pairs.select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-def term_values(uses: DataFrame) -> DataFrame:
+def term_values(terms: DataFrame, listed: DataFrame) -> DataFrame:
     """(lang, source, item, value) of the terms that a source has more of than its language."""
-    q = 1 + exact_parts(F.col("lang_count") + 1, F.col("lang_total") + F.col("v"))
-    more = uses.withColumn("q", q).where(F.col("p") > F.col("q"))
+    uses = terms.select(F.col("term").alias("item"), "lang_count", F.inline("own")).join(listed, "group")
+    p = 1 + exact_parts(F.col("count") + 1, F.col("base"))
+    q = 1 + exact_parts(F.col("lang_count") + 1, F.col("lang_base"))
+    more = uses.select("lang", "source", "item", p.alias("p"), q.alias("q")).where(F.col("p") > F.col("q"))
     off = F.col("p") - F.col("q")
-    return more.select("lang", "source", F.col("term").alias("item"), F.call_function("div", off * off, F.col("q")).alias("value"))
+    return more.select("lang", "source", "item", F.call_function("div", off * off, F.col("q")).alias("value"))
