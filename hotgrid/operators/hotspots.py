@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,59 +127,104 @@ def local_moran(counts: DataFrame, group: Sequence[str] = (), k: int = 8) -> Dat
     )
 
 
+# Draws come from arithmetic on whole numbers, so that any engine can repeat them: fixed multipliers, a prime modulus.
+DRAW_PRIME = 2_147_483_647
+DRAW_CELL, DRAW_TRIAL, DRAW_STRATUM = 7_919, 104_729, 1_299_709
+DRAW_STEPS = (48_271, 69_621, 16_807)
+CELLS_PER_BLOCK = 128
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    for factor in DRAW_STEPS:
+        x = (x * factor + 11) % DRAW_PRIME
+    return x
+
+
+def _drawn_sums(cells: np.ndarray, slots: np.ndarray, n_nbr: np.ndarray, values: np.ndarray, trials: int, seed: int) -> np.ndarray:
+    """Sums of ``n_nbr`` values of other cells for each cell and trial; ``values`` are those of the group, by slot."""
+    others = len(values) - 1
+    trial = np.arange(1, trials + 1, dtype=np.int64)
+    start = (cells[:, None] * DRAW_CELL + trial * DRAW_TRIAL + seed) % DRAW_PRIME
+    turn = _scrambled(start) * others // DRAW_PRIME
+    sums = np.zeros(start.shape, np.int64)
+    for stratum in range(int(n_nbr.max(initial=0))):
+        has = n_nbr > stratum
+        low = stratum * others // n_nbr
+        width = (stratum + 1) * others // n_nbr - low
+        draw = _scrambled((start + (stratum + 1) * DRAW_STRATUM) % DRAW_PRIME) * width[:, None] // DRAW_PRIME
+        place = (turn + low[:, None] + draw) % others
+        place += place >= slots[:, None]  # a cell never draws itself
+        sums += np.where(has[:, None], values[np.minimum(place, others)], 0)
+    return sums
+
+
+def neighbour_redraws(
+    counts: DataFrame, group: Sequence[str] = (), k: int = 8, trials: int = 999, seed: int = 42, parts: int = 8
+) -> DataFrame:
+    """(group, cell_id, nbr_sum, larger, smaller): of seeded redraws of a cell's neighbours, how many sum to at least, and
+    to at most, what its neighbours have.
+
+    A redraw takes distinct other cells of the group: the group is numbered in scrambled order, cut into one stratum per
+    neighbour, and one cell is taken from each after a random turn. A group has no more cells than the lattice has nodes;
+    its cells are dealt to ``parts`` tasks, each of which holds the group's counts.
+    """
+    key = [*group, "cell_id"]
+    near = grid.nearest_cells(counts, k, group, carry=["case_count"]).groupBy(*key)
+    near = near.agg(F.sum("nbr_case_count").alias("nbr_sum"), F.count(F.lit(1)).alias("n_nbr"))
+    rows = counts.join(near, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    fields = {c: t for c, t in counts.dtypes if c in group}
+    ddl = ", ".join([*[f"`{c}` {t}" for c, t in fields.items()], "cell_id bigint", "nbr_sum bigint", "larger int", "smaller int"])
+
+    def redraw(table: pa.Table) -> pa.Table:
+        cells = table["cell_id"].to_numpy().astype(np.int64)
+        order = np.lexsort((cells, _scrambled((cells * DRAW_CELL + seed) % DRAW_PRIME)))
+        table, cells, part = table.take(pa.array(order)), cells[order], table["part"][0].as_py()
+        values, n_nbr = table["case_count"].to_numpy().astype(np.int64), table["n_nbr"].fill_null(0).to_numpy()
+        own = np.flatnonzero((cells % parts == part) & (n_nbr > 0) & (len(cells) >= 3))
+        nbr_sum = table["nbr_sum"].fill_null(0).to_numpy()[own]
+        larger, smaller = np.zeros(len(own), np.int32), np.zeros(len(own), np.int32)
+        for at in range(0, len(own), CELLS_PER_BLOCK):
+            some = slice(at, at + CELLS_PER_BLOCK)
+            sums = _drawn_sums(cells[own[some]], own[some], n_nbr[own[some]], values, trials, seed)
+            larger[some] = (sums >= nbr_sum[some, None]).sum(axis=1)
+            smaller[some] = (sums <= nbr_sum[some, None]).sum(axis=1)
+        kept = table.take(pa.array(own)).select(list(fields))
+        for name, column in (("cell_id", cells[own]), ("nbr_sum", nbr_sum), ("larger", larger), ("smaller", smaller)):
+            kept = kept.append_column(name, pa.array(column))
+        return kept
+
+    rows = rows.select(*group, "part", F.col("cell_id").cast("bigint"), F.col("case_count").cast("bigint"), "nbr_sum", "n_nbr")
+    return rows.groupBy(*group, "part").applyInArrow(redraw, ddl)
+
+
+def _pseudo_p(extreme: Column, trials: int) -> Column:
+    """Share of redraws, the real one included, in the smaller tail."""
+    return (F.least(extreme, F.lit(trials) - extreme) + 1) / F.lit(trials + 1)
+
+
 def permutation_p(counts: DataFrame, group: Sequence[str] = (), k: int = 8, trials: int = 999, seed: int = 42) -> DataFrame:
-    """Gi* with a pseudo p-value: share of seeded redraws of the neighbours that are at least as extreme.
+    """Gi* with a pseudo p-value: share of seeded redraws of the neighbours that are at least as extreme."""
+    key = [*group, "cell_id"]
+    drawn = neighbour_redraws(counts, group, k, trials, seed).select(*key, _pseudo_p(F.col("larger"), trials).alias("gi_pvalue"))
+    scored = gi_star(counts, group, k).drop("gi_pvalue", "significance").join(drawn, key)
+    return scored.withColumn("significance", labels.significance_zp(F.col("gi_zscore"), F.col("gi_pvalue")))
 
-    Each trial of a cell draws ``k`` distinct other cells of its group: the group is numbered in hash
-    order (at most the lattice's nodes), cut into k strata, and one cell is taken per stratum after a
-    random turn. Drawing and lookup are a join on (group, position).
+
+def local_moran_p(
+    counts: DataFrame, group: Sequence[str] = (), k: int = 8, trials: int = 999, seed: int = 42, alpha: float = 0.05
+) -> DataFrame:
+    """Local Moran's I with a pseudo p-value under redrawn neighbours; the quadrant is ``ns`` where p exceeds ``alpha``.
+
+    A redraw's I is at least the real one if its neighbours' sum lies on the same side, seen from the cell's own side of
+    the mean; a cell at the mean has I = 0 whatever its neighbours are, so its p is 1.
     """
-    group = list(group)
     key = [*group, "cell_id"]
-    near = (
-        grid.nearest_cells(counts, k, group, carry=["case_count"])
-        .groupBy(*key)
-        .agg(F.sum("nbr_case_count").alias("nbr_sum"), F.count(F.lit(1)).alias("n_nbr"))
-    )
-    shuffled = Window.partitionBy(*group).orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id")
-    numbered = counts.withColumn("slot", F.row_number().over(shuffled) - 1).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy(*group))
-    )
-    others = F.col("n") - 1
-    base = numbered.join(near, key).select(*key, "case_count", "slot", "n", "nbr_sum", "n_nbr")
-
-    def draw(*parts: Column) -> Column:
-        return F.pmod(F.xxhash64("cell_id", F.lit(seed), *parts), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-    step = others / F.col("n_nbr")
-    start = F.floor(F.col("stratum") * step)
-    width = F.floor((F.col("stratum") + 1) * step) - start
-    turn = F.floor(draw(F.col("trial"), F.lit(-1)) * others)
-    pos = F.pmod(turn + start + F.floor(draw(F.col("trial"), F.col("stratum")) * width), others)
-    draws = (
-        base.where(F.col("n") >= 3)
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n_nbr").cast("int") - 1)).alias("stratum"))
-        # positions at or beyond the cell's own are shifted by one: a cell never draws itself
-        .withColumn("pos", pos)
-        .withColumn("pick", (F.col("pos") + (F.col("pos") >= F.col("slot")).cast("int")).cast("bigint"))
-    )
-    values = numbered.select(*group, F.col("slot").cast("bigint").alias("pick"), F.col("case_count").alias("drawn"))
-    sums = (
-        draws.join(values, [*group, "pick"])
-        .groupBy(*key, "trial")
-        .agg(F.sum("drawn").alias("drawn_sum"), F.first("nbr_sum").alias("nbr_sum"))
-    )
-    larger = sums.groupBy(*key).agg(F.count_if(F.col("drawn_sum") >= F.col("nbr_sum")).alias("larger"))
-    tail = F.least(F.col("larger"), F.lit(trials) - F.col("larger"))
-    return (
-        gi_star(counts, group, k)
-        .drop("gi_pvalue", "significance")
-        .join(larger, key)
-        .withColumn("gi_pvalue", (tail + 1) / F.lit(trials + 1))
-        .withColumn("significance", labels.significance_zp(F.col("gi_zscore"), F.col("gi_pvalue")))
-        .drop("larger")
-    )
+    drawn = neighbour_redraws(counts, group, k, trials, seed)
+    joined = _with_group_stats(local_moran(counts, group, k).join(drawn, key), counts, group)
+    own = F.col("case_count") - F.col("mean")
+    p = F.when(own > 0, _pseudo_p(F.col("larger"), trials)).when(own < 0, _pseudo_p(F.col("smaller"), trials)).otherwise(F.lit(1.0))
+    out = joined.withColumn("lisa_p", p).withColumn("quadrant", F.when(p > alpha, "ns").otherwise(F.col("quadrant")))
+    return out.select(*key, "case_count", "lisa_i", "lisa_p", "quadrant")
 
 
 def density(counts: DataFrame, bandwidth_km: float = 2.0, reach: float = 4.0) -> DataFrame:

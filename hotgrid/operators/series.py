@@ -66,9 +66,15 @@ def rolling_anomalies(
         .withColumn("_s1", F.col("_c1") - F.lag("_c1", points).over(in_time))
         .withColumn("_s2", F.col("_c2") - F.lag("_c2", points).over(in_time))
     )
+    return rolling_hits(df.where(F.col("_w") >= points), key, points, threshold)
+
+
+def rolling_hits(days: DataFrame, key: Sequence[str], points: int, threshold: float) -> DataFrame:
+    """The anomalous ones of days with count ``n`` and the trailing sums ``_s1`` of counts and ``_s2`` of their squares."""
+    x = F.col("n")
     spread = F.lit(points) * F.col("_s2") - F.col("_s1") * F.col("_s1")
     lift = F.lit(points) * x - F.col("_s1")
-    hit = df.where((F.col("_w") >= points) & (spread > 0) & (lift * lift >= spread * F.lit(threshold * threshold)))
+    hit = days.where((spread > 0) & (lift * lift >= spread * F.lit(threshold * threshold)))
     mean = F.col("_s1") / points
     return _scored_days(hit, key, mean, x - mean, lift / F.sqrt(spread))
 

@@ -1,5 +1,7 @@
 """Lattice and hotspot queries."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from hotgrid import settings as S
@@ -321,8 +323,56 @@ def kde_labels(spark, d):
     return out.select("cell_id", F.round("gi_zscore", 6).alias("gi_zscore"), "significance")
 
 
-@query("gi_star_permutation")
+def redraw_sql(source: str, group: str, trials: int = 999, seed: int = 42) -> str:
+    """Views ending in ``drawn``(group, cell_id, nbr_sum, larger, smaller): the redraws of neighbours, draw by draw."""
+    m = hotspots.DRAW_PRIME
+    scramble = lambda x: reduce(lambda e, f: f"(({e}) * {f} + 11) % {m}", hotspots.DRAW_STEPS, x)
+    return f"""rb AS (SELECT {group} AS g, cell_id, case_count, count(*) OVER (PARTITION BY {group}) - 1 AS others,
+  row_number() OVER (PARTITION BY {group} ORDER BY {scramble(f'(cell_id * {hotspots.DRAW_CELL} + {seed}) % {m}')}, cell_id) - 1 AS slot FROM {source}),
+rn AS (SELECT g, cell_id, sum(nc) AS nbr_sum, count(*) AS k FROM (
+  SELECT a.g, a.cell_id, b.case_count AS nc,
+    row_number() OVER (PARTITION BY a.g, a.cell_id ORDER BY pow((a.cell_id // 493 - b.cell_id // 493) * 107, 2)
+      + pow((a.cell_id % 493 - b.cell_id % 493) * 111, 2), b.cell_id) AS rk
+  FROM rb a JOIN rb b ON a.g = b.g AND a.cell_id <> b.cell_id QUALIFY rk <= 8) GROUP BY ALL),
+rs AS (SELECT rb.g, rb.cell_id, slot, others, nbr_sum, k, t, s, (rb.cell_id * {hotspots.DRAW_CELL} + t * {hotspots.DRAW_TRIAL} + {seed}) % {m} AS start
+  FROM rb JOIN rn USING (g, cell_id), range(1, {trials + 1}) a(t), range(0, 8) b(s) WHERE s < k AND others >= 2),
+rp AS (SELECT g, cell_id, slot, nbr_sum, t, (({scramble('start')}) * others // {m} + s * others // k
+  + ({scramble(f'(start + (s + 1) * {hotspots.DRAW_STRATUM}) % {m}')}) * ((s + 1) * others // k - s * others // k) // {m}) % others AS pos FROM rs),
+rd AS (SELECT rp.g, rp.cell_id, rp.t, any_value(nbr_sum) AS nbr_sum, sum(case_count) AS drawn
+  FROM rp JOIN rb ON rb.g = rp.g AND rb.slot = rp.pos + CAST(rp.pos >= rp.slot AS INTEGER) GROUP BY rp.g, rp.cell_id, rp.t),
+drawn AS (SELECT g, cell_id, any_value(nbr_sum) AS nbr_sum, count(*) FILTER (drawn >= nbr_sum) AS larger, count(*) FILTER (drawn <= nbr_sum) AS smaller
+  FROM rd GROUP BY g, cell_id)"""
+
+
+@query(
+    "gi_star_permutation",
+    "inc",
+    "WITH act AS (SELECT 1 AS one, cell_id, count(*) AS case_count FROM inc GROUP BY cell_id HAVING count(*) >= 5),\n"
+    + redraw_sql("act", "one")
+    + """,
+st AS (SELECT count(*) AS n, avg(case_count) AS mean, sum(case_count * case_count) AS sq FROM act),
+z AS (SELECT cell_id, case_count, least(larger, 999 - larger) AS tail,
+  ((nbr_sum + case_count) / 9 - mean) / (sqrt(greatest(sq / n - mean * mean, 0)) * sqrt((n / 9 - 1) / (n - 1))) AS z FROM drawn JOIN act USING (cell_id), st)
+SELECT cell_id, case_count, round(z, 6) AS gi_zscore, (tail + 1) / 1000 AS gi_pvalue,
+  CASE WHEN tail + 1 <= 10 THEN CASE WHEN z > 0 THEN 'hot_99' ELSE 'cold_99' END WHEN tail + 1 <= 50 THEN CASE WHEN z > 0 THEN 'hot_95' ELSE 'cold_95' END
+    WHEN tail + 1 <= 100 THEN CASE WHEN z > 0 THEN 'hot_90' ELSE 'cold_90' END ELSE 'not_sig' END AS significance FROM z""",
+)
 def gi_star_permutation(spark, d):
     inc = tables.order_incidents(spark, d)
     counts = inc.groupBy("cell_id").agg(F.count(F.lit(1)).alias("case_count")).where(F.col("case_count") >= S.MIN_CASES_PER_CELL)
-    return hotspots.permutation_p(counts)
+    return hotspots.permutation_p(counts).withColumn("gi_zscore", F.round("gi_zscore", 6))
+
+
+@query(
+    "local_moran_p",
+    "inc active layers",
+    "WITH " + redraw_sql("layers", "layer") + """,
+li AS (SELECT * FROM (""" + LISA_SQL + """)),
+pm AS (SELECT layer, avg(case_count) AS mean FROM layers GROUP BY layer),
+pv AS (SELECT li.*, CASE WHEN case_count > mean THEN (least(larger, 999 - larger) + 1) / 1000 WHEN case_count < mean THEN (least(smaller, 999 - smaller) + 1) / 1000
+  ELSE 1.0::DOUBLE END AS p FROM li JOIN pm USING (layer) JOIN drawn ON drawn.g = li.layer AND drawn.cell_id = li.cell_id)
+SELECT layer, cell_id, case_count, lisa_i, p AS lisa_p, CASE WHEN p > 0.05 THEN 'ns' ELSE quadrant END AS quadrant FROM pv""",
+)
+def local_moran_p(spark, d):
+    out = hotspots.local_moran_p(hotspots.layer_counts(tables.order_incidents(spark, d)), ["layer"])
+    return out.withColumn("lisa_i", F.round("lisa_i", 6))

@@ -57,7 +57,7 @@ def compare(spark, con, folder, fn, sql, clock=None):
         clock["spark"] = time.time() - t0
     got = rows_of(cols, [tuple(r) for r in collected])
     if sql is None:
-        return len(got), []
+        return len(got), [] if got else ["no rows, and no SQL to say that there are none"]
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
     kinds = {c[0]: str(c[1]) for c in cur.description}
@@ -96,7 +96,7 @@ def main(argv):
             n, problems = compare(spark, con, folder, qs[name], ora.get(name), clock)
         except Exception as e:  # report and go on with the next query
             n, problems = -1, [f"{type(e).__name__}: {str(e)[:1500]}"]
-        bad += bool(problems) or n == 0
+        bad += bool(problems)
         print(f"{'OK ' if not problems else 'BAD'} {name} rows={n} {clock.get('spark', 0):.1f}s of {time.time() - t0:.1f}s {'' if name in ora else '(no sql)'}", flush=True)
         for p in problems:
             print("    ", p[:1800], flush=True)

@@ -410,3 +410,42 @@ def test_streamed_daily_counts_equal_batch(spark):
     inc = tables.event_incidents(spark, folder)
     want = inc.groupBy(*KEY, F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"))
     assert rows(spark.table("daily_out"), *KEY, "date", "n") == rows(want, *KEY, "date", "n")
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_streamed_rolling_anomalies_equal_batch(spark, tmp_path):
+    """Incidents replayed in micro-batches, out of order within the bound of lateness; a far row closes the last days."""
+    from hotgrid.streaming import daily as streamed
+
+    rng, start = random.Random(5), 1_700_000_000
+    data = []
+    for series_no in range(4):
+        for day in range(70):
+            n = 0 if rng.random() < 0.2 else rng.randrange(1, 4) + (12 if rng.random() < 0.06 else 0)
+            data += [(f"r{series_no}", f"c{series_no % 2}", start + day * 86_400 + rng.randrange(86_400)) for _ in range(n)]
+    data.sort(key=lambda r: r[2] + rng.randrange(86_400))  # up to a day late
+    kind = "region_name string, category_name string, s bigint"
+    step = -(-len(data) // 6)
+    parts = [data[i : i + step] for i in range(0, len(data), step)] + [[("end", "end", start + 100 * 86_400)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, kind).select("region_name", "category_name", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = streamed.rolling_anomalies(stream).writeStream.format("memory").queryName("rolling_out").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    inc = spark.createDataFrame(data, kind).select("region_name", "category_name", F.timestamp_seconds("s").alias("ts"))
+    want = series.rolling_anomalies(series.daily_series(inc))
+    cols = want.columns
+    assert rows(want, *cols) and rows(spark.table("rolling_out"), *cols) == rows(want, *cols)
+
+
+def test_redrawn_neighbours(spark):
+    """Redraws take distinct other cells, so their sums stay within what the group can give; a hot block is told from chance."""
+    data = [("a", r * 493 + c, 100 + r if r < 3 and c < 3 else 1 + (r * 7 + c * 3) % 4) for r in range(12) for c in range(12)]
+    df = spark.createDataFrame([*data, ("tiny", 5, 3), ("tiny", 6, 4)], "layer string, cell_id bigint, case_count bigint")
+    drawn = {r.cell_id: r for r in hotspots.neighbour_redraws(df, ["layer"], trials=199).collect()}
+    assert len(drawn) == 144 and all(r.larger + r.smaller >= 199 and r.larger <= 199 for r in drawn.values())
+    out = {r.cell_id: r for r in hotspots.local_moran_p(df, ["layer"], trials=199).collect()}
+    assert out[493 + 1].quadrant == "HH" and out[493 + 1].lisa_p == 0.005
+    assert sum(r.quadrant == "ns" for r in out.values()) > 40
