@@ -1,18 +1,21 @@
 """Training, scoring, calibration and attribution of area risk scores with pyspark.ml."""
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hotgrid import settings as S
 from hotgrid.operators import metrics
-from hotgrid.session import cut_lineage
+from hotgrid.session import cut_lineage, scratch_folder
 
 # columns that identify a row or leak the label
 NOT_FEATURES = ("cell_id", "date", "shift", "n_crimes", "has_crime", "split", "year")
@@ -165,6 +168,84 @@ def global_attribution(scored: DataFrame, coefficients: Mapping[str, float], top
     return out.orderBy(F.desc("mean_abs"), "feature").limit(top)
 
 
+# --- boosted trees: what each split on a row's path adds to its margin -----------
+class Tree(NamedTuple):
+    """One boosted tree with its weight: per node the feature (-1 in a leaf), threshold, children and mean."""
+
+    weight: float
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    mean: np.ndarray
+
+
+def boosted_trees(model: PipelineModel, spark: SparkSession) -> list[Tree]:
+    """The trees of a fitted model, from its saved form: a few thousand nodes."""
+    learner = model.stages[-1]
+    folder = scratch_folder(spark, "trees")
+    learner.write().save(folder)
+    nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+    out = []
+    for number, weight in enumerate(learner.treeWeights):
+        own = [r for r in nodes if r["treeID"] == number]
+        inner = [r["leftChild"] >= 0 for r in own]
+        out.append(
+            Tree(
+                float(weight),
+                np.array([r["split"]["featureIndex"] if i else -1 for r, i in zip(own, inner, strict=True)]),
+                np.array([r["split"]["leftCategoriesOrThreshold"][0] if i else 0.0 for r, i in zip(own, inner, strict=True)]),
+                np.array([r["leftChild"] for r in own]),
+                np.array([r["rightChild"] for r in own]),
+                np.array([r["prediction"] for r in own]),
+            )
+        )
+    return out
+
+
+def base_margin(trees: Sequence[Tree]) -> float:
+    """The margin before any split is known."""
+    return float(sum(t.weight * t.mean[0] for t in trees))
+
+
+def path_contributions(trees: Sequence[Tree], x: np.ndarray) -> np.ndarray:
+    """(rows, features): the change of the trees' means at every split on a row's paths, credited to the split's feature."""
+    out, rows = np.zeros(x.shape), np.arange(len(x))
+    for tree in trees:
+        node = np.zeros(len(x), np.int64)
+        while True:
+            feature = tree.feature[node]
+            inner = feature >= 0
+            if not inner.any():
+                break
+            down = np.where(x[rows, feature] <= tree.threshold[node], tree.left[node], tree.right[node])
+            following = np.where(inner, down, node)
+            out[rows[inner], feature[inner]] += tree.weight * (tree.mean[following] - tree.mean[node])[inner]
+            node = following
+    return out
+
+
+def tree_attributions(matrix: DataFrame, trees: Sequence[Tree], features: Sequence[str], name: str = "contributions") -> DataFrame:
+    """Adds an array with one contribution per feature; with ``base_margin`` they add up to the fitted model's margin."""
+
+    @F.arrow_udf("array<double>")
+    def explain(column: pa.Array) -> pa.Array:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(features))
+        offsets = pa.array(np.arange(len(x) + 1) * len(features), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(path_contributions(trees, x).ravel()))
+
+    return matrix.withColumn(name, explain(F.array(*[F.col(f"`{f}`").cast("double") for f in features])))
+
+
+def tree_global_attribution(matrix: DataFrame, trees: Sequence[Tree], features: Sequence[str], top: int = 20) -> DataFrame:
+    """Mean absolute contribution per feature of the fitted trees."""
+    rows = tree_attributions(matrix.select(*[F.col(f"`{f}`") for f in features]), trees, features)
+    one = rows.agg(F.array(*[F.avg(F.abs(F.col("contributions")[i])) for i in range(len(features))]).alias("m"))
+    names = F.array(*[F.lit(f) for f in features])
+    pairs = one.select(F.explode(F.arrays_zip(names.alias("feature"), F.col("m").alias("mean_abs"))).alias("p")).select("p.*")
+    return pairs.toDF("feature", "mean_abs").orderBy(F.desc("mean_abs"), "feature").limit(top)
+
+
 def feature_title(feature: Column, titles: Mapping[str, str] = S.FEATURE_TITLES) -> Column:
     """Display name: fixed title, else the near-repeat pattern spelled out, else the name itself."""
     entries = [F.lit(x) for kv in titles.items() for x in kv]
@@ -179,18 +260,30 @@ def feature_title(feature: Column, titles: Mapping[str, str] = S.FEATURE_TITLES)
 def explain_top(
     scored: DataFrame, coefficients: Mapping[str, float], keys: Sequence[str], top: int = 50, ups: int = 3, downs: int = 2
 ) -> DataFrame:
-    """Sentences for the highest scores: strongest raising and lowering features of each."""
+    """Sentences for the highest linear scores: strongest raising and lowering features of each."""
     rows = scored.withColumn("_m", _means(scored, coefficients))
-    best = rows.orderBy(F.desc(F.round("risk_score", 12)), *keys).limit(top)
-    parts = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("f"),
-                (F.lit(float(value)) * (F.col(f"`{name}`").cast("double") - F.col("_m")[i])).alias("v"),
-            )
-            for i, (name, value) in enumerate(coefficients.items())
-        ]
-    )
+    parts = [
+        (F.lit(float(value)) * (F.col(f"`{name}`").cast("double") - F.col("_m")[i])) for i, (name, value) in enumerate(coefficients.items())
+    ]
+    return _sentences(rows.withColumn("_v", F.array(*parts)), list(coefficients), keys, top, ups, downs)
+
+
+def explain_top_of_trees(
+    scored: DataFrame, trees: Sequence[Tree], features: Sequence[str], keys: Sequence[str], top: int = 50, ups: int = 3, downs: int = 2
+) -> DataFrame:
+    """Sentences for the highest scores of the fitted trees; contributions are computed for those rows only."""
+    best = _best(scored, keys, top)
+    return _sentences(tree_attributions(best, trees, features, "_v"), features, keys, top, ups, downs)
+
+
+def _best(scored: DataFrame, keys: Sequence[str], top: int) -> DataFrame:
+    return scored.orderBy(F.desc(F.round("risk_score", 12)), *keys).limit(top)
+
+
+def _sentences(rows: DataFrame, names: Sequence[str], keys: Sequence[str], top: int, ups: int, downs: int) -> DataFrame:
+    """Sentences for the highest scores, from contributions ``_v`` in the order of ``names``."""
+    best = _best(rows, keys, top)
+    parts = F.array(*[F.struct(F.lit(name).alias("f"), F.col("_v")[i].alias("v")) for i, name in enumerate(names)])
     long = best.select(*keys, "risk_score", "has_crime", F.explode(parts).alias("a")).select(
         *keys, "risk_score", "has_crime", F.col("a.f").alias("f"), F.round("a.v", 9).alias("v")
     )

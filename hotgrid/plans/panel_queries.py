@@ -1,5 +1,6 @@
 """Panel, feature and score-metric queries."""
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from hotgrid import settings as S
@@ -7,7 +8,7 @@ from hotgrid.operators import grid, metrics, model, panel
 from hotgrid.operators.scale import percent_rank_avg
 from hotgrid.plans.registry import cell_km, query, view
 from hotgrid.session import cut_lineage
-from hotgrid.sources import tables
+from hotgrid.sources import store, tables
 
 TRAIN_END, VAL_END = "2024-01-20", "2024-01-25"
 SHIFT_SQL = "CASE WHEN hour(ts) BETWEEN 6 AND 13 THEN 0 WHEN hour(ts) BETWEEN 14 AND 21 THEN 1 ELSE 2 END"
@@ -355,15 +356,39 @@ def explanations(spark, d):
 
 # --- trained model (no SQL form) --------------------------------------------------
 def trained(spark, d, kind="gbt", max_iter=500):
-    rows = cut_lineage(matrix(spark, d))
-    features = model.feature_columns(rows)
-    return model.train_risk_model(rows, features, kind, max_iter), features, rows
+    """Model, features and matrix, built once for the state of the input files and these parameters."""
+
+    def build(folder):
+        matrix(spark, d).write.parquet(f"{folder}/matrix")
+        rows = spark.read.parquet(f"{folder}/matrix")
+        fit = model.train_risk_model(rows, model.feature_columns(rows), kind, max_iter)
+        fit.write().save(f"{folder}/model")
+        model.score(fit, rows).write.parquet(f"{folder}/scored")
+
+    folder = store.stored(spark, "risk_model", {"kind": kind, "max_iter": max_iter}, [tables.table(spark, d, "events")], build)
+    scored = spark.read.parquet(f"{folder}/scored")
+    return PipelineModel.load(f"{folder}/model"), model.feature_columns(spark.read.parquet(f"{folder}/matrix")), scored
 
 
 @query("risk_model_scores")
 def risk_model_scores(spark, d):
-    fit, _, rows = trained(spark, d)
-    return model.score(fit, rows).select("cell_id", "date", "shift", "split", "has_crime", "n_crimes", "risk_score")
+    return trained(spark, d)[2].select("cell_id", "date", "shift", "split", "has_crime", "n_crimes", "risk_score")
+
+
+@query("model_global_attribution")
+def model_global_attribution(spark, d):
+    """What the fitted trees look at, over all test rows."""
+    fit, features, rows = trained(spark, d)
+    out = model.tree_global_attribution(rows.where(F.col("split") == "test"), model.boosted_trees(fit, spark), features)
+    return out.select("feature", model.feature_title(F.col("feature")).alias("description"), F.round("mean_abs", 6).alias("mean_abs"))
+
+
+@query("model_explanations")
+def model_explanations(spark, d):
+    """Sentences for the highest scores of the fitted trees."""
+    fit, features, rows = trained(spark, d)
+    test = rows.where(F.col("split") == "test")
+    return model.explain_top_of_trees(test, model.boosted_trees(fit, spark), features, ["cell_id", "date", "shift"])
 
 
 @query("risk_model_metrics")

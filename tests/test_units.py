@@ -7,12 +7,14 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hotgrid import session
 from hotgrid import settings as S
 from hotgrid.functions import labels, periods, spatial
 from hotgrid.operators import audit, biconnected, coverage, graph, grid, hotspots, metrics, model, panel, places, scale, series, trends
+from hotgrid.sources import store
 
 
 def rows(df, *cols):
@@ -449,3 +451,64 @@ def test_redrawn_neighbours(spark):
     out = {r.cell_id: r for r in hotspots.local_moran_p(df, ["layer"], trials=199).collect()}
     assert out[493 + 1].quadrant == "HH" and out[493 + 1].lisa_p == 0.005
     assert sum(r.quadrant == "ns" for r in out.values()) > 40
+
+
+@pytest.fixture(scope="module")
+def small_model(spark):
+    rng = random.Random(3)
+    data = []
+    for i in range(1500):
+        a, b, c = rng.random(), rng.randrange(6), rng.random()
+        split = ("train", "val", "test")[0 if i < 900 else 1 + i % 2]
+        data.append((i, "2024-01-01", i % 3, a, float(b), c, int(rng.random() < (0.8 if a > 0.6 and b > 2 else 0.1)), split))
+    df = spark.createDataFrame(data, "cell_id bigint, date string, shift int, a double, `b.x` double, c double, has_crime int, split string")
+    return df, model.train_risk_model(df, ["a", "b.x", "c"], max_iter=25)
+
+
+def test_tree_contributions_add_up_to_the_margin(spark, small_model):
+    df, fit = small_model
+    trees = model.boosted_trees(fit, spark)
+    assert len(trees) == len(fit.stages[-1].trees)
+    raw = fit.transform(model._with_plain_names(df, ["b.x"])).select("cell_id", vector_to_array("rawPrediction")[1].alias("raw"))
+    got = model.tree_attributions(df, trees, ["a", "b.x", "c"]).join(raw, "cell_id").collect()
+    base = model.base_margin(trees)
+    assert all(abs(base + sum(r["contributions"]) - r["raw"]) < 1e-9 for r in got) and len(got) == 1500
+    order = [r["feature"] for r in model.tree_global_attribution(df, trees, ["a", "b.x", "c"]).collect()]
+    assert set(order[:2]) == {"a", "b.x"} and order[2] == "c"
+    said = model.explain_top_of_trees(model.score(fit, df), trees, ["a", "b.x", "c"], ["cell_id"], top=5).collect()
+    assert len(said) == 5 and all("Risk elevated due to: " in r["explanation"] for r in said)
+
+
+def test_fitted_scores_tell_risk(small_model):
+    """On rows not fitted on: better than chance by far, and calibration does not make the Brier score worse."""
+    df, fit = small_model
+    scored = model.score(fit, df)
+    test = scored.where("split = 'test'")
+    assert metrics.ranking_metrics(test, "has_crime", "risk_score").first()["auc"] > 0.75
+    report = model.calibration_report(model.isotonic_calibration(scored)).first()
+    assert report["brier_calibrated"] <= report["brier_raw"] + 0.005
+    assert model.feature_importance(fit, ["a", "b.x", "c"])[2][0] == "c"
+
+
+def test_stages_are_kept_by_parameters_and_inputs(spark, tmp_path):
+    folder, at, built = f"{tmp_path}/in", f"{tmp_path}/store", []
+
+    def stage_of(n, fail=False):
+        def build(target):
+            built.append(n)
+            spark.range(n).write.parquet(target)
+            if fail:
+                raise RuntimeError("dies half way")
+
+        return store.stored(spark, "numbers", {"n": n}, [spark.read.parquet(folder)], build, at)
+
+    spark.range(3).write.parquet(folder)
+    with pytest.raises(RuntimeError):
+        stage_of(5, fail=True)
+    first = stage_of(5)
+    assert stage_of(5) == first and stage_of(6) != first and built == [5, 5, 6]
+    assert spark.read.parquet(first).count() == 5
+    spark.range(4).write.mode("append").parquet(folder)
+    assert stage_of(5) != first and built == [5, 5, 6, 5]
+    assert store.expire(spark, "numbers", 3600, at) == 0 and store.expire(spark, "numbers", -5, at) == 4
+    assert stage_of(6) and built[-1] == 6
