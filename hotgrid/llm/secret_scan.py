@@ -9,12 +9,13 @@ matches of different kinds may, but a random string that touches a base match is
 """
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotgrid.llm.links import fresh
+from hotgrid.llm.links import fresh, stage
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,6 +28,7 @@ MIN_RANDOM = 20
 MAX_FIT_DOCS = 20_000
 MIN_IDENTIFIER = 6
 SMOOTHING = 0.5
+SUM_BLOCK = 128
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -38,21 +40,50 @@ def _length(c: Column) -> Column:
     return F.char_length(c).cast("bigint")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+
+
+def _sums_before(values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function from a place to the sum of all values before it; sums are kept for whole blocks only."""
+    block = F.lit(SUM_BLOCK)
+
+    def blocks(v: Column) -> Column:
+        ends = F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int"))
+        sums = F.transform(ends, lambda k: _sum(F.slice(v, k * block + 1, block)))
+        return _let(sums, lambda s: F.transform(s, lambda _, k: _sum(F.slice(s, F.lit(1), k))))
+
+    def inner(v: Column, b: Column) -> Column:
+        def before(i: Column) -> Column:
+            k = F.floor(i / block).cast("int")
+            return F.get(b, k) + _sum(F.slice(v, k * block + 1, i - k * block))
+
+        return body(before)
+
+    return _let(values, lambda v: _let(blocks(v), lambda b: inner(v, b)))
+
+
 def _located(text: Column, pattern: str) -> Column:
     """array<struct<start,end,value>> of all matches: the text between them gives their places."""
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(
-        F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out")
-    )
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("value"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["upto"] + _length(pair["gap"])
-        end = start + _length(pair["value"])
-        found = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("upto"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def placed(pairs: Column) -> Column:
+        def one(before: Callable[[Column], Column]) -> Column:
+            def match(pair: Column, i: Column) -> Column:
+                start = before(i) + _length(pair["gap"])
+                return F.struct(start.alias("start"), (start + _length(pair["value"])).alias("end"), pair["value"].alias("value"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(values)).alias("gap"), values.alias("value"))
-    return F.aggregate(pairs, zero, step)["out"]
+            return F.transform(pairs, match)
+
+        return _sums_before(F.transform(pairs, lambda p: _length(p["gap"]) + _length(p["value"])), one)
+
+    return _let(pairs, placed)
 
 
 def _spans(kind: str, found: Column) -> Column:
@@ -87,12 +118,10 @@ class Markov:
         table = F.split(F.lit(",".join(f"{r:.5f}" for r in self.ratios)), ",").cast("array<double>")
         width = len(ALPHABET) + 1
         n = F.char_length(token)
-
-        def pair(i: Column) -> Column:
-            at = [F.position(F.substring(token, i + d, F.lit(1)), F.lit(ALPHABET)) for d in (0, 1)]
-            return F.get(table, at[0] * width + at[1])
-
-        total = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, i: acc + pair(i))
+        # one pass over the characters: their places in the alphabet, then the ratios of neighbours
+        places = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+        pairs = F.zip_with(F.slice(places, 1, n - 1), F.slice(places, 2, n - 1), lambda a, b: F.get(table, a * width + b))
+        total = F.aggregate(pairs, F.lit(0.0), lambda acc, r: acc + r)
         return F.when(n >= 2, total / (n - 1)).otherwise(0.0)
 
 
@@ -104,15 +133,20 @@ def labelled_tokens(docs: DataFrame, max_docs: int = MAX_FIT_DOCS) -> DataFrame:
     share = min(1.0, max_docs / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select("text")
     text = F.coalesce("text", F.lit(""))
-    base = base_spans(F.col("text"))
-    found = sample.withColumn("s", F.explode(base)).select(
-        F.regexp_extract(F.expr("substring(text, int(s.start) + 1, int(s.end - s.start))"), r"([A-Za-z0-9+/_-]+)[^A-Za-z0-9+/_-]*$", 1).alias("token"),
-        F.lit(True).alias("secret"),
-    )
-    plain = sample.where(F.size(base) == 0).select(
-        F.explode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("token"), F.lit(False).alias("secret")
-    )
-    return found.where(F.char_length("token") >= 8).union(plain.where(F.char_length("token").between(MIN_IDENTIFIER, MIN_RANDOM - 1)))
+    value = r"([A-Za-z0-9+/_-]+)[^A-Za-z0-9+/_-]*$"
+
+    def labelled(tokens: Column, secret: bool) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(secret).alias("secret")))
+
+    def matched(s: Column) -> Column:
+        return F.regexp_extract(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), value, 1)
+
+    rows = sample.withColumn("base", base_spans(F.col("text")))
+    found = labelled(F.transform("base", matched), True)
+    plain = labelled(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), False)
+    tokens = rows.select(F.inline(F.when(F.size("base") > 0, found).otherwise(plain)))
+    n = F.char_length("token")
+    return tokens.where(F.when(F.col("secret"), n >= 8).otherwise(n.between(MIN_IDENTIFIER, MIN_RANDOM - 1)))
 
 
 def train(tokens: DataFrame) -> Markov:
@@ -120,6 +154,7 @@ def train(tokens: DataFrame) -> Markov:
 
     Without any secret the random model is uniform; without identifiers the other one is.
     """
+    tokens = stage(tokens, "tokens")
     width = len(ALPHABET) + 1
     pairs = tokens.where(F.char_length("token") >= 2).select(
         "secret", F.explode(F.expr("transform(sequence(1, char_length(token) - 1), i -> substring(token, i, 2))")).alias("pair")

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against plain versions."""
 
+import random
+import time
 import zlib
 
 import plain
@@ -384,3 +386,18 @@ def test_chat_conversations(spark):
         assert (r["loss_chars"], r["loss_sha256"]) == (sum(map(len, learned)), plain.sha("".join(learned)))
         assert r["formatted_chars"] == sum(len(chat.render(role or "", t or "")[0]) for _, _, role, t in turns)
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_long_texts_of_secrets_are_scanned_in_one_pass(spark):
+    """One token of half a million characters, and a text of twenty thousand random strings: minutes when quadratic."""
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice(secret_scan.ALPHABET) for _ in range(n))
+    texts = ["x " + draw(500_000) + " y", " ".join(draw(24) for _ in range(20_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = secret_scan.Markov([0.0] * (len(secret_scan.ALPHABET) + 1) ** 2, -1.0)
+    began = time.time()
+    found = {r["doc_id"]: r["f"] for r in secret_scan.scan(docs, model, "b", "f").select("doc_id", "f").collect()}
+    assert time.time() - began < 60
+    assert [(s["start"], s["end"]) for s in found[0] if s["kind"] == "random"] == [(2, 500_002)]
+    kept = [(s["start"], s["end"]) for s in found[1] if s["kind"] == "random"]
+    assert len(kept) > 19_000 and all((start % 25, end - start) == (0, 24) for start, end in kept)
