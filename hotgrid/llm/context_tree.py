@@ -35,6 +35,7 @@ BATCH_BYTES, BATCH_DOCS = 16 << 20, 20_000
 BLOCK_BYTES = 1 << 21
 GRAMS_PER_GROUP, MIN_GROUPS = 200_000, 64
 _HALF = np.log(0.5)
+_FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 BATCH = (
     "batch bigint, ids array<bigint>, held array<boolean>, sizes array<int>, texts binary, grams array<bigint>, gram_n array<bigint>, "
@@ -325,10 +326,36 @@ def _word_logs(texts: list[bytes], row: dict[str, pa.Array | None]) -> dict[byte
     return {words[i]: v for i, v in zip(row["at"].to_pylist(), np.log10(row["c"].to_numpy() + 1.0).tolist(), strict=True)}
 
 
+class GramIndex:
+    """Places of known grams: tables by hash, each for the grams that lost their slot in the one before."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams, self.tables = grams.view(np.uint64), []
+        left = np.arange(len(grams), dtype=np.int32)
+        while len(left):
+            shift, factor = np.uint64(64 - max(4, (2 * len(left)).bit_length())), _FACTORS[len(self.tables) % len(_FACTORS)]
+            slots = (self.grams[left] * factor) >> shift
+            table = np.zeros(1 << int(64 - shift), np.int32)
+            table[slots] = left
+            self.tables.append((factor, shift, table))
+            left = left[table[slots] != left]
+
+    def places(self, asked: np.ndarray) -> np.ndarray:
+        """Places of grams all of which are known."""
+        asked = asked.view(np.uint64)
+        out, left = np.zeros(len(asked), np.int32), np.arange(len(asked))
+        for factor, shift, table in self.tables:
+            found = table[(asked * factor) >> shift]
+            hit = self.grams[found] == asked
+            out[left[hit]] = found[hit]
+            left, asked = left[~hit], asked[~hit]
+            if not len(left):
+                break
+        return out
+
+
 def _text_scores(texts: list[bytes], grams: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
-    order = np.argsort(grams)
-    grams, values = grams[order], values[order]
-    out = np.zeros(len(texts))
+    index, out = GramIndex(grams), np.zeros(len(texts))
     for owner, found in gram_blocks(texts, depth):
-        out += np.bincount(owner, weights=values[np.searchsorted(grams, found)], minlength=len(texts))
+        out += np.bincount(owner, weights=values[index.places(found)], minlength=len(texts))
     return out
