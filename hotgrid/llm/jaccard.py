@@ -207,9 +207,18 @@ def small_links(reps: DataFrame, pct: int) -> DataFrame:
 
 
 def list_entries(reps: DataFrame) -> DataFrame:
-    """(key, doc_id, n, pos, lead) of every prefix token that two sets or more have; lead is the list's smallest id."""
-    flat = reps.select("doc_id", F.explode("tokens").alias("key"))
-    lists = flat.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").drop("last")
+    """(key, doc_id, n, pos, lead, m) of every prefix token that two sets or more have; lead is the list's smallest id.
+
+    Lists of the same documents, as those of a passage, say the same: the one whose token comes first stays for all ``m`` of
+    them. Its token comes first in every set, so its bounds let every pair through that any of the others would.
+    """
+    flat = reps.select("doc_id", F.posexplode("tokens").alias("pos", "key"))
+    lists = flat.groupBy("key").agg(
+        F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("c"), F.sum("pos").alias("p"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
+    )
+    lists = lists.where("lead < last").groupBy("c", "x", "y").agg(F.min(F.struct("p", "key", "lead")).alias("l"), F.count(F.lit(1)).alias("m"))
+    lists = lists.select("l.key", "l.lead", "m")
     lists = stage(lists, "lists")
     shared = key_filter(lists, "key", lists.count())
 
@@ -262,7 +271,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, pct: int) -> DataFrame:
 
 def favourite(choices: DataFrame, pct: int) -> DataFrame:
     """For each document ``a`` (of set size n) the likely partner ``b`` that most lists propose, if any; ties to the smallest id."""
-    votes = choices.where("a <> b").groupBy("a", "n", "b").agg(F.count(F.lit(1)).alias("v"))
+    votes = choices.where("a <> b").groupBy("a", "n", "b").agg(F.sum("m").alias("v"))
     votes = votes.where(F.col("v") >= LIKELY * (F.col("n") - F.ceil(pct * F.col("n") / 100) + 1))
     return votes.groupBy("a").agg(F.max(F.struct("v", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
 
@@ -328,7 +337,7 @@ def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
 
     links = small_links(reps, pct)
     entries = list_entries(reps)
-    pairs = favourite(entries.select(F.col("doc_id").alias("a"), "n", F.col("lead").alias("b")), pct)
+    pairs = favourite(entries.select(F.col("doc_id").alias("a"), "n", F.col("lead").alias("b"), "m"), pct)
     links = stage(links.union(verified(pairs, docs, k, pct)), "found")
     n_entries, before = entries.count(), float("inf")
     for turn in range(MAX_STAR_ROUNDS + 1):
@@ -347,9 +356,9 @@ def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
         inside = F.col("component") == F.col("main")
         leads = placed.groupBy("key").agg(F.min(F.when(inside, rank)).alias("p"), F.min(F.when(~inside, rank)).alias("q"))
         tried = outside.join(stage(leads, "leads"), "key").select(
-            F.col("doc_id").alias("a"), "n", F.col("p.doc_id").alias("p"), F.col("q.doc_id").alias("q")
+            F.col("doc_id").alias("a"), "n", F.col("p.doc_id").alias("p"), F.col("q.doc_id").alias("q"), "m"
         )
-        pairs = favourite(tried.select("a", "n", F.col("p").alias("b")), pct).union(favourite(tried.select("a", "n", F.col("q").alias("b")), pct))
+        pairs = favourite(tried.select("a", "n", F.col("p").alias("b"), "m"), pct).union(favourite(tried.select("a", "n", F.col("q").alias("b"), "m"), pct))
         links = stage(links.union(verified(pairs, docs, k, pct)), "found")
 
     rows = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
