@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hotgrid.session import cut_lineage
 
 
 def case_counts(bridge: DataFrame) -> DataFrame:
@@ -42,11 +43,12 @@ def entity_cases(bridge: DataFrame, incidents: DataFrame) -> DataFrame:
 
 
 def entity_profiles(
-    bridge: DataFrame, incidents: DataFrame, charged: DataFrame, edges: DataFrame, shown: int = 10
+    bridge: DataFrame, incidents: DataFrame, charged: DataFrame, edges: DataFrame, shown: int = 10, members: DataFrame | None = None
 ) -> DataFrame:
     """One row per entity: cases, charged cases, category and region counts, severity share, span, associates.
 
-    Category and region maps are bounded by the number of categories and regions; associate lists by ``shown``.
+    Category and region maps are bounded by the number of categories and regions; associate lists by ``shown``. With
+    ``members`` (rank, node) of the listed communities a row also has the rank of the entity's community, if any.
     """
     flag = charged.select("case_id").distinct().withColumn("charged", F.lit(1))
     rows = entity_cases(bridge, incidents).join(flag, "case_id", "left")
@@ -58,6 +60,7 @@ def entity_profiles(
         F.min("ts").alias("first"),
         F.max("ts").alias("last"),
     )
+    cells = cut_lineage(cells)  # three branches read it
     base = cells.groupBy("entity_id").agg(
         F.sum("n").alias("total_cases"),
         F.sum("charged").alias("charged_cases"),
@@ -87,6 +90,8 @@ def entity_profiles(
             lambda x: F.struct(x["entity"].alias("entity"), x["shared_cases"].alias("shared_cases")),
         ).alias("associates")
     )
+    if members is not None:
+        base = base.join(members.select(F.col("node").alias("entity_id"), F.col("rank").alias("community")), "entity_id", "left")
     return (
         base.join(ranked("category_name", "types"), "entity_id")
         .join(ranked("region_name", "regions"), "entity_id")

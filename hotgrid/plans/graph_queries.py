@@ -212,39 +212,40 @@ def export_graph(spark, d):
     return graph.induced_edges(edges, graph.top_nodes(edges, 500))
 
 
+def split_sql(name: str, source: str, scope: str) -> str:
+    """Views ending in ``name``(scope, node): vertices of ``source`` whose neighbours fall apart when they are taken out.
+
+    Every vertex of degree two or more is taken out once, and labels spread from its neighbours over what is left.
+    """
+    return f"""{name}_b AS MATERIALIZED (SELECT {scope} AS s, src, dst FROM {source} UNION SELECT {scope}, dst, src FROM {source}),
+{name}_v AS MATERIALIZED (SELECT s, src AS v FROM {name}_b GROUP BY ALL HAVING count(*) > 1),
+{name}_e AS MATERIALIZED (SELECT struct_pack(s := s, v := v) AS cut, e.src, e.dst FROM {name}_b e JOIN {name}_v USING (s) WHERE e.src < e.dst AND v <> e.src AND v <> e.dst),
+{cc_sql(f"{name}_c", f"{name}_e", "cut")},
+{name} AS (SELECT s, v AS node FROM {name}_v JOIN {name}_b e ON e.s = {name}_v.s AND e.src = v
+  LEFT JOIN {name}_c c ON c.cut = struct_pack(s := {name}_v.s, v := v) AND c.node = e.dst
+  GROUP BY {name}_v.s, v HAVING count(DISTINCT coalesce(c.component, e.dst)) > 1)""".replace(f"SELECT s, v AS node FROM {name}_v JOIN", f"SELECT {name}_v.s AS s, v AS node FROM {name}_v JOIN")
+
+
 REPORT_SQL = (
     "WITH gone AS (SELECT rank, node FROM mdeg WHERE position <= 3), lft AS (SELECT * FROM mem ANTI JOIN gone USING (rank, node)),\n"
     "cut AS MATERIALIZED (SELECT i.rank, src, dst FROM ins i ANTI JOIN gone g ON g.rank = i.rank AND g.node = src),\n"
     "cut2 AS MATERIALIZED (SELECT i.rank, src, dst FROM cut i ANTI JOIN gone g ON g.rank = i.rank AND g.node = dst),\n"
-    + cc_sql("c1", "ins", "rank") + ",\n" + cc_sql("c2", "cut2", "rank")
+    + cc_sql("c1", "ins", "rank") + ",\n" + cc_sql("c2", "cut2", "rank") + ",\n" + split_sql("art", "ins", "rank")
     + """,
 z1 AS (SELECT rank, max(n) AS largest_before FROM (SELECT rank, coalesce(component, node) AS c, count(*) AS n FROM mem LEFT JOIN c1 USING (rank, node) GROUP BY ALL) GROUP BY rank),
 z2 AS (SELECT rank, max(n) AS largest_after, count(*) AS components_after FROM (SELECT rank, coalesce(component, node) AS c, count(*) AS n FROM lft LEFT JOIN c2 USING (rank, node) GROUP BY ALL) GROUP BY rank),
 sz AS (SELECT rank, count(*) AS size FROM mem GROUP BY rank), ne AS (SELECT rank, count(*) AS n_edges FROM ins GROUP BY rank)
 SELECT rank, size, coalesce(n_edges, 0) AS n_edges, largest_before, coalesce(largest_after, 0) AS largest_after, coalesce(components_after, 0) AS components_after,
-  round((largest_before - coalesce(largest_after, 0)) / largest_before * 100, 1) AS drop_pct, round(coalesce(n_edges, 0) / size, 6) AS cohesion
-FROM sz LEFT JOIN ne USING (rank) JOIN z1 USING (rank) LEFT JOIN z2 USING (rank)"""
+  round((largest_before - coalesce(largest_after, 0)) / largest_before * 100, 1) AS drop_pct, round(coalesce(n_edges, 0) / size, 6) AS cohesion,
+  coalesce(n_articulation, 0) AS n_articulation
+FROM sz LEFT JOIN ne USING (rank) JOIN z1 USING (rank) LEFT JOIN z2 USING (rank) LEFT JOIN (SELECT s AS rank, count(*) AS n_articulation FROM art GROUP BY s) USING (rank)"""
 )
 
 
 @query("community_report", C, REPORT_SQL, recursive=True)
 def community_report(spark, d):
     out = biconnected.community_report(_members(spark, d), edges_of(spark, d))
-    return out.drop("n_articulation").withColumn("cohesion", F.round("cohesion", 6))
-
-
-def split_sql(name: str, source: str, scope: str) -> str:
-    """Views ending in ``name``(scope, node): vertices of ``source`` whose neighbours fall apart when they are taken out.
-
-    Every vertex of degree two or more is taken out once, and labels spread from its neighbours over what is left.
-    """
-    return f"""{name}_b AS MATERIALIZED (SELECT {scope} AS s, src, dst FROM {source} UNION SELECT {scope}, dst, src FROM {source}),
-{name}_v AS MATERIALIZED (SELECT s, src AS v FROM {name}_b GROUP BY ALL HAVING count(*) > 1),
-{name}_e AS MATERIALIZED (SELECT struct_pack(s := s, v := v) AS cut, e.src, e.dst FROM {name}_b e JOIN {name}_v USING (s) WHERE e.src < e.dst AND v <> e.src AND v <> e.dst),
-{cc_sql(f"{name}_c", f"{name}_e", "cut")},
-{name} AS (SELECT s, v AS node FROM {name}_v JOIN {name}_b e ON e.s = {name}_v.s AND e.src = v
-  LEFT JOIN {name}_c c ON c.cut = struct_pack(s := {name}_v.s, v := v) AND c.node = e.dst
-  GROUP BY {name}_v.s, v HAVING count(DISTINCT coalesce(c.component, e.dst)) > 1)""".replace(f"SELECT s, v AS node FROM {name}_v JOIN", f"SELECT {name}_v.s AS s, v AS node FROM {name}_v JOIN")
+    return out.withColumn("cohesion", F.round("cohesion", 6))
 
 
 @query("articulation_points", G + " strong", "WITH " + split_sql("art", "strong", "1") + "\nSELECT node FROM art", recursive=True)
@@ -353,19 +354,21 @@ view(
 
 @query(
     "entity_profiles",
-    "inc ce kept edges ends ent",
+    "inc " + C + " ends ent",
     """WITH ch AS (SELECT DISTINCT l_orderkey AS case_id FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1),
 b AS (SELECT entity_id, count(*) AS total_cases, count(ch.case_id) AS charged_cases, max(CASE WHEN ch.case_id IS NOT NULL THEN ts END) AS last_charged, count(DISTINCT region_name) AS n_regions,
   round(avg(CASE WHEN severity_id = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS severe_share, min(ts) AS first_incident, max(ts) AS last_incident,
   round(date_diff('day', min(ts), max(ts)) / 365.25, 1) AS span_years FROM ent LEFT JOIN ch USING (case_id) GROUP BY entity_id),
+rg AS (SELECT entity_id, string_agg(region_name || '=' || n, ';' ORDER BY n DESC, region_name) AS regions FROM (SELECT entity_id, region_name, count(*) AS n FROM ent GROUP BY ALL) GROUP BY entity_id),
 ty AS (SELECT entity_id, string_agg(category_name || '=' || n, ';' ORDER BY n DESC, category_name) AS types FROM (SELECT entity_id, category_name, count(*) AS n FROM ent GROUP BY ALL) GROUP BY entity_id),
 a AS (SELECT node AS entity_id, count(*) AS n_associates, string_agg(other || '=' || weight, ';' ORDER BY r) FILTER (r <= 10) AS associates
   FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, other) AS r FROM ends) GROUP BY node)
-SELECT b.*, types, coalesce(n_associates, 0) AS n_associates, coalesce(associates, '') AS associates FROM b JOIN ty USING (entity_id) LEFT JOIN a USING (entity_id)""",
+SELECT b.*, mem.rank AS community, types, coalesce(regions, '') AS regions, coalesce(n_associates, 0) AS n_associates, coalesce(associates, '') AS associates FROM b JOIN ty USING (entity_id) JOIN rg USING (entity_id) LEFT JOIN a USING (entity_id) LEFT JOIN mem ON mem.node = entity_id""",
 )
 def entity_profiles(spark, d):
     out = entities.entity_profiles(
-        tables.case_entity(spark, d), tables.order_incidents(spark, d), tables.charged_cases(spark, d), edges_of(spark, d)
+        tables.case_entity(spark, d), tables.order_incidents(spark, d), tables.charged_cases(spark, d), edges_of(spark, d),
+        members=_members(spark, d),
     )
     flat = lambda c, k, v: F.coalesce(
         F.array_join(F.transform(c, lambda x: F.concat(x[k].cast("string"), F.lit("="), x[v].cast("string"))), ";"), F.lit("")
@@ -373,6 +376,7 @@ def entity_profiles(spark, d):
     return out.select(
         "entity_id", "total_cases", "charged_cases", "last_charged", "n_regions", F.round("severe_share", 6).alias("severe_share"),
         "first_incident", "last_incident", "span_years", flat("types", "label", "n").alias("types"), "n_associates",
+        flat("regions", "label", "n").alias("regions"), F.col("community").cast("int").alias("community"),
         flat("associates", "entity", "shared_cases").alias("associates"),
     )
 
