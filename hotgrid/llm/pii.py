@@ -22,6 +22,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 MAX_FIT_DOCS = 3_000
 MAX_LENGTH = 64  # tokens of one sequence; longer ones are cut there
+SHAPE_RUNS = 24
 GAP = 2  # plain tokens that may lie between two tokens of a sequence
 ROUNDS, RATE, DECAY = 80, 0.2, 1e-4
 MIN_FEATURE_COUNT = 2
@@ -103,14 +104,19 @@ def sequences(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 def shape(token: str) -> str:
-    """Word shape: X, x, d and u for upper, lower, digit and non-ASCII; runs are joined, those of digits with a length."""
+    """Word shape: X, x, d and u for upper, lower, digit and non-ASCII; runs are joined, those of digits with a length.
+
+    Of more than ``SHAPE_RUNS`` runs the shape names the first and the last ones of the whole token.
+    """
     out: list[str] = []
-    for c in token[:48]:
+    for c in token:
         kind = "d" if "0" <= c <= "9" else "X" if "A" <= c <= "Z" else "x" if "a" <= c <= "z" else "u" if c > "\x7f" else c
         if out and out[-1][0] == kind:
-            out[-1] += kind
+            out[-1] += kind if len(out[-1]) < 9 else ""
         else:
             out.append(kind)
+    if len(out) > SHAPE_RUNS:
+        out = [*out[: SHAPE_RUNS // 2], "~", *out[-SHAPE_RUNS // 2 :]]
     return "".join(f"d{min(len(r), 9)}" if r[0] == "d" else r[0] for r in out)
 
 
@@ -262,7 +268,10 @@ def train(table: list[tuple[list[str], list[str]]]) -> Field | None:
 
 
 def labelled_table(docs: DataFrame, max_docs: int = MAX_FIT_DOCS) -> list[tuple[list[str], list[str]]]:
-    """Token sequences and tags of at most about ``max_docs`` documents with digits or at signs, labelled by base spans."""
+    """Token sequences and tags of at most about ``max_docs`` documents with digits or at signs, labelled by base spans.
+
+    Documents are chosen by a hash of their ids, and at most four sequences a document by a hash of their tokens and tags.
+    """
     hinted = docs.where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, max_docs / max(1, hinted.count()))
     sample = hinted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
@@ -277,7 +286,8 @@ def labelled_table(docs: DataFrame, max_docs: int = MAX_FIT_DOCS) -> list[tuple[
             if rows:
                 yield pa.RecordBatch.from_pylist(rows)
 
-    found = sample.select("text").mapInArrow(label, "tokens array<string>, tags array<string>").orderBy("tokens", "tags")
+    found = sample.select("text").mapInArrow(label, "tokens array<string>, tags array<string>")
+    found = found.orderBy(F.xxhash64("tokens", "tags"), "tokens", "tags")
     return [(r["tokens"], r["tags"]) for r in found.limit(4 * max_docs).collect()]
 
 
