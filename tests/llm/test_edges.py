@@ -212,7 +212,17 @@ def test_ring_settles_clockwise():
         want[cell, k] = nodes[at % len(nodes)][1]
     got = {(c, k): s for c, a, b, s, _ in sharding.settle(counts, n) for k in range(a, b)}
     assert got == want
-    assert set(sharding.ring(n)) <= set(sharding.ring(n + 1)) | {x for x in sharding.ring(n)}
+
+
+def test_one_more_shard_moves_few_keys():
+    """The nodes of the other shards stay where they are; little more moves than the share of the new shard."""
+    counts = {cell: 1 + cell * 37 % 9 for cell in range(sharding.CELLS)}
+    for n in (4, 16):
+        assert set(sharding.ring(n)) == {node for node in sharding.ring(n + 1) if node[1] < n}
+        old, new = ({(c, k): s for c, a, b, s, _ in sharding.settle(counts, m) for k in range(a, b)} for m in (n, n + 1))
+        moved = sum(s != new[key] for key, s in old.items()) / len(old)
+        print(n, moved)
+        assert 0.9 / (n + 1) <= moved <= 2.5 / (n + 1)
 
 
 def test_packing(edge, nothing):
