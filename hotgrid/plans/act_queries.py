@@ -428,20 +428,21 @@ def kpis(spark, d):
     ).withColumn("hot_cells", hot)
 
 
-# --- headline: one row over all layers ---------------------------------------------------
+# --- headline: all layers, a row per region ---------------------------------------------------
 @query(
     "headline",
     pq.SCORED.replace("evt act_evt", "inc evt act_evt") + " test_cells pai modal risk area reach " + GREEDY + " " + VOLUME + " rplan gshare vshare rshare summ firsts disp dmet rep rsum",
-    """SELECT (SELECT pai FROM pai WHERE area_pct = 5) AS pai_5pct, (SELECT hit_rate FROM pai WHERE area_pct = 5) AS hit_rate_5pct,
+    """SELECT region_name, (SELECT pai FROM pai WHERE area_pct = 5) AS pai_5pct, (SELECT hit_rate FROM pai WHERE area_pct = 5) AS hit_rate_5pct,
 greedy_pct AS optimized_coverage_pct, statusquo_pct AS statusquo_coverage_pct, uplift_pct AS coverage_uplift_pct, uplift_vs_statusquo_pct, gini_coefficient, regions_low AS regions_flagged
-FROM summ, dmet, rsum WHERE region_name = 'NATION_5' AND units = 6""",
+FROM summ, dmet, rsum WHERE units = 6""",
 )
 def headline(spark, d):
     pai = metrics.accuracy_index(pq.scored_matrix(spark, d)).where(F.col("area_pct") == 5)
-    row = coverage_summary(spark, d).where((F.col("region_name") == "NATION_5") & (F.col("units") == 6))
+    row = coverage_summary(spark, d).where(F.col("units") == 6)
     gini = disparity_row(spark, d).select("gini_coefficient").scalar()
     low = reporting_row(spark, d).select("regions_low").scalar()
     return row.select(
+        "region_name",
         pai.select("pai").scalar().alias("pai_5pct"),
         pai.select("hit_rate").scalar().alias("hit_rate_5pct"),
         F.col("greedy_pct").alias("optimized_coverage_pct"),
