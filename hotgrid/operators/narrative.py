@@ -124,9 +124,11 @@ def area_level(feed: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def model_sentence(auc: Column, hit_rate_5: Column, pai_5: Column, drivers: Column) -> Column:
+    # without both classes there is no AUC: the SQL prints nan, or gives no sentence if it is null
+    shown = F.when(F.isnan(auc), "nan").when(auc.isNotNull(), F.format_string("%.2f", auc))
     # fixed value: model sentence
     return F.concat(
-        F.format_string("The model identifies %.1f%% of future crime in just 5%% of the area (AUC %.2f). ", hit_rate_5, auc),
+        F.format_string("The model identifies %.1f%% of future crime in just 5%% of the area (AUC ", hit_rate_5), shown, F.lit("). "),
         F.format_string("That is a %.1f× improvement over random deployment. ", pai_5),
         F.lit("Top prediction drivers: "), drivers, F.lit("."),
     )
