@@ -1,5 +1,6 @@
 """Polygons as edge tables, point clipping, centroids, name crosswalks, and chained incident sprees."""
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -145,9 +146,10 @@ def sprees(
 ) -> tuple[DataFrame, DataFrame]:
     """Chains of same-subtype incidents, each link at most ``km`` and ``days`` apart: (summary, members).
 
-    Incidents first collapse to places (a grain of about 100 m) and days, so any number of incidents at one
-    spot is one vertex. Vertices are paired through (subtype, tile, week) buckets whose vertex count is
-    bounded by the grain, then chained as connected components.
+    Incidents first collapse to places (a grain of about 100 m) and days. Days are cut into blocks of ``days`` + 1 and places
+    into squares whose diagonal is under ``km``: what lies in one square and block is linked throughout, so that is one vertex of
+    the chains, and its first and last day at each place decide every link to the following block. Places are paired through
+    (subtype, tile, block) buckets, whose size is bounded by the grain, then the squares are chained as connected components.
     """
     if not 500 <= grain_e6 <= 10_000 * km:
         raise ValueError("grain_e6 must be at least 500 (ids hold 14 bits per axis) and at most a hundredth of a degree per km")
@@ -159,40 +161,54 @@ def sprees(
         .groupBy("subtype_id", gy.alias("gy"), gx.alias("gx"), F.unix_date(F.to_date("ts")).cast("bigint").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # place, day and subtype fit one 63-bit id that sorts by subtype, then day
-    node = ((F.col("subtype_id") * 65_536 + F.col("day")) * 16_384 + F.col("gy")) * 16_384 + F.col("gx")
-    spots = cut_lineage(spots.withColumn("node", node))
+    # place, day and subtype fit one 63-bit id that sorts by subtype, then day; so do square, block and subtype
+    packed = lambda t, y, x: ((F.col("subtype_id") * 65_536 + t) * 16_384 + y) * 16_384 + x
+    block = F.floor(F.col("day") / (days + 1))
+    # a degree is at most 111.2 km; one part in a hundred is left for rounding
+    side = 1 + int(0.99 * km / (111.2e-6 * grain_e6 * math.sqrt(2)))
+    square = packed(block, F.floor(F.col("gy") / side), F.floor(F.col("gx") / side))
+    spots = spots.withColumn("node", packed(F.col("day"), F.col("gy"), F.col("gx"))).withColumn("square", square)
+    spots = cut_lineage(spots)
+    stays = cut_lineage(
+        spots.groupBy("square", "subtype_id", "gy", "gx", block.alias("block")).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    )
     reach = int(1_000_000 * 0.01 * km) // grain_e6
     near = [-1, 0, 1]
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a in near for b in near for w in (0, 1)])
-    ty, tx, tw = F.floor(F.col("gy") / reach), F.floor(F.col("gx") / reach), F.floor(F.col("day") / days)
-    seek = spots.select("subtype_id", "gy", "gx", "day", "node", F.explode(steps).alias("s")).select(
-        "subtype_id", "gy", "gx", "day", "node", (ty + F.col("s.a")).alias("ty"), (tx + F.col("s.b")).alias("tx"), (tw + F.col("s.w")).alias("tw")
-    )
-    hold = spots.select(
-        "subtype_id", ty.alias("ty"), tx.alias("tx"), tw.alias("tw"),
-        F.col("gy").alias("gy2"), F.col("gx").alias("gx2"), F.col("day").alias("day2"), F.col("node").alias("node2"),
+    # within a block each pair of tiles is met once
+    moves = [(a, b, w) for a in near for b in near for w in (0, 1) if w or (a, b) >= (0, 0)]
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in moves])
+    ty, tx = F.floor(F.col("gy") / reach), F.floor(F.col("gx") / reach)
+    seek = stays.select("*", F.explode(steps).alias("s")).select(
+        "subtype_id", "square", "gy", "gx", "last", F.col("s.w").alias("w"),
+        (ty + F.col("s.a")).alias("ty"), (tx + F.col("s.b")).alias("tx"), (F.col("block") + F.col("s.w")).alias("block"),
+    )
+    hold = stays.select(
+        "subtype_id", ty.alias("ty"), tx.alias("tx"), "block",
+        F.col("square").alias("square2"), F.col("gy").alias("gy2"), F.col("gx").alias("gx2"), "first",
     )
     deg = lambda c, base: (F.lit(base) + F.col(c) * grain_e6) / 1_000_000
     dist = spatial.haversine_km(deg("gy", lat0), deg("gx", lon0), deg("gy2", lat0), deg("gx2", lon0))
-    later = (F.col("day2") - F.col("day")).between(0, days) & ((F.col("day2") > F.col("day")) | (F.col("node2") > F.col("node")))
-    links = seek.join(hold, ["subtype_id", "ty", "tx", "tw"]).where(later & (dist <= km))
-    chain = graph.components(links.select(F.least("node", "node2").alias("src"), F.greatest("node", "node2").alias("dst")))
-    placed = spots.join(chain, "node", "left").withColumn("spree_id", F.coalesce("component", "node"))
+    soon = (F.col("square") != F.col("square2")) & ((F.col("w") == 0) | (F.col("first") - F.col("last") <= days))
+    links = seek.join(hold.hint("merge"), ["subtype_id", "ty", "tx", "block"]).where(soon & (dist <= km))
+    links = links.select(F.least("square", "square2").alias("src"), F.greatest("square", "square2").alias("dst")).distinct()
+    chain = graph.components(links).withColumnRenamed("node", "square")
+    placed = spots.join(chain.hint("merge"), "square", "left").withColumn("chain", F.coalesce("component", "square"))
     lat, lon = deg("gy", lat0), deg("gx", lon0)
-    summary = placed.groupBy("spree_id", "subtype_id").agg(
+    summary = placed.groupBy("chain", "subtype_id").agg(
+        F.min("node").alias("spree_id"),
         F.sum("n").alias("n_cases"),
         F.min("day").alias("d0"),
         F.max("day").alias("d1"),
         (F.sum(lat * F.col("n")) / F.sum("n")).alias("center_lat"),
         (F.sum(lon * F.col("n")) / F.sum("n")).alias("center_lon"),
     )
-    kept = summary.where(F.col("n_cases") >= min_cases).select(
+    kept = summary.where(F.col("n_cases") >= min_cases)
+    members = placed.join(kept.select("chain", "spree_id").hint("merge"), "chain").select(
+        "spree_id", lat.alias("lat"), lon.alias("lon"), F.date_from_unix_date(F.col("day").cast("int")).alias("date"), "n"
+    )
+    kept = kept.select(
         "spree_id", "subtype_id", "n_cases",
         F.date_from_unix_date(F.col("d0").cast("int")).alias("start_date"), F.date_from_unix_date(F.col("d1").cast("int")).alias("end_date"),
         (F.col("d1") - F.col("d0")).alias("span_days"), "center_lat", "center_lon",
     )
-    members = placed.join(kept.select("spree_id"), "spree_id", "left_semi").select(
-        "spree_id", lat.alias("lat"), lon.alias("lon"), F.date_from_unix_date(F.col("day").cast("int")).alias("date"), "n"
-    )
     return kept, members
