@@ -343,6 +343,26 @@ def test_passages_only_later_documents_share(spark):
     assert {(100 * n + 20, 100 * n + 10) for n in range(8)} <= {(r["doc_id"], r["source_id"]) for r in rows}
 
 
+def test_passages_behind_nearer_documents(spark):
+    """Each seed of the passage of the last two has a smaller id of its own and nearer ones, none with the passage whole."""
+    shared = [f"s{i}" for i in range(60)]
+    parts = [" ".join(shared[i : i + 20]) for i in range(0, 50, 10)]
+    texts = [(i, f"{prose(60 + i, 30)} {parts[i % 5]} {prose(90 + i, 30)}") for i in range(50)]
+    whole = " ".join(shared)
+    texts += [(40 + 1000, whole + " " + prose(200, 30))]
+    texts += [(1041 + i, f"{prose(300 + i, 30)} {parts[i % 5]} {prose(350 + i, 30)}") for i in range(50)]
+    texts += [(2000, prose(201, 30) + " " + whole)]
+    rows = passages.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["source_id"]) for r in rows] == [(2000, 1040)]
+
+
+def test_passages_of_copies_are_one_row_each(spark):
+    text = prose(7, 80)
+    texts = [(i, text if i % 2 else text.upper()) for i in range(30)] + [(99, prose(8, 40) + " " + text)]
+    rows = passages.find(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in rows} == {(i, 0) for i in range(1, 30)} | {(99, 0)} and len(rows) == 30
+
+
 def test_passages_with_changed_words(spark):
     """Against brute force: shared words of which 5 to 20 % are changed, anywhere."""
     import random
