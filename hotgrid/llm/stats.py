@@ -136,3 +136,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: i
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_rows bounds the broadcast side
     return texts.select("doc_id", "label", counted(F.col("text")).alias("counts")).dropDuplicates(["doc_id"])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
+    """(doc_id, label, counts) of every labelled document, by the rules of ``labelled_sample``; of a repeated id the text of smallest hash."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.min(target).cast("int").alias("label"))
+    # counted before the join, so that no text is shuffled; few longs a text are
+    counts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), counted(F.col("text")).alias("counts"))
+    rows = counts.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("h", "counts")).alias("c"))
+    return rows.select("doc_id", "label", "c.counts")

@@ -42,6 +42,21 @@ def test_quality_rules(edge, nothing, some_labels):
     assert all(r["v"]["kept"] != r["v"]["base_failed"] for r in free.collect())
 
 
+def test_quality_rules_count_all_labelled_rows(spark):
+    """More rows than the sample of before had; quantiles by counts are those of all rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(int(n % 2), x) for n, x in enumerate(rng.random((30_000, 8)).tolist())]
+    table = spark.createDataFrame(rows, "label int, x array<double>")
+    forest = quality_rules.grow(rng.random((600, 8)), [0, 1], 4)
+    scores, good, bad = quality_rules.score_counts(table, [forest])[0]
+    plain = forest.score(np.array([x for _, x in rows]))
+    assert good.sum() == bad.sum() == 15_000
+    for q in (0.0, 0.05, 0.5, 0.9995, 1.0):
+        assert abs(quality_rules.quantile(scores, good, q) - np.quantile(plain[1::2], q)) < 1e-12
+
+
 def test_rule_ensemble(edge, nothing, some_labels):
     model = rule_ensemble.fit(edge, some_labels)
     scored = rule_ensemble.scored(edge, model, "score")
