@@ -36,6 +36,7 @@ FLUSH_TOKENS = 1_000_000
 PAIRS_PER_ENTRY = 8  # above this many pairs per entry another round of leaders comes first
 LIKELY = 0.4  # share of a prefix that a leader must share to be tried; the rest is left to the final search
 MAX_STAR_ROUNDS = 6
+MAX_BITS = 1 << 14  # of a set's bit pattern; others have one to two bits a token
 
 
 def ceil_div(a, b):
@@ -131,8 +132,20 @@ def subset_keys(tokens: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(sizes)
 
 
+def bit_pattern(tokens: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, a power of two of them; each token turns over one bit. A pattern of half the bits is its halves' xor.
+
+    A token that two sets share turns over the same bit, so their patterns differ in no more bits than the sets in tokens.
+    """
+    n = 64
+    while n < len(tokens) and n < MAX_BITS:
+        n *= 2
+    odd = np.bincount((mix(tokens) & U64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signed_sets(docs: DataFrame, k: int, pct: int, heavy: np.ndarray, boundary: int) -> DataFrame:
-    """One row per document: set size and signature, subsets of a small set, prefix tokens of a set that needs lists."""
+    """One row per document: set size, signature and bit pattern, subsets of a small set, prefix tokens of a set that needs lists."""
     order = np.argsort(heavy)
     table = docs.sparkSession.sparkContext.broadcast((heavy[order], order))  # at most MAX_HEAVY tokens
 
@@ -151,12 +164,13 @@ def signed_sets(docs: DataFrame, k: int, pct: int, heavy: np.ndarray, boundary:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, no_sizes = np.zeros(0, U64), np.zeros(0, np.int32)
         for batch in small_batches(batches):
-            n, s1, s2, keys, sizes, tokens = [], [], [], [], [], []
+            n, s1, s2, bits, keys, sizes, tokens = [], [], [], [], [], [], []
             for t in shingle_sets(batch.column(1), k):
                 parts = mix(t)
                 n.append(len(t))
                 s1.append(int(parts.sum()))
                 s2.append(int(mix(parts ^ U64(0xA0761D6478BD642F)).sum()))
+                bits.append(bit_pattern(t))
                 small = 0 < len(t) <= boundary
                 sub = subset_keys(t, pct) if small else (none, no_sizes)
                 keys.append(sub[0])
@@ -166,13 +180,13 @@ def signed_sets(docs: DataFrame, k: int, pct: int, heavy: np.ndarray, boundary:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(np.array(n, np.int64)), pa.array(np.array(s1, U64).view(np.int64)),
-                    pa.array(np.array(s2, U64).view(np.int64)), list_array(keys, pa.int64()), list_array(sizes, pa.int32()),
-                    list_array(tokens, pa.int64()),
+                    pa.array(np.array(s2, U64).view(np.int64)), list_array(bits, pa.int64()), list_array(keys, pa.int64()),
+                    list_array(sizes, pa.int32()), list_array(tokens, pa.int64()),
                 ],
-                ["doc_id", "n", "s1", "s2", "subsets", "subset_sizes", "tokens"],
+                ["doc_id", "n", "s1", "s2", "bits", "subsets", "subset_sizes", "tokens"],
             )
 
-    kind = "doc_id bigint, n bigint, s1 bigint, s2 bigint, subsets array<bigint>, subset_sizes array<int>, tokens array<bigint>"
+    kind = "doc_id bigint, n bigint, s1 bigint, s2 bigint, bits array<bigint>, subsets array<bigint>, subset_sizes array<int>, tokens array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(sign, kind)
 
 
@@ -207,10 +221,12 @@ def small_links(reps: DataFrame, pct: int) -> DataFrame:
 
 
 def list_entries(reps: DataFrame) -> DataFrame:
-    """(key, doc_id, n, pos, lead, m) of every prefix token that two sets or more have; lead is the list's smallest id.
+    """(key, doc_id, n, pos, prev, lead, m) of every prefix token that two sets or more have; lead is the list's smallest id.
 
     Lists of the same documents, as those of a passage, say the same: the one whose token comes first stays for all ``m`` of
     them. Its token comes first in every set, so its bounds let every pair through that any of the others would.
+
+    ``prev`` is the set's token before that one among those that the filter of kept lists lets pass, null for the first.
     """
     flat = reps.select("doc_id", F.posexplode("tokens").alias("pos", "key"))
     lists = flat.groupBy("key").agg(
@@ -222,7 +238,7 @@ def list_entries(reps: DataFrame) -> DataFrame:
     lists = stage(lists, "lists")
     shared = key_filter(lists, "key", lists.count())
 
-    @F.arrow_udf("array<struct<pos:int,key:bigint>>")
+    @F.arrow_udf("array<struct<pos:int,key:bigint,prev:bigint>>")
     def known(tokens: pa.Array) -> pa.Array:
         values = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = np.diff(tokens.offsets.to_numpy())
@@ -230,11 +246,14 @@ def list_entries(reps: DataFrame) -> DataFrame:
         keep = passes(shared.value, values)
         pos = np.arange(len(values)) - np.repeat(first, lengths)
         offsets = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([first, [len(values)]])]
-        pairs = pa.StructArray.from_arrays([pa.array(pos[keep].astype(np.int32)), pa.array(values[keep])], ["pos", "key"])
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
+        kept, begins = values[keep], np.zeros(int(keep.sum()) + 1, bool)
+        begins[offsets] = True
+        prev = pa.array(np.concatenate([[0], kept])[: len(kept)].astype(np.int64), mask=begins[: len(kept)])
+        rows = pa.StructArray.from_arrays([pa.array(pos[keep].astype(np.int32)), pa.array(kept), prev], ["pos", "key", "prev"])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rows)
 
     entries = reps.where(F.size("tokens") > 0).select("doc_id", "n", F.explode(known("tokens")).alias("t"))
-    entries = entries.select(F.col("t.key").alias("key"), "doc_id", "n", F.col("t.pos").alias("pos"))
+    entries = entries.select(F.col("t.key").alias("key"), "doc_id", "n", F.col("t.pos").alias("pos"), F.col("t.prev").alias("prev"))
     out = stage(entries.join(lists, "key"), "entries", free=True)
     shared.destroy()
     return out
@@ -290,9 +309,14 @@ def crossing(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def cross_pairs(placed: DataFrame, outside: DataFrame, pct: int, boundary: int) -> DataFrame:
-    """Pairs of different components that pass the size, prefix and positional bounds of some list."""
-    x = outside.select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component")])
-    y = placed.select("key", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "pos", "component")])
+    """Pairs of different components that pass the size, prefix and positional bounds of some list.
+
+    A pair is made once, in the first list that both are in. Elsewhere the tokens before may be the same in both sets: then
+    an earlier list has the pair too, with bounds that let through no less. Where they differ later on, it comes again.
+    """
+    x = outside.select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "prev", "component")])
+    y = placed.select("key", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "pos", "prev", "component")], "main")
+    first = F.expr("(y_component = main or x_doc_id > y_doc_id) and (x_prev is null or y_prev is null or x_prev <> y_prev)")
     x_larger = F.expr("x_n > y_n or (x_n = y_n and x_doc_id > y_doc_id)")
 
     def side(column: str, larger: bool) -> Column:
@@ -303,24 +327,28 @@ def cross_pairs(placed: DataFrame, outside: DataFrame, pct: int, boundary: int)
     indexed = small - F.ceil(2 * pct * small / (100 + pct)) + 1
     left = F.least(big - side("pos", True), small - side("pos", False))
     met = x.join(y, "key").where(F.col("x_component") != F.col("y_component")).where(
-        (big > boundary) & (100 * small >= pct * big) & (side("pos", False) < indexed) & ((100 + pct) * left >= pct * (big + small))
+        first & (big > boundary) & (100 * small >= pct * big) & (side("pos", False) < indexed) & ((100 + pct) * left >= pct * (big + small))
     )
     return met.select(F.greatest("x_doc_id", "y_doc_id").alias("a"), F.least("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def bounded(pairs: DataFrame, signed: DataFrame, pct: int) -> DataFrame:
-    """The pairs whose prefixes leave room for a link.
-
-    Two sets have no more in common than the tokens that their prefixes share and what is left of one of them behind its
-    prefix: of the tokens up to the end of the prefix that ends first, none is missed.
-    """
+    """The pairs whose sizes and bit patterns leave room for a link: two linked sets differ in few tokens, so in few bits."""
     pairs = stage(pairs, "candidates")
     known = restricted(signed, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    left = known.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
-    right = known.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
-    behind = F.greatest(F.col("n_a") - F.size("x"), F.col("n_b") - F.size("y"))
-    most = F.size(F.array_intersect("x", "y")) + behind
-    return pairs.join(left, "a").join(right, "b").where((100 + pct) * most >= pct * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    left = known.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    right = known.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("y"))
+    xor = lambda u, v: u.bitwiseXOR(v)
+
+    def folded(bits: str, other: str) -> Column:
+        """The pattern with as many words as the other one, where it has twice as many; sets that can be linked have no others."""
+        half = F.size(other)
+        halves = F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), xor)
+        return F.when(F.size(bits) > half, halves).otherwise(F.col(bits))
+
+    apart = F.aggregate(F.zip_with(folded("x", "y"), folded("y", "x"), lambda u, v: F.bit_count(xor(u, v))), F.lit(0), lambda t, c: t + c)
+    near = (100 * F.least("n_a", "n_b") >= pct * F.greatest("n_a", "n_b")) & ((100 + pct) * apart <= (100 - pct) * (F.col("n_a") + F.col("n_b")))
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b").distinct()
 
 
 def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
@@ -338,7 +366,7 @@ def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
     links = small_links(reps, pct)
     entries = list_entries(reps)
     pairs = favourite(entries.select(F.col("doc_id").alias("a"), "n", F.col("lead").alias("b"), "m"), pct)
-    links = stage(links.union(verified(pairs, docs, k, pct)), "found")
+    links = stage(links.union(verified(bounded(pairs, signed, pct), docs, k, pct)), "found")
     n_entries, before = entries.count(), float("inf")
     for turn in range(MAX_STAR_ROUNDS + 1):
         labels = components(links)
@@ -359,7 +387,7 @@ def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
             F.col("doc_id").alias("a"), "n", F.col("p.doc_id").alias("p"), F.col("q.doc_id").alias("q"), "m"
         )
         pairs = favourite(tried.select("a", "n", F.col("p").alias("b"), "m"), pct).union(favourite(tried.select("a", "n", F.col("q").alias("b"), "m"), pct))
-        links = stage(links.union(verified(pairs, docs, k, pct)), "found")
+        links = stage(links.union(verified(bounded(pairs, signed, pct), docs, k, pct)), "found")
 
     rows = signed.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left")

@@ -100,6 +100,37 @@ def test_jaccard_near_copies(spark, monkeypatch):
         assert got == want
 
 
+def test_jaccard_bit_patterns():
+    """Patterns differ in no more bits than sets in tokens, and half a pattern is the xor of its halves."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for size, gone in ((5, 1), (300, 40), (512, 1), (513, 90), (40_000, 3_000)):
+        x = rng.integers(0, 2**63, size, np.uint64)
+        p, q = jaccard.bit_pattern(x), jaccard.bit_pattern(x[gone:])
+        if len(p) > len(q):
+            p = p[: len(q)] ^ p[len(q) :]
+        assert len(p) == len(q) and 64 * len(p) <= jaccard.MAX_BITS
+        assert int(np.bitwise_count((p ^ q).view(np.uint64)).sum()) <= gone
+
+
+def test_jaccard_reads_few_sets(spark, monkeypatch):
+    """Documents of one passage that are less similar than links ask for: few pairs have their sets read."""
+    texts = {}
+    for i in range(40):
+        words = prose(3, 400).split()
+        for j in range(8):
+            words[(j * 50 + i) % 400] = f"edit{i}x{j}"
+        texts[i] = " ".join(words)
+    read, plainly = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: (read.append(pairs.count()), plainly(pairs, *rest))[1])
+    monkeypatch.setattr(jaccard, "LIKELY", 0.0)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(docs, 4, 85).collect()}
+    assert got == plain.groups(texts, 4, 85) == {i: i for i in texts}
+    assert read and sum(read) < len(texts)
+
+
 def test_jaccard_boundary_and_subsets():
     import numpy as np
 
