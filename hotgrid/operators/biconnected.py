@@ -171,10 +171,14 @@ def _component_report(members: DataFrame, comp: DataFrame, scope: str) -> DataFr
     return sizes.groupBy(scope).agg(F.max("size").alias("largest"), F.count(F.lit(1)).alias("n"))
 
 
-def community_report(members: DataFrame, edges: DataFrame, remove: int = 3) -> DataFrame:
-    """Size, edges, cohesion, articulation points, and what removing the best-connected members does."""
+def community_report(members: DataFrame, edges: DataFrame | None = None, remove: int = 3, inside: DataFrame | None = None) -> DataFrame:
+    """Size, edges, cohesion, articulation points, and what removing the best-connected members does.
+
+    ``edges`` are those of the whole graph; a caller that has those inside the communities, written, gives ``inside`` in place of them.
+    """
     members = cut_lineage(members)
-    inside = cut_lineage(inner_edges(edges, members).select("rank", "src", "dst"))
+    inside = cut_lineage(inner_edges(edges, members)) if inside is None else inside
+    inside = inside.select("rank", "src", "dst")
     gone = cut_lineage(ranked_members(members, inside, limit=remove).select("rank", "node"))
     few = F.broadcast(gone)
     left = members.join(few, ["rank", "node"], "left_anti")

@@ -640,3 +640,15 @@ def test_eigenvector_evaluates_each_step_once(spark, fixed):
         norm = math.sqrt(sum(v * v for v in y.values()))
         x = {k: v / norm for k, v in y.items()}
     assert all(abs(r["eigenvector"] - x[r["node"]]) < (1e-9 if fixed else 1e-4) for r in found.collect())
+
+
+def test_edges_inside_groups_are_made_alone(spark):
+    """Edges by groups are the inner ones of all edges; no pair of different groups is made on the way."""
+    rows = [(c, (c * 7 + e * e) % 40) for c in range(120) for e in range(1 + c % 12)] + [(500, 900), (None, 1), (1, None)]
+    bridge = spark.createDataFrame(rows, "case_id bigint, entity_id bigint")
+    once = [(n % 5, n) for n in range(0, 38)] + [(0, 900)]
+    for listed in (once, once + [(3, 7)], []):  # a node in two groups, and no group at all
+        groups = spark.createDataFrame(listed, "rank int, node bigint")
+        want = graph.inner_edges(graph.cooccurrence_edges(bridge), groups).select("rank", "src", "dst", "weight")
+        got = graph.cooccurrence_edges(bridge, groups=groups).select("rank", "src", "dst", "weight")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
