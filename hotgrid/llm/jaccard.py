@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from hotgrid.llm.links import MAX_FILTER_BITS, components, fresh, key_filter, passes, stage
 from hotgrid.llm.text import U64, list_array, mix, shingle_sets, small_batches
+from hotgrid.session import discard
 
 WORDS, PCT = 5, 80
 MAX_SMALL = 40  # sizes above are never small: their subsets are too many for any cost
@@ -220,20 +221,23 @@ def small_links(reps: DataFrame, pct: int) -> DataFrame:
     return met.where(100 * F.col("size") >= pct * (F.col("n") + F.col("n0") - F.col("size"))).select(F.col("doc_id").alias("a"), "b")
 
 
-def list_entries(reps: DataFrame) -> DataFrame:
+def list_entries(reps: DataFrame, pct: int) -> DataFrame:
     """(key, doc_id, n, pos, prev, lead, m) of every prefix token that two sets or more have; lead is the list's smallest id.
 
+    Lists of two sets whose sizes rule a link out are left out.
+
     Lists of the same documents, as those of a passage, say the same: the one whose token comes first stays for all ``m`` of
     them. Its token comes first in every set, so its bounds let every pair through that any of the others would.
 
     ``prev`` is the set's token before that one among those that the filter of kept lists lets pass, null for the first.
     """
-    flat = reps.select("doc_id", F.posexplode("tokens").alias("pos", "key"))
+    flat = reps.select("doc_id", "n", F.posexplode("tokens").alias("pos", "key"))
     lists = flat.groupBy("key").agg(
         F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("c"), F.sum("pos").alias("p"),
+        F.min("n").alias("small"), F.max("n").alias("big"),
         F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"),
     )
-    lists = lists.where("lead < last").groupBy("c", "x", "y").agg(F.min(F.struct("p", "key", "lead")).alias("l"), F.count(F.lit(1)).alias("m"))
+    lists = lists.where("lead < last").where(f"c > 2 or 100 * small >= {pct} * big").groupBy("c", "x", "y").agg(F.min(F.struct("p", "key", "lead")).alias("l"), F.count(F.lit(1)).alias("m"))
     lists = lists.select("l.key", "l.lead", "m")
     lists = stage(lists, "lists")
     shared = key_filter(lists, "key", lists.count())
@@ -296,16 +300,33 @@ def favourite(choices: DataFrame, pct: int) -> DataFrame:
 
 
 def crossing(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries of lists that still hold more than one component; and those of them outside their list's largest one."""
+    """Entries of lists that still hold more than one component; and those of them outside their list's largest one.
+
+    Components only grow, so a list within one of them stays so: the entries given back are all that a later turn needs.
+    """
+    entries = entries.select("key", "doc_id", "n", "pos", "prev", "lead", "m")
     placed = entries.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
+    placed = stage(placed.withColumn("component", F.coalesce("component", "doc_id")), "labelled")
     per = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    top = per.groupBy("key").agg(
-        F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("parts")
-    )
-    mixed = stage(top.where("parts > 1").select("key", F.col("top.component").alias("main"), "total"), "mixed")
-    placed = stage(placed.join(mixed, "key"), "placed")
-    return placed, placed.where(F.col("component") != F.col("main"))
+    top = per.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    mixed = stage(top.where("parts > 1").select("key", F.col("top.component").alias("main")), "mixed")
+    kept = stage(placed.join(mixed, "key"), "placed")
+    discard(placed, mixed)
+    return kept, kept.where(F.col("component") != F.col("main"))
+
+
+def pairs_in_reach(placed: DataFrame, pct: int) -> int:
+    """About how many pairs the entries outside form with entries of their list that are not too small or large for them.
+
+    Sizes in reach of each other lie in one class or in neighbouring ones. A pair of two entries outside counts once.
+    """
+    grade = F.floor(F.log("n") / F.log(F.lit(100 / pct))) if pct < 100 else F.col("n")
+    outside = F.col("component") != F.col("main")
+    per = placed.groupBy("key", grade.alias("g")).agg(F.count_if(~outside).alias("main"), F.count_if(outside).alias("out"))
+    near = per.select("key", "main", "out", "g", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"))
+    own = F.sum(F.when(F.col("step") == 0, F.col("out")))
+    near = near.groupBy("key", F.col("g") + F.col("step")).agg(own.alias("own"), F.sum("main").alias("main"), F.sum("out").alias("out"))
+    return near.agg(F.sum(F.col("own") * (F.col("main") + (F.col("out") - 1) / 2))).first()[0] or 0
 
 
 def cross_pairs(placed: DataFrame, outside: DataFrame, pct: int, boundary: int) -> DataFrame:
@@ -364,14 +385,16 @@ def groups(docs: DataFrame, k: int = WORDS, pct: int = PCT) -> DataFrame:
     reps = restricted(signed, classes.select(F.col("rep").alias("doc_id")))
 
     links = small_links(reps, pct)
-    entries = list_entries(reps)
+    entries = list_entries(reps, pct)
     pairs = favourite(entries.select(F.col("doc_id").alias("a"), "n", F.col("lead").alias("b"), "m"), pct)
     links = stage(links.union(verified(bounded(pairs, signed, pct), docs, k, pct)), "found")
     n_entries, before = entries.count(), float("inf")
     for turn in range(MAX_STAR_ROUNDS + 1):
         labels = components(links)
-        placed, outside = crossing(entries, labels)
-        work = outside.agg(F.sum("total")).first()[0] or 0
+        read, (placed, outside) = entries, crossing(entries, labels)
+        discard(read)
+        entries = placed
+        work = pairs_in_reach(placed, pct)
         if not work:
             break
         if work <= PAIRS_PER_ENTRY * n_entries or work > 0.8 * before or turn == MAX_STAR_ROUNDS:

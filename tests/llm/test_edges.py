@@ -131,6 +131,22 @@ def test_jaccard_reads_few_sets(spark, monkeypatch):
     assert read and sum(read) < len(texts)
 
 
+def test_jaccard_lists_out_of_reach(spark):
+    kind = "doc_id bigint, n bigint, tokens array<bigint>"
+    reps = spark.createDataFrame([(1, 100, [5, 7]), (2, 20, [5]), (3, 100, [7, 9]), (4, 90, [9])], kind)
+    entries = jaccard.list_entries(reps, 85)
+    assert {(r["key"], r["doc_id"]) for r in entries.collect()} == {(7, 1), (7, 3), (9, 3), (9, 4)}
+    # documents 1 and 3 are one component: their list does not come again, and one pair is left
+    labels = spark.createDataFrame([(1, 1), (3, 1)], "node bigint, component bigint")
+    placed, outside = jaccard.crossing(entries, labels)
+    assert {(r["key"], r["doc_id"]) for r in placed.collect()} == {(9, 3), (9, 4)} and outside.count() == 1
+    assert jaccard.pairs_in_reach(placed, 85) == 1
+    far = placed.withColumn("n", F.when(F.col("doc_id") == 4, 40).otherwise(F.col("n")))
+    assert jaccard.pairs_in_reach(far, 85) == 0
+    again, _ = jaccard.crossing(placed, labels.unionByName(spark.createDataFrame([(4, 1)], labels.schema)))
+    assert again.count() == 0
+
+
 def test_jaccard_boundary_and_subsets():
     import numpy as np
 
