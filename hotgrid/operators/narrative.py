@@ -123,12 +123,17 @@ def area_level(feed: DataFrame, summary: DataFrame) -> DataFrame:
     return row.withColumn("level", labels.threat_level(F.col("n_alerts"), F.col("mean_yoy")))
 
 
-def model_sentence(auc: Column, hit_rate_5: Column, pai_5: Column, drivers: Column) -> Column:
-    # without both classes there is no AUC: the SQL prints nan, or gives no sentence if it is null
-    shown = F.when(F.isnan(auc), "nan").when(auc.isNotNull(), F.format_string("%.2f", auc))
+def _printed(v: Column, digits: int) -> Column:
+    """As printf of C: rounded by the double's exact value, ties to even, where ``format_string`` goes by its decimal form."""
+    return F.translate(F.format_number(v, digits), ",", "")
+
+
+def model_sentence(auc: Column, hit_rate_5: Column, pai_5: Column, drivers: Column, undefined: str = "nan") -> Column:
+    # without both classes there is no AUC: the sentence says ``undefined``, or is null if it is null
+    shown = F.when(F.isnan(auc), undefined).when(auc.isNotNull(), _printed(auc, 2))
     # fixed value: model sentence
     return F.concat(
-        F.format_string("The model identifies %.1f%% of future crime in just 5%% of the area (AUC ", hit_rate_5), shown, F.lit("). "),
-        F.format_string("That is a %.1f× improvement over random deployment. ", pai_5),
+        F.lit("The model identifies "), _printed(hit_rate_5, 1), F.lit("% of future crime in just 5% of the area (AUC "), shown, F.lit("). "),
+        F.lit("That is a "), _printed(pai_5, 1), F.lit("× improvement over random deployment. "),
         F.lit("Top prediction drivers: "), drivers, F.lit("."),
     )

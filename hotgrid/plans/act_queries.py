@@ -472,4 +472,5 @@ def model_narrative(spark, d):
     top = model.global_attribution(scored, pq.COEF, 3).withColumn("title", model.feature_title(F.col("feature")))
     drivers = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("mean_abs")).alias("k"), "title"))).alias("t"))
     drivers = drivers.select(F.array_join(F.transform("t", lambda x: x["title"]), ", ")).scalar()
-    return pai.select(narrative.model_sentence(auc, F.col("hit_rate"), F.col("pai"), drivers).alias("narrative"))
+    # the SQL divides 0.0 by 0 there, which sets the sign of its result (on x86)
+    return pai.select(narrative.model_sentence(auc, F.col("hit_rate"), F.col("pai"), drivers, "-nan").alias("narrative"))
